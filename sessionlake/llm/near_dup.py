@@ -29,6 +29,9 @@ from sessionlake.llm.kernel import mix, shingle_sets
 from sessionlake.llm.shared import map_sorted_groups, materialise, remove, shared_folder
 
 
+FILTER_BUCKETS = 1 << 20
+
+
 @dataclass(frozen=True)
 class NearDup:
     shingle: int = 5
@@ -190,6 +193,9 @@ def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup) -> DataFrame
     size = families.groupBy("family").agg(F.sum("n_shingles").alias("total"))
     n_blocks = F.ceil(F.col("total") / F.lit(conf.family_block)).cast("long")
     _, pairs = _blocks(n_blocks, F.col("doc_id"))
+    # Texts outside of families mostly stay where they are: the broadcast side has at most FILTER_BUCKETS numbers at any scale.
+    bucket = lambda: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FILTER_BUCKETS))
+    texts = texts.join(F.broadcast(families.select(bucket().alias("b")).distinct()), bucket() == F.col("b"), "left_semi")
     rows = families.join(size, "family").join(texts, "doc_id").select("family", F.inline(pairs), "doc_id", "text")
     percent, n = conf.percent, conf.shingle
 
@@ -231,8 +237,8 @@ def near_duplicates(docs: DataFrame, conf: NearDup = NearDup(), id_col: str = "d
 
     component_id is the least id reachable over links; kept is true where it is the row's own. Null and empty
     texts have n_shingles 0 and are linked with nothing. Repeated rows give repeated rows; a repeated id whose
-    texts differ has a row for each text. Null ids take part as the id they are not: they keep a null
-    component and kept is false. Other columns of docs don't matter. An empty table gives no rows.
+    texts differ has a row for each text. A null id keeps a null
+    component, kept false, and is linked with nothing. Other columns of docs don't matter. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     folder = shared_folder(spark)
@@ -257,3 +263,18 @@ def near_duplicates(docs: DataFrame, conf: NearDup = NearDup(), id_col: str = "d
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Where no contract says otherwise, texts are near-duplicates from a similarity of 0.8 on.
+STAGE = NearDup(percent=80)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's stage: one document of each component stays, that with the least id; all columns as they are.
+
+    A repeated id whose rows are all kept stays with all its rows of the kept text; rows with a null id, and null or
+    empty texts, stay.
+    """
+    found = near_duplicates(docs, STAGE)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
