@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+from sessionlake.llm.decontamination import op1_benchmark_decontamination
 from sessionlake.llm.near_dup import op8_minhash_near_dedup
+from sessionlake.llm.packing import op9_best_fit_packing
+from sessionlake.llm.pii import op6_feistel_pseudonyms
+from sessionlake.llm.quality import op7_ftrl_quality
+from sessionlake.llm.toxicity import op10_toxicity_lexicon
 
-QUERIES = {f.__name__: f for f in (op8_minhash_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op6_feistel_pseudonyms,
+        op7_ftrl_quality,
+        op8_minhash_near_dedup,
+        op9_best_fit_packing,
+        op10_toxicity_lexicon,
+    )
+}
 
 ORACLES: dict[str, str] = {}
