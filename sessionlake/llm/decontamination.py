@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. Every item's word n-grams are its seeds. One scan counts the documents that each seed is in.
-2. Rare seeds (in at most a given share of all documents) are kept, and each item's rarest ones however many
-   documents have them, so an item that leaked into most of the corpus still has seeds.
+2. Rare seeds (in at most a given share of all documents) are kept, and each item's rarest ones, and those about as
+   rare, however many documents have them: an item that leaked into most of the corpus still has its seeds.
 3. A second scan looks the kept seeds up. Around each hit a window of the item's length, with a margin, is
    aligned with the item, word by word: a match scores 2, a mismatch or gap -1. An alignment
    that reaches the least share of the item's own score (2 a word) is a leak.
@@ -32,7 +32,7 @@ class Decontamination:
     #: A seed is rare in at most this share of the documents, or in this number.
     rare_share: float = 5e-5
     rare_docs: int = 10
-    #: Seeds of an item that are kept at any frequency, its rarest.
+    #: So many of an item's rarest seeds are kept at any frequency, and those up to twice as frequent as they.
     least_seeds: int = 8
     #: The least alignment score as a share of the item's own.
     least_score: float = 0.5
@@ -97,9 +97,11 @@ class Index:
         rare = df <= max(conf.rare_docs, int(conf.rare_share * docs))
         each = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
         order = np.lexsort((self.place, df[each], self.item))
-        item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        rare[each[order][rank < conf.least_seeds]] = True
+        item, own = self.item[order], df[each[order]]
+        first = np.searchsorted(item, item)
+        last = np.searchsorted(item, item, "right") - 1
+        # Twice as frequent as the item's least_seeds-th rarest seed is still rare for it: what leaked often keeps its seeds all along.
+        rare[each[order][own <= 2 * own[np.minimum(first + conf.least_seeds - 1, last)]]] = True
         stay = rare[each]
         self.item, self.place, self.words, each = self.item[stay], self.place[stay], self.words[stay], each[stay]
         self.seeds, first = np.unique(self.seeds[each], return_index=True)
