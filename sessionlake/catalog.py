@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sessionlake.plans.oracles import ORACLES
+from sessionlake.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
