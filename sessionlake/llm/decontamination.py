@@ -223,7 +223,8 @@ LEAKS = "doc_id long, item_id long, score long, similarity double, first_word lo
 def find_leaks(docs: DataFrame, benchmark: DataFrame, conf: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """A row for each row of docs and item that leaked into it: the alignment's score, its share of the item's own, words and UTF-8 bytes.
 
-    Null and empty texts, and items without words, match nothing. Repeated rows are each reported; of equal
+    An alignment is found if a kept seed lies in it; an item of fewer words than a seed only where all its words
+    follow one another. Null and empty texts, and items without words, match nothing. Repeated rows are each reported; of equal
     alignments the first stands. Items that repeat an id with another text are each looked for. An empty
     benchmark or table gives no rows. Other columns don't matter.
     """

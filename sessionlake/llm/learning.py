@@ -36,4 +36,5 @@ def train(sample: DataFrame, order: list[Column], fit: Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit(batches)], pa.binary())], names=["model"])
 
-    return bytes(sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first().model)
+    row = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()
+    return bytes(row.model) if row else fit(iter(()))  # without rows no task runs

@@ -31,7 +31,8 @@ PIECE = 1 << 20
 GZIP = 16 + zlib.MAX_WBITS
 #: Payloads of so many bytes or more are written once.
 LEAST_REVISIT = 1000
-ARCHIVE_BYTES = 1 << 30
+#: A file is full from so many bytes of records on, before compression.
+ARCHIVE_BYTES = 1 << 32
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -108,8 +109,8 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 if out is None:
                     out, pack, size, records = fs.open_output_stream(f"{top}/{name}-{len(made)}.warc.gz", compression=None), zlib.compressobj(6, zlib.DEFLATED, GZIP), 0, 0
                 for part in (record_head(page_id, url, digest, n, refers_to), payload.as_buffer() if payload.is_valid else b"", b"\r\n\r\n"):
-                    out.write(got := pack.compress(part))
-                    size += len(got)
+                    out.write(pack.compress(part))
+                    size += len(part)
                 records += 1
                 if size >= archive_bytes:
                     close()
