@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import clip, ratio
-from sessionlake.operators.sessions import assign_events, pair_sessions, session_events
+from sessionlake.operators.sessions import session_events, session_stream, with_session_columns
 from sessionlake.sources.telemetry import CAMPAIGN_TABLES, EXIT, LEVEL_TABLES, MODE_TABLES
 
 #: Event table to the name of its count.
@@ -31,30 +31,29 @@ def event_counts(assigned: DataFrame) -> DataFrame:
 
 
 def session_features(tele: DataFrame) -> DataFrame:
-    """A row for each session with 23 columns. Events are assigned and aggregated without another exchange than the one by player."""
-    sessions = pair_sessions(tele)
+    """A row for each session with 23 columns. Pairing, assignment, counts and gaps share one scan and one exchange by player."""
     table = F.col("event_table")
     mode = F.when(table.isin(*MODE_TABLES), F.nullif("game_mode", F.lit("")))
     span = lambda c, tables: F.max(F.when(table.isin(*tables), c)) - F.min(F.when(table.isin(*tables), c))
-    counted = (
-        session_events(assign_events(tele, sessions))
+    grouped = (
+        session_stream(tele)
         .groupBy("pid", "session_index")
         .agg(
+            F.min(F.when(F.col("starts"), F.col("event_time"))).alias("login_time"),
+            F.max("exit_time").alias("exit_time"),
             *[F.count_if(table == t).alias(c) for t, c in COUNTS.items()],
-            F.mode(mode, True).alias("primary_game_mode"),
-            F.count_distinct(mode).alias("mode_diversity"),
+            F.coalesce(F.mode(mode, True), F.lit("")).alias("primary_game_mode"),
+            F.size(F.collect_set(mode)).cast("long").alias("mode_diversity"),  # as many as there are modes
             span(F.col("level_progress"), LEVEL_TABLES).alias("progression_gain"),
             span(F.col("campaign_progress"), CAMPAIGN_TABLES).alias("campaign_progression_gain"),
         )
     )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     begun = F.col("jobs_started") + F.col("jobs_resumed")
     return (
-        sessions.join(counted, ["pid", "session_index"], "left")
+        with_session_columns(grouped)
         .select(
             "session_id", "pid", "session_index", "login_time", "exit_time", "duration_minutes", "days_since_previous_session", "player_lifetime_days",
-            *map(zero, COUNTS.values()), "progression_gain", "campaign_progression_gain",
-            F.coalesce("primary_game_mode", F.lit("")).alias("primary_game_mode"), zero("mode_diversity"), "is_zero_duration", "is_long",
+            *COUNTS.values(), "progression_gain", "campaign_progression_gain", "primary_game_mode", "mode_diversity", "is_zero_duration", "is_long",
         )
         .withColumns({"job_completion_ratio": ratio(F.col("jobs_completed"), begun), "job_exit_ratio": ratio(F.col("jobs_exited"), begun)})
     )

@@ -23,23 +23,28 @@ def pair_sessions(tele: DataFrame, long_hours: int = 12) -> DataFrame:
     """A session is a login whose very next mark is an exit; a later login before the exit replaces it, an exit without a login is left over."""
     w = Window.partitionBy("pid").orderBy("login_time", "event_id")
     paired = login_exit_stream(tele).filter("kind = 0 and next_kind = 1").select("pid", "event_id", F.col("event_time").alias("login_time"), F.col("next_time").alias("exit_time"))
+    return with_session_columns(paired.withColumn("session_index", F.row_number().over(w)), long_hours).drop("event_id")
+
+
+def with_session_columns(sessions: DataFrame, long_hours: int = 12) -> DataFrame:
+    """Adds the key, durations, the gap to the previous session and the time since the first; in a player's order, without another exchange."""
+    w = Window.partitionBy("pid").orderBy("session_index")
     seconds = (micros("exit_time") - micros("login_time")) / F.lit(1e6)
+    around = {"previous_exit": F.lag("exit_time").over(w), "first_login": F.min("login_time").over(Window.partitionBy("pid"))}
     return (
-        paired.withColumn("session_index", F.row_number().over(w))
-        .withColumns({"previous_exit": F.lag("exit_time").over(w), "first_login": F.min("login_time").over(Window.partitionBy("pid"))})
-        .select(
-            session_key(F.col("pid"), F.col("session_index")).alias("session_id"),
-            "pid",
-            "session_index",
-            "login_time",
-            "exit_time",
-            seconds.alias("duration_seconds"),
-            (seconds / 60.0).alias("duration_minutes"),
-            days_between("login_time", "previous_exit").alias("days_since_previous_session"),
-            days_between("login_time", "first_login").alias("player_lifetime_days"),
-            (seconds == 0).alias("is_zero_duration"),
-            (seconds > long_hours * 3600).alias("is_long"),
+        sessions.withColumns(around)
+        .withColumns(
+            {
+                "session_id": session_key(F.col("pid"), F.col("session_index")),
+                "duration_seconds": seconds,
+                "duration_minutes": seconds / 60.0,
+                "days_since_previous_session": days_between("login_time", "previous_exit"),
+                "player_lifetime_days": days_between("login_time", "first_login"),
+                "is_zero_duration": seconds == 0,
+                "is_long": seconds > long_hours * 3600,
+            }
         )
+        .drop("previous_exit", "first_login")
     )
 
 
@@ -57,6 +62,22 @@ def assign_events(tele: DataFrame, sessions: DataFrame) -> DataFrame:
     return both.filter("kind = 1").select(*[c for c in events.columns if c != "kind"], F.when(inside, F.col("s.session_id")).alias("session_id"), F.when(inside, F.col("s.session_index")).alias("session_index"))
 
 
+def session_stream(tele: DataFrame) -> DataFrame:
+    """Every event that lies in a session, and the login that begins it, with the session's number and exit: pairing and assignment at once.
+
+    One scan, one exchange by player and two sorts. Backwards, each row learns the next mark; forwards, the last login that an exit
+    follows decides. `starts` is true for the logins.
+    """
+    login, exit_ = F.col("event_table") == LOGIN, F.col("event_table") == EXIT
+    rows = tele.filter(F.col("event_table").isin(LOGIN, *EVENT_TABLES)).withColumn("kind", F.when(login, 0).otherwise(1))
+    back = Window.partitionBy("pid").orderBy(*[F.col(c).desc() for c in ("event_time", "kind", "event_id")]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("pid").orderBy("event_time", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("next", F.last(F.when(login | exit_, F.struct("kind", "event_time")), ignorenulls=True).over(back))
+    rows = rows.withColumn("starts", login & F.coalesce(F.col("next.kind") == 1, F.lit(False)))
+    rows = rows.withColumns({"session_index": F.count_if("starts").over(ahead).cast("int"), "exit_time": F.last(F.when(F.col("starts"), F.col("next.event_time")), ignorenulls=True).over(ahead)})
+    return rows.filter((F.col("event_time") <= F.col("exit_time")) & (F.col("starts") | ~login)).drop("kind", "next")
+
+
 def assignment_summary(assigned: DataFrame) -> DataFrame:
     """Valid, assigned and unassigned events of each table."""
     n, hit = F.count("*"), F.count("session_id")

@@ -26,8 +26,15 @@ def local_session(name: str = "sessionlake", cpus: str = "8", partitions: int =
     )
 
 
+#: Rows in an Arrow batch to Python, where the session hasn't set another: rows of long texts make batches of many megabytes.
+BATCH_ROWS = "2000"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package's sources to the executors' Python workers, once for each Spark application."""
+    """Sends this package's sources to the executors' Python workers, once for each Spark application, and keeps batches to them small."""
+    if spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parent
