@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts that stand for a missing value. Fixed values.
-MISSING_TOKENS = ("", "NA", "N/A", "NaN", "nan", "None", "null", "NULL", "undefined")
+MISSING_TOKENS = ("", "NA", "N/A", "NULL", "null", "None", "none", "nan", "NaN")
 
 DAY = 86400.0
 

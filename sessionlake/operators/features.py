@@ -137,21 +137,21 @@ def transform_validation(features: DataFrame, discovery: DataFrame, tolerance: f
     return diffs.unionByName(rows).withColumn("passed", F.coalesce(F.col("value") <= tolerance, F.lit(False)))
 
 
-#: What becomes of each feature in state discovery. Fixed values.
+#: What becomes of each feature in state discovery, and why. The decisions are fixed values.
 DECISIONS = (
-    ("duration_minutes", "keep", "winsorised at P99, log1p"),
-    ("days_since_previous_session", "keep", "null is the first session; winsorised at P99, log1p"),
-    ("player_lifetime_days", "sidecar", "describes the player, not the session"),
-    ("jobs_started", "keep", "winsorised at P99, log1p"),
-    ("jobs_resumed", "keep", "winsorised at P99, log1p"),
-    ("jobs_completed", "sidecar", "overlaps with tasks and the completion ratio"),
-    ("jobs_exited", "sidecar", "overlaps with the exit ratio"),
-    ("tasks_completed", "keep", "winsorised at P99, log1p"),
-    ("items_purchased", "indicator", "few sessions have any"),
-    ("job_completion_ratio", "keep", "capped to 0..1, null is 0 beside an indicator"),
-    ("job_exit_ratio", "keep", "capped to 0..1, null is 0 beside an indicator"),
-    ("progression_gain", "keep", "capped to 0..P99"),
-    ("campaign_progression_gain", "sidecar", "mostly missing"),
-    ("primary_game_mode", "profile", "a category, for profiles only"),
-    ("mode_diversity", "keep", "a small count"),
+    ("duration_minutes", "use_log1p_winsorized", "long tail"),
+    ("days_since_previous_session", "use_log1p_with_first_session_indicator", "null is the first session"),
+    ("player_lifetime_days", "exclude_from_main_discovery_use_for_interpretation", "describes the player, not the session"),
+    ("jobs_started", "use_log1p_winsorized", "long tail"),
+    ("jobs_resumed", "use_log1p_winsorized", "long tail"),
+    ("jobs_completed", "drop_or_keep_only_for_completion_variant", "overlaps with tasks and the completion ratio"),
+    ("jobs_exited", "drop_or_keep_only_for_exit_variant", "overlaps with the exit ratio"),
+    ("tasks_completed", "use_log1p_winsorized", "long tail"),
+    ("items_purchased", "use_binary_or_log1p_winsorized", "few sessions have any"),
+    ("job_completion_ratio", "use_with_no_job_indicator", "null without jobs"),
+    ("job_exit_ratio", "use_with_no_job_indicator", "null without jobs"),
+    ("progression_gain", "use_winsorized", "long tail"),
+    ("campaign_progression_gain", "drop_initially", "mostly missing"),
+    ("primary_game_mode", "exclude_from_unsupervised_numeric_state_discovery", "a category"),
+    ("mode_diversity", "use", "a small count"),
 )

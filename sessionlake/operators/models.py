@@ -83,10 +83,9 @@ def fit_family(frame: DataFrame, conf: Config, terms: tuple[str, ...], continuou
 def threshold_family(focal: DataFrame, best: DataFrame, conf: Config) -> DataFrame:
     """Recovery on indicators of lying at or above the chosen cuts, which were chosen on the same sample."""
     cuts = {r.variable: r.threshold for r in best.collect()}  # a row for each variable
-    names = [v for v in ("density_prev5", "density_prev10", "prior_focal_share") if v in cuts]
+    names = [v for v in ("gap_before_days", "density_prev5", "prior_focal_share", "prior_session_count") if v in cuts]  # known before the session
     frame = focal.withColumns({f"high_{v}": (F.col(v) >= F.lit(cuts[v])).cast("int") for v in names})
-    terms = (*[f"high_{v}" for v in names], "log_gap_before_days", "log_player_lifetime_days", "log_prior_session_count", "is_window")
-    return fit_family(frame, conf, terms, ("log_gap_before_days", "log_player_lifetime_days", "log_prior_session_count"), "recovered_{d}d")
+    return fit_family(frame, conf, (*[f"high_{v}" for v in names], *CURVE_CONTROLS), CURVE_CONTINUOUS, "recovered_{d}d")
 
 
 def curve_models(focal: DataFrame, conf: Config) -> tuple[DataFrame, dict[str, tuple[Design, Fit]]]:

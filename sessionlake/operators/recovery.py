@@ -166,6 +166,10 @@ def scan_rows(focal: DataFrame, conf: Config, d: int, variables: Sequence[str] |
     return focal.filter(F.col(f"evaluable_{d}d")).select("pid", F.col(f"recovered_{d}d").alias("recovered"), *[F.col(n).cast("double").alias(n) for n in names]).unpivot(["pid", "recovered"], names, "variable", "value").filter("value is not null")
 
 
+def odds(p: Column, eps: float = 1e-9) -> Column:
+    return (p + eps) / (1 - p + eps)
+
+
 def threshold_scan(rows: DataFrame, conf: Config, cuts: Sequence[float] = tuple(k / 100 for k in range(10, 91, 5))) -> DataFrame:
     """Recovery below and from each distinct quantile cut of each variable on, where both sides have enough rows.
 
@@ -183,8 +187,6 @@ def threshold_scan(rows: DataFrame, conf: Config, cuts: Sequence[float] = tuple(
         F.avg(F.when(low, F.col("recovered").cast("double"))).alias("rate_low"),
         F.avg(F.when(~low, F.col("recovered").cast("double"))).alias("rate_high"),
     )
-    eps = 1e-9
-    odds = lambda p: (p + eps) / (1 - p + eps)
     out = out.filter((F.col("n_low") >= conf.min_side) & (F.col("n_high") >= conf.min_side))
     return out.withColumns({"drop": F.col("rate_low") - F.col("rate_high"), "odds_ratio": odds(F.col("rate_high")) / odds(F.col("rate_low"))})
 
@@ -195,22 +197,21 @@ def best_thresholds(scan: DataFrame) -> DataFrame:
     return scan.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def threshold_stability(focal: DataFrame, best: DataFrame, conf: Config, variables: Sequence[str] = ("density_prev5", "density_prev10", "prior_focal_share", "gap_before_days")) -> DataFrame:
-    """The chosen cuts tried again at every horizon, with and without the window's sessions."""
-    cut = F.broadcast(best.select("variable", "threshold"))  # a row for each variable
-    parts = []
-    for d in conf.horizons:
-        for leave_out in (False, True):
-            df = focal.filter(~F.col("is_window")) if leave_out else focal
-            rows = scan_rows(df, conf, d, variables).join(cut, "variable")
-            low = F.col("value") < F.col("threshold")
-            rate = lambda side: F.avg(F.when(side, F.col("recovered").cast("double")))
-            got = rows.groupBy("variable", "threshold").agg(F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), rate(low).alias("rate_low"), rate(~low).alias("rate_high"))
-            parts.append(got.select(F.lit(d).alias("horizon_days"), F.lit(leave_out).alias("without_window"), "*", (F.col("rate_low") - F.col("rate_high")).alias("drop")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def threshold_stability(focal: DataFrame, best: DataFrame, conf: Config) -> DataFrame:
+    """The cuts chosen at the longest horizon tried again at every horizon, with and without the window's sessions.
+
+    One pass: a row for each session, horizon and exclusion it belongs to, and variable.
+    """
+    names = [v.format(d=conf.long_horizon) for v in SCANNED]
+    tried = [F.struct(F.lit(d).alias("horizon_days"), F.lit(out).alias("without_window"), F.col(f"recovered_{d}d").alias("recovered"), (F.col(f"evaluable_{d}d") & ~(F.lit(out) & F.col("is_window"))).alias("inside")) for d in conf.horizons for out in (False, True)]
+    rows = focal.select(*[F.col(n).cast("double").alias(n) for n in names], F.inline(F.array(*tried))).filter("inside")
+    rows = rows.unpivot(["horizon_days", "without_window", "recovered"], names, "variable", "value").filter("value is not null")
+    rows = rows.join(F.broadcast(best.select("variable", "threshold")), "variable")  # a row for each variable
+    low = F.col("value") < F.col("threshold")
+    rate = lambda side: F.avg(F.when(side, F.col("recovered").cast("double")))
+    out = rows.groupBy("horizon_days", "without_window", "variable", "threshold").agg(F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), rate(low).alias("rate_low"), rate(~low).alias("rate_high"))
+    out = out.filter((F.col("n_low") >= conf.min_side) & (F.col("n_high") >= conf.min_side))
+    return out.withColumns({"drop": F.col("rate_low") - F.col("rate_high"), "odds_ratio": odds(F.col("rate_high")) / odds(F.col("rate_low"))})
 
 
 def quantile_bins(rows: DataFrame, bins: int = 8) -> DataFrame:

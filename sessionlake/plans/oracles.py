@@ -221,7 +221,7 @@ add("mode_share", f"SELECT CASE WHEN primary_game_mode = '' THEN '(missing)' ELS
 _SPP = "(SELECT pid, count(*) AS sessions, row_number() OVER (ORDER BY count(*) DESC, pid) AS n FROM feat GROUP BY pid)"
 add("player_influence", f"SELECT count(*) AS players, sum(sessions)::BIGINT AS sessions, max(sessions) AS max_sessions_per_player, {q('sessions::DOUBLE', 0.95)} AS p95_sessions_per_player, {', '.join(f'''{r(f'sum(sessions) FILTER (n <= greatest(1, ceil((SELECT count(DISTINCT pid) FROM feat) * {s}))) / sum(sessions)::DOUBLE')} AS "top_{s * 100:g}pct_players_session_share"''' for s in (0.01, 0.05))} FROM {_SPP}")
 add("top_players", f"SELECT pid, sessions FROM {_SPP} WHERE n <= 50")
-add("extreme_sessions", " UNION ALL ".join(f"SELECT '{m}' AS metric, session_id, pid, {r(f'{m}::DOUBLE')} AS value FROM (SELECT *, row_number() OVER (ORDER BY {m} DESC NULLS LAST, session_id) AS n FROM feat) WHERE n <= 25" for m in ("duration_minutes", "days_since_previous_session", "tasks_completed", "items_purchased", "progression_gain", "job_completion_ratio", "player_lifetime_days")))
+add("extreme_sessions", " UNION ALL ".join(f"SELECT '{m}' AS metric, session_id, pid, {r(f'{m}::DOUBLE')} AS value FROM (SELECT *, row_number() OVER (ORDER BY {m} DESC NULLS LAST, session_id) AS n FROM feat) WHERE n <= 25" for m in ("duration_minutes", "days_since_previous_session", "jobs_started", "tasks_completed", "items_purchased", "progression_gain", "campaign_progression_gain")))
 _RANKED = "(SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb FROM feat WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
 _CORR = "CASE WHEN isnan(corr(ra, rb)) THEN NULL ELSE corr(ra, rb) END"
 add("spearman_pairs", " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS rows, {r(_CORR)} AS spearman, {r(f'abs({_CORR})')} AS abs_spearman FROM {_RANKED.format(a=a, b=b)}" for a, b in combinations(NUMERIC, 2)))
@@ -230,7 +230,7 @@ add("discovery_sidecar", f"SELECT session_id, pid, session_index, {r('player_lif
 add("transform_validation", " UNION ALL ".join(f"SELECT '{c}' AS \"check\", 0.0::DOUBLE AS value, true AS passed" for c in (*DISCOVERY, "repeated_sessions", "nulls", "out_of_bounds")))
 add("zscored_features", f"SELECT session_id, {', '.join(r(f'CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END') + f' AS {c}' for c in DISCOVERY)} FROM disc, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in DISCOVERY)} FROM disc)")
 add("scatter_sample", f"SELECT session_id, {', '.join(r(f'greatest((SELECT quantile_cont({c}, 0.005) FROM feat), least((SELECT quantile_cont({c}, 0.995) FROM feat), {c}))') + f' AS {c}' for c in ('duration_minutes', 'player_lifetime_days'))} FROM feat")
-ORACLES["feature_decisions"] = "SELECT * FROM (VALUES ('duration_minutes', 'keep', 'winsorised at P99, log1p'), ('days_since_previous_session', 'keep', 'null is the first session; winsorised at P99, log1p'), ('player_lifetime_days', 'sidecar', 'describes the player, not the session'), ('jobs_started', 'keep', 'winsorised at P99, log1p'), ('jobs_resumed', 'keep', 'winsorised at P99, log1p'), ('jobs_completed', 'sidecar', 'overlaps with tasks and the completion ratio'), ('jobs_exited', 'sidecar', 'overlaps with the exit ratio'), ('tasks_completed', 'keep', 'winsorised at P99, log1p'), ('items_purchased', 'indicator', 'few sessions have any'), ('job_completion_ratio', 'keep', 'capped to 0..1, null is 0 beside an indicator'), ('job_exit_ratio', 'keep', 'capped to 0..1, null is 0 beside an indicator'), ('progression_gain', 'keep', 'capped to 0..P99'), ('campaign_progression_gain', 'sidecar', 'mostly missing'), ('primary_game_mode', 'profile', 'a category, for profiles only'), ('mode_diversity', 'keep', 'a small count')) t(feature, decision, reason)"
+ORACLES["feature_decisions"] = "SELECT * FROM (VALUES ('duration_minutes', 'use_log1p_winsorized', 'long tail'), ('days_since_previous_session', 'use_log1p_with_first_session_indicator', 'null is the first session'), ('player_lifetime_days', 'exclude_from_main_discovery_use_for_interpretation', 'describes the player, not the session'), ('jobs_started', 'use_log1p_winsorized', 'long tail'), ('jobs_resumed', 'use_log1p_winsorized', 'long tail'), ('jobs_completed', 'drop_or_keep_only_for_completion_variant', 'overlaps with tasks and the completion ratio'), ('jobs_exited', 'drop_or_keep_only_for_exit_variant', 'overlaps with the exit ratio'), ('tasks_completed', 'use_log1p_winsorized', 'long tail'), ('items_purchased', 'use_binary_or_log1p_winsorized', 'few sessions have any'), ('job_completion_ratio', 'use_with_no_job_indicator', 'null without jobs'), ('job_exit_ratio', 'use_with_no_job_indicator', 'null without jobs'), ('progression_gain', 'use_winsorized', 'long tail'), ('campaign_progression_gain', 'drop_initially', 'mostly missing'), ('primary_game_mode', 'exclude_from_unsupervised_numeric_state_discovery', 'a category'), ('mode_diversity', 'use', 'a small count')) t(feature, decision, reason)"
 
 _PAIR = "coalesce('S' || prev_state_id, 'start') || '->' || coalesce('S' || state_id, 'end')"
 add("state_assignments", f"SELECT session_id, pid, session_index, state_id, prev_state_id, next_state_id, next_session_id, total_sessions, is_window, is_purchase_anomaly, {_PAIR} AS pair FROM st")
@@ -307,8 +307,8 @@ add("focal_frame", f"SELECT session_id, prior_session_count, prior_focal_count,
 _ODDS = "({0} + 1e-9) / (1 - {0} + 1e-9)"
 add("threshold_scan", f"SELECT variable, {r('threshold')} AS threshold, n_low, n_high, players_low, players_high, {r('rate_low')} AS rate_low, {r('rate_high')} AS rate_high, {r('rate_low - rate_high')} AS \"drop\", {r(f'({_ODDS.format('rate_high')}) / ({_ODDS.format('rate_low')})')} AS odds_ratio FROM thr")
 add("best_thresholds", f"SELECT variable, {r('threshold')} AS threshold, {r('drop_')} AS \"drop\", n_low, n_high FROM bst")
-_STABLE = " UNION ALL ".join(f"SELECT {d} AS horizon_days, {str(out).lower()} AS without_window, pid, recovered_{d}d AS recovered, '{v}' AS variable, {v}::DOUBLE AS value FROM foc WHERE evaluable_{d}d{' AND NOT is_window' if out else ''}" for d in HORIZONS for out in (False, True) for v in ("density_prev5", "density_prev10", "prior_focal_share", "gap_before_days"))
-add("threshold_stability", f"SELECT horizon_days, without_window, s.variable, {r('threshold')} AS threshold, count(*) FILTER (value < threshold) AS n_low, count(*) FILTER (value >= threshold) AS n_high, {r('avg(recovered::INT) FILTER (value < threshold)')} AS rate_low, {r('avg(recovered::INT) FILTER (value >= threshold)')} AS rate_high, {r('avg(recovered::INT) FILTER (value < threshold) - avg(recovered::INT) FILTER (value >= threshold)')} AS \"drop\" FROM ({_STABLE}) s JOIN bst USING (variable) GROUP BY horizon_days, without_window, s.variable, threshold")
+_STABLE = " UNION ALL ".join(f"SELECT {d} AS horizon_days, {str(out).lower()} AS without_window, pid, recovered_{d}d AS recovered, '{v}' AS variable, {v}::DOUBLE AS value FROM foc WHERE evaluable_{d}d{' AND NOT is_window' if out else ''}" for d in HORIZONS for out in (False, True) for v in ("gap_before_days", "gap_after_7d_capped", "density_prev5", "density_prev10", "prior_focal_share", "lifecycle_position", "player_lifetime_days", "prior_session_count"))
+add("threshold_stability", f"SELECT horizon_days, without_window, variable, {r('threshold')} AS threshold, n_low, n_high, {r('rate_low')} AS rate_low, {r('rate_high')} AS rate_high, {r('rate_low - rate_high')} AS \"drop\", {r(f'({_ODDS.format('rate_high')}) / ({_ODDS.format('rate_low')})')} AS odds_ratio FROM (SELECT horizon_days, without_window, s.variable, threshold, count(*) FILTER (value < threshold) AS n_low, count(*) FILTER (value >= threshold) AS n_high, avg(recovered::INT) FILTER (value < threshold) AS rate_low, avg(recovered::INT) FILTER (value >= threshold) AS rate_high FROM ({_STABLE}) s JOIN (SELECT variable, threshold FROM bst) USING (variable) GROUP BY horizon_days, without_window, s.variable, threshold) WHERE n_low >= 20 AND n_high >= 20")
 ORACLES["scan_variables"] = "SELECT * FROM (VALUES ('gap_before_days', 'ex_ante'), ('gap_after_7d_capped', 'outcome_proximal'), ('density_prev5', 'ex_ante'), ('density_prev10', 'ex_ante'), ('prior_focal_share', 'ex_ante'), ('lifecycle_position', 'descriptive_hindsight'), ('player_lifetime_days', 'ex_ante'), ('prior_session_count', 'ex_ante')) t(variable, timing)"
 
 

@@ -139,7 +139,7 @@ def top_players(f: Frames) -> DataFrame:
 
 @query
 def extreme_sessions(f: Frames) -> DataFrame:
-    metrics = dict.fromkeys(["duration_minutes", "days_since_previous_session", "tasks_completed", "items_purchased", "progression_gain", "job_completion_ratio"], False) | {"player_lifetime_days": False}
+    metrics = dict.fromkeys(["duration_minutes", "days_since_previous_session", "jobs_started", "tasks_completed", "items_purchased", "progression_gain", "campaign_progression_gain"], False)
     return diagnostics.extreme_rows(f.features, metrics, ["session_id", "pid"])
 
 
