@@ -130,3 +130,18 @@ def scatter_sample(df: DataFrame, id_col: str, x: str, y: str, n: int = 20_000,
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for the same ids and seed: those with the least hashes, by a distributed top-n."""
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+
+
+def key_alignment(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: keys on both sides, on one alone, and repeated ones. What positions would silently mix up shows here.
+
+    Keys are counted on each side before they meet, so no key joins many rows.
+    """
+    side = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = side(left, "l").join(side(right, "r"), key, "full")
+    return both.agg(
+        F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("in_both"),
+        F.count_if(F.col("r").isNull()).alias("left_only"),
+        F.count_if(F.col("l").isNull()).alias("right_only"),
+        F.count_if((F.col("l") > 1) | (F.col("r") > 1)).alias("repeated"),
+    ).withColumn("aligned", (F.col("left_only") == 0) & (F.col("right_only") == 0) & (F.col("repeated") == 0))

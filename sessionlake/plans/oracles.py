@@ -228,6 +228,7 @@ add("spearman_pairs", " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS f
 add("discovery_input", f"SELECT session_id, pid, session_index, {', '.join(f'{r(c)} AS {c}' if c not in ('first_session', 'no_started_or_resumed_job', 'purchase_any') else c for c in DISCOVERY)} FROM disc")
 add("discovery_sidecar", f"SELECT session_id, pid, session_index, {r('player_lifetime_days')} AS player_lifetime_days, jobs_completed, jobs_exited, items_purchased, {r('campaign_progression_gain')} AS campaign_progression_gain, primary_game_mode, is_zero_duration, is_long, coalesce(job_completion_ratio > 1, false) AS job_completion_ratio_gt_1, coalesce(job_exit_ratio > 1, false) AS job_exit_ratio_gt_1 FROM feat")
 add("transform_validation", " UNION ALL ".join(f"SELECT '{c}' AS \"check\", 0.0::DOUBLE AS value, true AS passed" for c in (*DISCOVERY, "repeated_sessions", "nulls", "out_of_bounds")))
+add("key_alignment", "SELECT count(*) FILTER (c.session_id IS NOT NULL) AS in_both, count(*) FILTER (c.session_id IS NULL) AS left_only, (SELECT count(*) FROM cnt WHERE session_id NOT IN (SELECT session_id FROM sess)) AS right_only, 0 AS repeated, bool_and(c.session_id IS NOT NULL) AS aligned FROM sess LEFT JOIN cnt c USING (session_id)")
 add("zscored_features", f"SELECT session_id, {', '.join(r(f'CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END') + f' AS {c}' for c in DISCOVERY)} FROM disc, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in DISCOVERY)} FROM disc)")
 add("scatter_sample", f"SELECT session_id, {', '.join(r(f'greatest((SELECT quantile_cont({c}, 0.005) FROM feat), least((SELECT quantile_cont({c}, 0.995) FROM feat), {c}))') + f' AS {c}' for c in ('duration_minutes', 'player_lifetime_days'))} FROM feat")
 ORACLES["feature_decisions"] = "SELECT * FROM (VALUES ('duration_minutes', 'use_log1p_winsorized', 'long tail'), ('days_since_previous_session', 'use_log1p_with_first_session_indicator', 'null is the first session'), ('player_lifetime_days', 'exclude_from_main_discovery_use_for_interpretation', 'describes the player, not the session'), ('jobs_started', 'use_log1p_winsorized', 'long tail'), ('jobs_resumed', 'use_log1p_winsorized', 'long tail'), ('jobs_completed', 'drop_or_keep_only_for_completion_variant', 'overlaps with tasks and the completion ratio'), ('jobs_exited', 'drop_or_keep_only_for_exit_variant', 'overlaps with the exit ratio'), ('tasks_completed', 'use_log1p_winsorized', 'long tail'), ('items_purchased', 'use_binary_or_log1p_winsorized', 'few sessions have any'), ('job_completion_ratio', 'use_with_no_job_indicator', 'null without jobs'), ('job_exit_ratio', 'use_with_no_job_indicator', 'null without jobs'), ('progression_gain', 'use_winsorized', 'long tail'), ('campaign_progression_gain', 'drop_initially', 'mostly missing'), ('primary_game_mode', 'exclude_from_unsupervised_numeric_state_discovery', 'a category'), ('mode_diversity', 'use', 'a small count')) t(feature, decision, reason)"
@@ -379,20 +380,26 @@ add("event_presence", " UNION ALL ".join(f"SELECT '{c}' AS event_feature, count(
 _P = "count(*) FILTER (cluster = 4 AND ({c})) * 100.0 / nullif(count(*) FILTER (cluster = 4), 0)"
 
 
+_OWN = "(SELECT count(*) AS n FROM cl2 WHERE cluster = 4 GROUP BY pid)"
+_DAYS = "(SELECT login_date, count(*) AS n, sum(count(*)) OVER () AS t, row_number() OVER (ORDER BY count(*) DESC, login_date) AS d FROM cl2 WHERE cluster = 4 GROUP BY login_date)"
+_PLACES = {"first": "trajectory <= 0", "early": "trajectory > 0 AND trajectory <= 0.25", "middle": "trajectory > 0.25 AND trajectory <= 0.5", "late": "trajectory > 0.5 AND trajectory <= 0.75", "last": "trajectory > 0.75"}
+
+
 def _q4(x: str, p: float) -> str:
     return r(f"quantile_cont(({x})::DOUBLE, {p}) FILTER (cluster = 4)")
 
 
 add(
     "audit_summary",
-    f"SELECT count(*) FILTER (cluster = 4) AS sessions, {r('count(*) FILTER (cluster = 4) * 100.0 / count(*)')} AS pct_of_sessions, count(DISTINCT pid) FILTER (cluster = 4) AS players, {r('count(DISTINCT pid) FILTER (cluster = 4) * 100.0 / count(DISTINCT pid)')} AS pct_of_players, {r(_P.format(c='session_index = 1'))} AS first_session_pct, {r(_P.format(c='total_n = 1'))} AS single_session_player_pct, {_q4('session_index', 0.5)} AS median_session_index, {_q4('total_n', 0.5)} AS median_total_sessions, {_q4('trajectory', 0.5)} AS median_trajectory, {r(_P.format(c='prev_cluster IS NOT NULL'))} AS has_previous_pct, {r(_P.format(c='next_cluster IS NOT NULL'))} AS has_next_pct, {_q4('days_to_next', 0.5)} AS median_days_to_next, {_q4('days_to_next', 0.75)} AS p75_days_to_next, {r(_P.format(c='events > 0'))} AS any_event_pct, {_q4('events', 0.5)} AS median_events, max(events) FILTER (cluster = 4) AS max_events, {_q4('duration_minutes', 0.5)} AS duration_median, {_q4('duration_minutes', 0.95)} AS duration_p95, min(login_date) FILTER (cluster = 4) AS first_date, max(login_date) FILTER (cluster = 4) AS last_date FROM cl2",
+    f"SELECT count(*) FILTER (cluster = 4) AS sessions, {r('count(*) FILTER (cluster = 4) * 100.0 / count(*)')} AS pct_of_sessions, count(DISTINCT pid) FILTER (cluster = 4) AS players, {r('count(DISTINCT pid) FILTER (cluster = 4) * 100.0 / count(DISTINCT pid)')} AS pct_of_players, {r(_P.format(c='session_index = 1'))} AS first_session_pct, {r(_P.format(c='total_n = 1'))} AS single_session_player_pct, {_q4('session_index', 0.5)} AS median_session_index, {_q4('total_n', 0.5)} AS median_total_sessions, {_q4('trajectory', 0.5)} AS median_trajectory, {r(_P.format(c='prev_cluster IS NOT NULL'))} AS has_previous_pct, {r(_P.format(c='next_cluster IS NOT NULL'))} AS has_next_pct, {_q4('days_to_next', 0.5)} AS median_days_to_next, {_q4('days_to_next', 0.75)} AS p75_days_to_next, {r(_P.format(c='events > 0'))} AS any_event_pct, {_q4('events', 0.5)} AS median_events, max(events) FILTER (cluster = 4) AS max_events, {_q4('duration_minutes', 0.5)} AS duration_median, {_q4('duration_minutes', 0.95)} AS duration_p95, min(login_date) FILTER (cluster = 4) AS first_date, max(login_date) FILTER (cluster = 4) AS last_date, (SELECT {q('n::DOUBLE', 0.5)} FROM {_OWN}) AS median_sessions_per_player, (SELECT max(n) FROM {_OWN}) AS max_sessions_per_player, (SELECT login_date FROM {_DAYS} WHERE d = 1) AS top_date, (SELECT {r('n * 100.0 / t')} FROM {_DAYS} WHERE d = 1) AS top_date_pct, (SELECT {r('sum(n) * 100.0 / any_value(t)')} FROM {_DAYS} WHERE d <= 7) AS top_7_dates_pct FROM cl2",
 )
 _REGIMES = {"all": "true", "in_window": "is_window", "out_of_window": "NOT is_window", "before_window": "login_date < '2024-01-14'"}
 _PROFILES = " UNION ALL ".join(
-    f"SELECT '{k}' AS regime, count(*) AS regime_sessions, count(*) FILTER (cluster = 4) AS sessions, {r('count(*) FILTER (cluster = 4) * 100.0 / nullif(count(*), 0)')} AS pct_of_regime, count(DISTINCT pid) FILTER (cluster = 4) AS players, {_q4('duration_minutes', 0.5)} AS duration_median, {_q4('duration_minutes', 0.95)} AS duration_p95, {r(_P.format(c='events = 0'))} AS no_event_pct, {r(_P.format(c="primary_game_mode = ''"))} AS missing_mode_pct, {r(_P.format(c='next_cluster IS NOT NULL'))} AS has_next_pct, {_q4('days_to_next', 0.5)} AS median_days_to_next, {_q4('events', 0.5)} AS median_events FROM cl2 WHERE {c}"
+    f"SELECT '{k}' AS regime, count(*) AS regime_sessions, count(*) FILTER (cluster = 4) AS sessions, {r('count(*) FILTER (cluster = 4) * 100.0 / nullif(count(*), 0)')} AS pct_of_regime, count(DISTINCT pid) FILTER (cluster = 4) AS players, {_q4('duration_minutes', 0.5)} AS duration_median, {_q4('duration_minutes', 0.95)} AS duration_p95, {r(_P.format(c='events = 0'))} AS no_event_pct, {r(_P.format(c="primary_game_mode = ''"))} AS missing_mode_pct, {r(_P.format(c='next_cluster IS NOT NULL'))} AS has_next_pct, {_q4('days_to_next', 0.5)} AS median_days_to_next, {_q4('events', 0.5)} AS median_events, {r('count(DISTINCT pid) FILTER (cluster = 4) * 100.0 / nullif(count(DISTINCT pid), 0)')} AS pct_of_players, {r(_P.format(c='session_index = 1'))} AS first_session_pct, {_q4('trajectory', 0.5)} AS median_trajectory, {', '.join(f'{r(_P.format(c=v))} AS trajectory_{k2}_pct' for k2, v in _PLACES.items())}, (SELECT {q('n::DOUBLE', 0.5)} FROM (SELECT count(*) AS n FROM cl2 WHERE cluster = 4 AND {c} GROUP BY pid)) AS median_sessions_per_player, (SELECT max(n) FROM (SELECT count(*) AS n FROM cl2 WHERE cluster = 4 AND {c} GROUP BY pid)) AS max_sessions_per_player FROM cl2 WHERE {c}"
     for k, c in _REGIMES.items()
 )
 add("regime_profiles", _PROFILES)
+add("all_cluster_profiles", f"SELECT cluster, count(*) AS size, count(DISTINCT pid) AS players, {q('duration_minutes', 0.5)} AS duration_median, {q('duration_minutes', 0.95)} AS duration_p95, {q('events::DOUBLE', 0.5)} AS events_median, {r('count(*) FILTER (events = 0) * 100.0 / count(*)')} AS no_event_pct, {r('avg((len(primary_game_mode) = 0)::INT) * 100')} AS missing_mode_pct, {r('avg((trajectory > 0.75)::INT) * 100')} AS trajectory_last_pct, {r('count(*) * 100.0 / (SELECT count(*) FROM cl2)')} AS pct FROM cl2 GROUP BY cluster")
 add("minimal_gate", f"SELECT regime, coalesce(duration_median <= 2 AND no_event_pct >= 95 AND missing_mode_pct >= 90, false) AS minimal_found FROM ({_PROFILES})")
 add("purchase_anomalies", f"SELECT login_date, count(*) AS sessions, count(DISTINCT pid) AS players, sum(items_purchased)::BIGINT AS items, {r('max(duration_minutes)')} AS longest_minutes FROM clu WHERE is_purchase_anomaly GROUP BY login_date")
 

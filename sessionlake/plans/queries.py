@@ -163,6 +163,12 @@ def transform_validation(f: Frames) -> DataFrame:
     return features.transform_validation(f.features, f.discovery)
 
 
+@query
+def key_alignment(f: Frames) -> DataFrame:
+    """Sessions against those that have events."""
+    return diagnostics.key_alignment(f.sessions, f.assigned.filter("session_id is not null").select("session_id").distinct(), "session_id")
+
+
 @query
 def zscored_features(f: Frames) -> DataFrame:
     return clusters.zscored(f.discovery, "session_id", features.DISCOVERY)
@@ -683,6 +689,11 @@ def regime_profiles(f: Frames) -> DataFrame:
     return clusters.regime_profiles(f.clustered, FOCAL, _regimes(f))
 
 
+@query
+def all_cluster_profiles(f: Frames) -> DataFrame:
+    return clusters.all_cluster_profiles(f.clustered)
+
+
 @query
 def minimal_gate(f: Frames) -> DataFrame:
     return clusters.minimal_gate(clusters.regime_profiles(f.clustered, FOCAL, _regimes(f)))
