@@ -127,40 +127,40 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, f
 
 
 def learn(rows: Iterator[tuple[int, str]], min_docs: int = 3, precision: float = 0.5, covers: int = 3, size: int = LEXICON_SIZE) -> Lexicon:
-    """A lexicon from (toxic, text) rows, the toxic ones first.
+    """A lexicon from (toxic, text) rows.
 
     Terms in at least min_docs toxic texts whose precision has a lower bound above `precision` are chosen greedily
     until every toxic text that any of them is in has `covers` of them. Without toxic rows the lexicon is empty.
     """
-    toxic: list[set[str]] = []
-    counts: Counter[str] = Counter()
-    clean: Counter[str] = Counter()
-    kept: set[str] | None = None
-    texts: list[tuple[int, str]] = []
-    n_clean = 0
-    for y, text in rows:
-        folded = fold(text)
-        texts.append((y, folded))
-        if y:
-            toxic.append(_terms(folded))
-            counts.update(toxic[-1])
-            continue
-        if kept is None:
-            kept = {t for t, n in counts.items() if n >= min_docs}
-        n_clean += 1
-        clean.update(_terms(folded) & kept)
-    kept = {t for t, n in counts.items() if n >= min_docs} if kept is None else kept
+    texts = [(y, fold(t)) for y, t in rows]
+    toxic = [f for y, f in texts if y]
+    n_clean = len(texts) - len(toxic)
     if not toxic:
         return Lexicon({}, [], -3.0, 2.0)
+    # Most terms are in one text alone: hashes tell them apart without keeping their names.
+    hashes, often = np.unique(np.concatenate([np.fromiter(map(hash, _terms(f)), np.int64) for f in toxic]), return_counts=True)
+    frequent = set(hashes[often >= min_docs].tolist())
+    counts: Counter[str] = Counter()
+    clean: Counter[str] = Counter()
+    names: dict[str, str] = {}
+    own_terms = []
+    for f in toxic:
+        own_terms.append([names.setdefault(t, t) for t in _terms(f) if hash(t) in frequent])
+        counts.update(own_terms[-1])
+    kept = {t for t, n in counts.items() if n >= min_docs}
+    for y, f in texts:
+        if not y:
+            clean.update(_terms(f) & kept)
     # The classes' own shares don't matter to a term's precision.
     even = len(toxic) / max(1, n_clean)
     sure = {t: s for t in kept if (s := _surely(counts[t], counts[t] + clean[t])) > precision and counts[t] > clean[t] * even * 4}
     # Of terms in the same texts, the shortest beginning generalises best.
     ranked = sorted(sure, key=lambda t: (-sure[t], t[-1] == " ", len(t), t))[: 20 * size]
     where: dict[str, list[int]] = {t: [] for t in ranked}
-    for k, own in enumerate(toxic):
-        for t in own & where.keys():
-            where[t].append(k)
+    for k, own in enumerate(own_terms):
+        for t in own:
+            if t in where:
+                where[t].append(k)
     need, chosen = [covers] * len(toxic), {}
     seen: set[tuple[int, ...]] = set()
     gains = {t: len(where[t]) * sure[t] for t in ranked}
