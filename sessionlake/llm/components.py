@@ -16,9 +16,9 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that edges (u, v) reach, for every node of an edge.
 
-    Self loops and repeated or reversed edges are fine; no edges give no rows. Each round is a partial
-    aggregate and a join, written to the shared folder; a hub's edges are joined to one row, which
-    Spark can split. The rounds grow with the logarithm of the longest path.
+    Self loops and repeated or reversed edges are fine; no edges give no rows. Each half of a round is a partial
+    aggregate and a join of two written tables, so that Spark can split a hub's edges among tasks. The rounds
+    grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -30,15 +30,15 @@ def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60) -
         if not before[0]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/{name}-{k}l")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialise(large, f"{folder}/{name}-{k}a")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/{name}-{k}s")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = materialise(small, f"{folder}/{name}-{k}b")
         after = _state(now)
-        remove(spark, old, f"{folder}/{name}-{k}a")
+        remove(spark, old, *[f"{folder}/{name}-{k}{part}" for part in "als"])
         old = f"{folder}/{name}-{k}b"
         if after == before:
             break

@@ -185,12 +185,12 @@ def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     return map_sorted_groups(rows, ["bucket", "i", "j"], ["doc_id"], bucket, "u long, v long")
 
 
-def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup) -> DataFrame:
+def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     """Links (u, v) between texts of a family whose components are those of all links on full sets.
 
     texts: doc_id, text. families: doc_id, family, n_shingles.
     """
-    size = families.groupBy("family").agg(F.sum("n_shingles").alias("total"))
+    size = materialise(families.groupBy("family").agg(F.sum("n_shingles").alias("total")), f"{folder}/family-sizes")
     n_blocks = F.ceil(F.col("total") / F.lit(conf.family_block)).cast("long")
     _, pairs = _blocks(n_blocks, F.col("doc_id"))
     # Texts outside of families mostly stay where they are: the broadcast side has at most FILTER_BUCKETS numbers at any scale.
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, conf: NearDup = NearDup(), id_col: str = "d
     sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
     families = materialise(families.join(sizes, "doc_id"), f"{folder}/families")
     remove(spark, f"{folder}/reps", f"{folder}/buckets", f"{folder}/survivors")
-    found = materialise(confirmed(texts, families, conf), f"{folder}/links")
+    found = materialise(confirmed(texts, families, conf, folder), f"{folder}/links")
     joined = components(found, folder, "joined").select(F.col("node").alias("rep"), "component")
     known = materialise(classes.join(joined, "rep", "left").select("key_hi", "key_lo", F.coalesce("component", "rep").alias("component")), f"{folder}/known")
     out = sigs.select("doc_id", "n_shingles", "key_hi", "key_lo").join(known, ["key_hi", "key_lo"], "left")
