@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm.components import components
@@ -185,6 +185,11 @@ def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     return map_sorted_groups(rows, ["bucket", "i", "j"], ["doc_id"], bucket, "u long, v long")
 
 
+def _number(doc: str) -> Column:
+    """One of FILTER_BUCKETS numbers for an id."""
+    return F.pmod(F.xxhash64(F.col(f"`{doc}`").cast("long"), F.lit(5)), F.lit(FILTER_BUCKETS))
+
+
 def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     """Links (u, v) between texts of a family whose components are those of all links on full sets.
 
@@ -194,8 +199,7 @@ def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str)
     n_blocks = F.ceil(F.col("total") / F.lit(conf.family_block)).cast("long")
     _, pairs = _blocks(n_blocks, F.col("doc_id"))
     # Texts outside of families mostly stay where they are: the broadcast side has at most FILTER_BUCKETS numbers at any scale.
-    bucket = lambda: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FILTER_BUCKETS))
-    texts = texts.join(F.broadcast(families.select(bucket().alias("b")).distinct()), bucket() == F.col("b"), "left_semi")
+    texts = texts.join(F.broadcast(families.select(_number("doc_id").alias("b")).distinct()), _number("doc_id") == F.col("b"), "left_semi")
     rows = families.join(size, "family").join(texts, "doc_id").select("family", F.inline(pairs), "doc_id", "text")
     percent, n = conf.percent, conf.shingle
 
@@ -277,4 +281,9 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     found = near_duplicates(docs, STAGE)
     gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
+    gone = materialise(gone, f"{shared_folder(spark)}/gone")
+    # Most documents are in no bucket of those that go, and stay without being shuffled; the others meet the ids themselves.
+    marks = F.broadcast(gone.select(_number("gone id").alias("gone bucket")).distinct())  # at most FILTER_BUCKETS numbers
+    here = _number("doc_id") == F.col("gone bucket")
+    unsure = docs.join(marks, here, "left_semi").join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
+    return docs.join(marks, here, "left_anti").unionByName(unsure)
