@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.columns import ratio
+from sessionlake.functions.columns import clip, ratio
+from sessionlake.functions.quantiles import exact_quantiles, order_statistics
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -16,34 +18,29 @@ QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p9
 def numeric_summary(df: DataFrame, columns: Sequence[str], top: float = 0.01) -> DataFrame:
     """A row for each column: counts, moments, exact quantiles, and the share of the sum that its largest `top` of all rows hold.
 
-    One unpivot and one aggregate; the top share takes a rank within each column.
+    Everything but the distinct values is sums over one pass; quantiles and the value that the top begins at are order statistics in
+    bounded memory. What comes to the driver is some numbers a column.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    v = F.col("value")
-    stats = long.groupBy("feature").agg(
-        F.count("*").alias("n"),
-        F.count(v).alias("non_null"),
-        (F.count_if(v.isNull()) * 100.0 / F.count("*")).alias("missing_pct"),
-        (F.count_if(v == 0) * 100.0 / F.count("*")).alias("zero_pct"),
-        F.count_if(v < 0).alias("negative_count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count_distinct(v).alias("unique_values"),
-        F.sum(v).alias("total"),
-        F.percentile(v, F.array(*map(F.lit, QUANTILES.values()))).alias("q"),
-    )
-    limits = stats.select("feature", F.greatest(F.lit(1), F.ceil(F.col("n") * top)).alias("limit"))
-    # Distinct values first: ties share a rank, so each feature's window holds its distinct values only.
-    counts = long.filter(v.isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("feature").orderBy(F.col("value").desc())
-    before = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = F.greatest(F.lit(0), F.least(F.col("c"), F.col("limit") - before))
-    tops = counts.join(limits, "feature").select("feature", (taken * v).alias("part")).groupBy("feature").agg(F.sum("part").alias("top"))
-    share = F.when(F.col("total") > 0, F.col("top") / F.col("total")).alias("top_share_of_sum")
-    named = [F.col("q")[k].alias(name) for k, name in enumerate(QUANTILES)]
-    return stats.join(tops, "feature", "left").select("feature", "non_null", "missing_pct", "zero_pct", "negative_count", "mean", "std", "min", *named, "max", share, "unique_values")
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    parts = {"non_null": F.count, "missing_pct": lambda c: F.count_if(F.col(c).isNull()) * 100.0 / F.count("*"), "zero_pct": lambda c: F.count_if(F.col(c) == 0) * 100.0 / F.count("*"), "negative_count": lambda c: F.count_if(F.col(c) < 0), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "total": F.sum}
+    stats = df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{c} {k}") for c in columns for k, f in parts.items()]).first()
+    distinct = df.unpivot([], list(columns), "feature", "value").filter("value is not null").distinct().groupBy("feature").agg(F.count("*").alias("n"))
+    unique = {r.feature: r.n for r in distinct.collect()}  # a row for each column
+    limit = max(1, math.ceil(stats["rows"] * top))
+    quantiles = exact_quantiles(df, {c: list(QUANTILES.values()) for c in columns})
+    begins = order_statistics(df, {c: [max(0, stats[f"{c} non_null"] - limit)] for c in columns})
+    begins = {c: next(iter(v.values()), None) for c, v in begins.items()}
+    above = df.agg(F.count("*").alias("rows"), *[f for c, t in begins.items() if t is not None for f in (F.count_if(F.col(c) > t).alias(f"{c} n"), F.sum(F.when(F.col(c) > t, F.col(c))).alias(f"{c} sum"))]).first()
+    rows = []
+    for c in columns:
+        total, share = stats[f"{c} total"], None
+        if total is not None and total > 0:
+            rest = min(limit, stats[f"{c} non_null"]) - above[f"{c} n"]
+            share = ((above[f"{c} sum"] or 0.0) + rest * begins[c]) / total
+        s = {k: stats[f"{c} {k}"] for k in parts}
+        rows.append((c, s["non_null"], s["missing_pct"], s["zero_pct"], s["negative_count"], s["mean"], s["std"], s["min"], *quantiles[c], s["max"], share, unique.get(c, 0)))
+    names = "feature string, non_null long, missing_pct double, zero_pct double, negative_count long, mean double, std double, min double, " + ", ".join(f"{k} double" for k in QUANTILES) + ", max double, top_share_of_sum double, unique_values long"
+    return df.sparkSession.createDataFrame(rows, names)
 
 
 def category_share(df: DataFrame, column: str, blank: str = "(missing)") -> DataFrame:
@@ -120,11 +117,8 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def scatter_sample(df: DataFrame, id_col: str, x: str, y: str, n: int = 20_000, seed: int = 42, clip_at: tuple[float, float] = (0.005, 0.995)) -> DataFrame:
     """Points for a chart: the n rows with the least hashes, clipped to quantiles of all rows."""
-    q = F.array(*map(F.lit, clip_at))
-    limits = df.agg(F.percentile(x, q).alias("qx"), F.percentile(y, q).alias("qy"))
-    sample = hash_sample(df.select(id_col, x, y), id_col, n, seed)
-    inside = lambda c, k: F.greatest(F.col(k)[0], F.least(F.col(k)[1], F.col(c)))
-    return sample.crossJoin(F.broadcast(limits)).select(id_col, inside(x, "qx").alias(x), inside(y, "qy").alias(y))  # one row
+    limits = exact_quantiles(df, {x: clip_at, y: clip_at})
+    return hash_sample(df.select(id_col, x, y), id_col, n, seed).select(id_col, *[clip(F.col(c), *limits[c]).alias(c) for c in (x, y)])
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

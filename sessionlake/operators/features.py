@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import clip, ratio
+from sessionlake.functions.quantiles import exact_quantiles
 from sessionlake.operators.sessions import session_events, session_stream, with_session_columns
 from sessionlake.sources.telemetry import CAMPAIGN_TABLES, EXIT, LEVEL_TABLES, MODE_TABLES
 
@@ -98,11 +99,10 @@ DISCOVERY = ("first_session", "no_started_or_resumed_job", *WINSORISED.values(),
 
 
 def discovery_input(features: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """Session keys and 12 numbers for finding states. The caps are one row of exact quantiles, joined to all rows."""
-    caps = features.agg(*[F.percentile(c, F.lit(quantile)).alias(f"cap_{c}") for c in (*WINSORISED, "progression_gain")])
-    wide = features.crossJoin(F.broadcast(caps))  # one row
-    capped = lambda c: F.coalesce(clip(F.col(c).cast("double"), 0.0, F.col(f"cap_{c}")), F.lit(0.0))
-    return wide.select(
+    """Session keys and 12 numbers for finding states. The caps are exact quantiles over all rows, found first, in bounded memory."""
+    caps = {c: q[0] for c, q in exact_quantiles(features, {c: [quantile] for c in (*WINSORISED, "progression_gain")}).items()}
+    capped = lambda c: F.coalesce(clip(F.col(c).cast("double"), 0.0, caps[c]), F.lit(0.0))
+    return features.select(
         "session_id", "pid", "session_index",
         F.col("days_since_previous_session").isNull().cast("int").alias("first_session"),
         (F.col("jobs_started") + F.col("jobs_resumed") == 0).cast("int").alias("no_started_or_resumed_job"),

@@ -216,7 +216,7 @@ def _numeric(source: str, columns: tuple[str, ...]) -> str:
 
 
 add("numeric_summary", _numeric("feat", NUMERIC))
-add("lineitem_numeric_summary", _numeric("lineitem", ("l_quantity", "l_extendedprice", "l_discount")))
+add("lineitem_numeric_summary", _numeric("(SELECT *, round(l_discount * 100) AS discount_pct, round(l_tax * 100) AS tax_pct FROM lineitem)", ("l_quantity", "l_extendedprice", "discount_pct", "tax_pct")))
 add("mode_share", f"SELECT CASE WHEN primary_game_mode = '' THEN '(missing)' ELSE primary_game_mode END AS primary_game_mode, count(*) AS sessions, {r('count(*) * 100.0 / (SELECT count(*) FROM feat)')} AS pct FROM feat GROUP BY 1")
 _SPP = "(SELECT pid, count(*) AS sessions, row_number() OVER (ORDER BY count(*) DESC, pid) AS n FROM feat GROUP BY pid)"
 add("player_influence", f"SELECT count(*) AS players, sum(sessions)::BIGINT AS sessions, max(sessions) AS max_sessions_per_player, {q('sessions::DOUBLE', 0.95)} AS p95_sessions_per_player, {', '.join(f'''{r(f'sum(sessions) FILTER (n <= greatest(1, ceil((SELECT count(DISTINCT pid) FROM feat) * {s}))) / sum(sessions)::DOUBLE')} AS "top_{s * 100:g}pct_players_session_share"''' for s in (0.01, 0.05))} FROM {_SPP}")

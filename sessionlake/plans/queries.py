@@ -119,7 +119,9 @@ def numeric_summary(f: Frames) -> DataFrame:
 
 @query
 def lineitem_numeric_summary(f: Frames) -> DataFrame:
-    return diagnostics.numeric_summary(f.table("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    """Rates in whole per cent."""
+    per_cent = {"discount_pct": F.round(F.col("l_discount") * 100), "tax_pct": F.round(F.col("l_tax") * 100)}
+    return diagnostics.numeric_summary(f.table("lineitem").withColumns(per_cent), ["l_quantity", "l_extendedprice", *per_cent])
 
 
 @query
