@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.columns import DAY, days_between, micros, ratio, session_key
+from sessionlake.functions.columns import days_between, micros, ratio, session_key
 from sessionlake.sources.telemetry import EVENT_TABLES, EXIT, LOGIN
 
 
@@ -127,7 +127,3 @@ def duration_against_reported(sessions: DataFrame, reported: DataFrame, seconds_
 
 def session_events(assigned: DataFrame) -> DataFrame:
     return assigned.filter("session_id is not null")
-
-
-def days(seconds: float) -> float:
-    return seconds / DAY
