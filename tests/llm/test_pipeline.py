@@ -6,7 +6,6 @@ import pytest
 
 import corpus_pipeline
 from sessionlake.llm.catalog import ORACLES, QUERIES
-from sessionlake.llm.decontamination import align  # noqa: F401
 from sessionlake.llm.pii import DEMO_KEY, pseudonymise
 from sessionlake.llm.toxicity import THRESHOLD, train_lexicon
 from tests.conftest import SMALL
