@@ -35,7 +35,7 @@ class Decontamination:
     #: So many of an item's rarest seeds are kept at any frequency, and those up to twice as frequent as they.
     least_seeds: int = 8
     #: The least alignment score as a share of the item's own.
-    least_score: float = 0.5
+    least_score: float = 0.4
     #: Words on either side of the place that a seed points to, as a share of the item's words, and at least.
     margin: float = 0.25
     least_margin: int = 4
