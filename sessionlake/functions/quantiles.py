@@ -68,8 +68,17 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], max_values
     return out
 
 
-def exact_quantiles(df: DataFrame, probabilities: dict[str, Sequence[float]], max_values: int = MAX_VALUES) -> dict[str, list[float | None]]:
-    """Of each column its quantiles by linear interpolation over non-null values; None where there are none."""
+def exact_quantiles(df: DataFrame, probabilities: dict[str, Sequence[float]], max_values: int = MAX_VALUES, persist: bool = True) -> dict[str, list[float | None]]:
+    """Of each column its quantiles by linear interpolation over non-null values; None where there are none.
+
+    The columns are persisted between the passes, on disk where memory is short, unless the caller has done so.
+    """
+    if persist and probabilities:
+        kept = df.select(*probabilities).persist()
+        try:
+            return exact_quantiles(kept, probabilities, max_values, False)
+        finally:
+            kept.unpersist()
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in probabilities]).first() if probabilities else None
     places = {c: [p * (counts[c] - 1) for p in ps] for c, ps in probabilities.items()}
     found = order_statistics(df, {c: [f(at) for at in ats for f in (math.floor, math.ceil)] for c, ats in places.items()}, max_values)

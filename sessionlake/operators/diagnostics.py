@@ -21,16 +21,17 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], top: float = 0.01) ->
     Everything but the distinct values is sums over one pass; quantiles and the value that the top begins at are order statistics in
     bounded memory. What comes to the driver is some numbers a column.
     """
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()  # read by each pass
     parts = {"non_null": F.count, "missing_pct": lambda c: F.count_if(F.col(c).isNull()) * 100.0 / F.count("*"), "zero_pct": lambda c: F.count_if(F.col(c) == 0) * 100.0 / F.count("*"), "negative_count": lambda c: F.count_if(F.col(c) < 0), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "total": F.sum}
     stats = df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{c} {k}") for c in columns for k, f in parts.items()]).first()
     distinct = df.unpivot([], list(columns), "feature", "value").filter("value is not null").distinct().groupBy("feature").agg(F.count("*").alias("n"))
     unique = {r.feature: r.n for r in distinct.collect()}  # a row for each column
     limit = max(1, math.ceil(stats["rows"] * top))
-    quantiles = exact_quantiles(df, {c: list(QUANTILES.values()) for c in columns})
+    quantiles = exact_quantiles(df, {c: list(QUANTILES.values()) for c in columns}, persist=False)
     begins = order_statistics(df, {c: [max(0, stats[f"{c} non_null"] - limit)] for c in columns})
     begins = {c: next(iter(v.values()), None) for c, v in begins.items()}
     above = df.agg(F.count("*").alias("rows"), *[f for c, t in begins.items() if t is not None for f in (F.count_if(F.col(c) > t).alias(f"{c} n"), F.sum(F.when(F.col(c) > t, F.col(c))).alias(f"{c} sum"))]).first()
+    df.unpersist()
     rows = []
     for c in columns:
         total, share = stats[f"{c} total"], None
