@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. Every item's word n-grams are its seeds. One scan counts the documents that each seed is in.
-2. Rare seeds (in at most a given share of all documents) are kept, and each item's rarest ones, and those about as
-   rare, however many documents have them: an item that leaked into most of the corpus still has its seeds.
-3. A second scan looks the kept seeds up. Around each hit a window of the item's length, with a margin, is
-   aligned with the item, word by word: a match scores 2, a mismatch or gap -1. An alignment
-   that reaches the least share of the item's own score (2 a word) is a leak.
+2. A second scan looks all seeds up. Around each hit lies a window of the item's length, with a margin. A rare seed's
+   (one in at most a given share of all documents) is aligned at once. A frequent seed's, which may be that of an item
+   which leaked often or of a common phrase, is aligned if the words that it shares with the item could reach the least
+   score: an upper bound, so no leak is lost by it.
+3. The alignment goes word by word: a match scores 2, a mismatch or gap -1. One that reaches the least share of the
+   item's own score (2 a word) is a leak.
 
 Items are the bounded side: a block of at most block_chars characters is sent to the tasks; a larger benchmark
 is handled block by block, with two scans each. No shuffle of texts, no join by hot keys.
@@ -32,14 +33,14 @@ class Decontamination:
     #: A seed is rare in at most this share of the documents, or in this number.
     rare_share: float = 5e-5
     rare_docs: int = 10
-    #: So many of an item's rarest seeds are kept at any frequency, and those up to twice as frequent as they.
-    least_seeds: int = 8
     #: The least alignment score as a share of the item's own.
     least_score: float = 0.4
     #: Words on either side of the place that a seed points to, as a share of the item's words, and at least.
     margin: float = 0.25
     least_margin: int = 4
     block_chars: int = 32_000_000
+    #: Windows are made and bounded for about so many hits, and so many words, at a time.
+    piece: int = 1_000_000
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,31 +83,20 @@ class Index:
         self.item, self.place, self.words, every = self.item[order], self.place[order], self.words[order], every[order]
         self.seeds, first = np.unique(every, return_index=True)
         self.first = np.append(first, len(every))
-        self.table()
-
-    def table(self) -> None:
-        """A bitmap over the seeds' upper bits, which most n-grams of a text fail."""
+        self.rare = np.ones(len(self.seeds), bool)
+        # A bitmap over the seeds' upper bits, which most n-grams of a text fail.
         self.shift = np.uint64(64 - 20)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.seeds >> self.shift).astype(np.int64)] = True
         self.lengths = sorted(set(self.words.tolist()))
+        self.sizes = np.array([len(h) for h in self.items], np.int64)
+        # The items' distinct words, and how often each item (item * number of words + word) has each of its own.
+        self.vocabulary, word = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.items]), return_inverse=True)
+        self.owned, self.times = np.unique(np.repeat(np.arange(len(self.items)), self.sizes) * len(self.vocabulary) + word, return_counts=True)
 
-    def keep(self, df: np.ndarray, docs: int) -> None:
-        """Leaves rare seeds and each item's rarest."""
-        conf = self.conf
-        rare = df <= max(conf.rare_docs, int(conf.rare_share * docs))
-        each = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
-        order = np.lexsort((self.place, df[each], self.item))
-        item, own = self.item[order], df[each[order]]
-        first = np.searchsorted(item, item)
-        last = np.searchsorted(item, item, "right") - 1
-        # Twice as frequent as the item's least_seeds-th rarest seed is still rare for it: what leaked often keeps its seeds all along.
-        rare[each[order][own <= 2 * own[np.minimum(first + conf.least_seeds - 1, last)]]] = True
-        stay = rare[each]
-        self.item, self.place, self.words, each = self.item[stay], self.place[stay], self.words[stay], each[stay]
-        self.seeds, first = np.unique(self.seeds[each], return_index=True)
-        self.first = np.append(first, len(each))
-        self.table()
+    def weigh(self, df: np.ndarray, docs: int) -> None:
+        """Tells rare seeds from frequent ones."""
+        self.rare = df <= max(self.conf.rare_docs, int(self.conf.rare_share * docs))
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word number, seed number) of every seed in the texts, in order of words."""
@@ -126,6 +116,48 @@ class Index:
         order = np.lexsort((seed, at))
         return at[order], seed[order]
 
+    def windows(self, w: Words, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, first word, word after the last) of the windows around hits that are worth an alignment, joined where those of a row and item overlap."""
+        conf = self.conf
+        # Each hit times the places its seed has.
+        count = self.first[seed + 1] - self.first[seed]
+        start = np.repeat(self.first[seed] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        at, rare = np.repeat(at, count), np.repeat(self.rare[seed], count)
+        item, place = self.item[start], self.place[start]
+        row = np.searchsorted(w.first, at, "right") - 1
+        size = self.sizes[item]
+        margin = np.maximum(conf.least_margin, (conf.margin * size).astype(np.int64))
+        a = np.maximum(at - place - margin, w.first[row])
+        b = np.minimum(at - place + size + margin, w.first[row + 1])
+        order = np.lexsort((a, item, row))
+        row, item, a, b, size, rare = row[order], item[order], a[order], b[order], size[order], rare[order]
+        group = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (a[1:] > a[:-1] + (size[1:] // 2))])
+        k = np.flatnonzero(group)
+        row, item, a = row[k], item[k], a[k]
+        b, worth = np.maximum.reduceat(b, k), np.logical_or.reduceat(rare, k)
+        doubt = np.flatnonzero(~worth)
+        if len(doubt):
+            word = np.searchsorted(self.vocabulary, w.hash)
+            word[word == len(self.vocabulary)] = 0
+            word[self.vocabulary[word] != w.hash] = -1
+            part = np.cumsum(b[doubt] - a[doubt]) // conf.piece
+            for x in np.split(doubt, np.flatnonzero(np.diff(part)) + 1):
+                worth[x] = self.shared(word, item[x], a[x], b[x]) >= conf.least_score * self.sizes[item[x]]
+        return row[worth], item[worth], a[worth], b[worth]
+
+    def shared(self, word: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words each window has in common with its item, repeats as often as both have them: no alignment matches more."""
+        count = b - a
+        window = np.repeat(np.arange(len(item)), count)
+        word = word[np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        window, word = window[word >= 0], word[word >= 0]
+        key = item[window] * len(self.vocabulary) + word
+        k = np.searchsorted(self.owned, key)
+        k[k == len(self.owned)] = 0
+        own = self.owned[k] == key
+        pair, times = np.unique(window[own] * len(self.owned) + k[own], return_counts=True)
+        return np.bincount(pair // len(self.owned), np.minimum(times, self.times[pair % len(self.owned)]), len(item))
+
     def leaks(self, column: pa.Array) -> Iterator[tuple[int, int, int, float, int, int, int, int]]:
         """(row, item id, score, similarity, first word, word after the last, first byte, byte after the last): one for each row and item, the best."""
         conf = self.conf
@@ -134,25 +166,17 @@ class Index:
             at, seed = self.hits(w)
             if not len(at):
                 continue
-            # Each hit times the places its seed has, then windows of the same row and item joined where they overlap.
-            count = self.first[seed + 1] - self.first[seed]
-            start = np.repeat(self.first[seed] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            at = np.repeat(at, count)
-            item, place = self.item[start], self.place[start]
-            row = np.searchsorted(w.first, at, "right") - 1
-            size = np.array([len(h) for h in self.items], np.int64)[item]
-            margin = np.maximum(conf.least_margin, (conf.margin * size).astype(np.int64))
-            a = np.maximum(at - place - margin, w.first[row])
-            b = np.minimum(at - place + size + margin, w.first[row + 1])
-            order = np.lexsort((a, item, row))
-            row, item, a, b, size = row[order], item[order], a[order], b[order], size[order]
-            group = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (a[1:] > a[:-1] + (size[1:] // 2))])
-            k = np.flatnonzero(group)
-            row, item, a, size = row[k], item[k], a[k], size[k]
-            b = np.maximum.reduceat(b, k)
+            # Whole rows, as many as have about a piece of hits times places.
+            part = np.cumsum(self.first[seed + 1] - self.first[seed]) // conf.piece
+            owner = np.searchsorted(w.first, at, "right") - 1
+            part = part[np.searchsorted(owner, owner)]
+            cut = np.flatnonzero(np.diff(part)) + 1
+            found = [self.windows(w, x, y) for x, y in zip(np.split(at, cut), np.split(seed, cut), strict=True)]
+            row, item, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            size = self.sizes[item]
             best: dict[tuple[int, int], tuple] = {}
             order = np.argsort(size * (b - a), kind="stable")
-            for part in np.array_split(order, max(1, len(order) // 128)):
+            for part in np.array_split(order, max(1, len(order) // 128)) if len(order) else []:
                 score, end = self.aligned(w.hash, item[part], a[part], b[part])
                 for x, s, e in zip(part.tolist(), score.tolist(), end.tolist(), strict=True):
                     if s >= conf.least_score * 2 * size[x] and s > best.get((int(row[x]), int(item[x])), (0,))[0]:
@@ -184,7 +208,7 @@ def _blocks(benchmark: DataFrame, conf: Decontamination) -> Iterator[Index]:
 
 
 def _counted(texts: DataFrame, index: Index) -> None:
-    """Counts, over all documents, those that each seed is in, and leaves the rare ones."""
+    """Counts, over all documents, those that each seed is in, which tells rare ones."""
     sent = texts.sparkSession.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +231,7 @@ def _counted(texts: DataFrame, index: Index) -> None:
             docs = r.n
         else:
             df[r.seed] = r.n
-    index.keep(df, docs)
+    index.weigh(df, docs)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, conf: Decontamination, text_col: str = "text") -> Iterator[Index]:
@@ -223,7 +247,7 @@ LEAKS = "doc_id long, item_id long, score long, similarity double, first_word lo
 def find_leaks(docs: DataFrame, benchmark: DataFrame, conf: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """A row for each row of docs and item that leaked into it: the alignment's score, its share of the item's own, words and UTF-8 bytes.
 
-    An alignment is found if a kept seed lies in it; an item of fewer words than a seed only where all its words
+    An alignment is found if a seed of the item lies in it, however many documents hold that seed; an item of fewer words than a seed only where all its words
     follow one another. Null and empty texts, and items without words, match nothing. Repeated rows are each reported; of equal
     alignments the first stands. Items that repeat an id with another text are each looked for. An empty
     benchmark or table gives no rows. Other columns don't matter.

@@ -94,3 +94,19 @@ def test_planted_leaks(spark, share, tmp_path):
     assert {(len(clean) + 1 + k, i) for k, (i, _) in enumerate(items)} <= got
     kept = {r.doc_id for r in decontamination_stage(spark, frame(spark, texts), str(tmp_path)).collect()}
     assert kept == set(range(1, len(texts) + 1)) - {d for d, _ in got}
+
+
+def test_edited_and_half_copies_in_hundreds_of_documents(spark):
+    rng = random.Random(5)
+    items = [(k, sentence(rng, 40)) for k in range(4)]
+    changed = items[0][1].split(" ")
+    for k in range(3, 40, 7):  # six words of one edit, found in every copy
+        changed[k] = f"other{k}"
+    half = " ".join(items[1][1].split(" ")[:20])
+    copies = [" ".join(changed)] * 300 + [half] * 300 + [f"{items[2][1].upper()}"] * 20
+    texts = [f"{sentence(rng, 12)} {c} {sentence(rng, 12)}" for c in copies] + [sentence(rng, 60) for _ in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = brute(list(enumerate(texts, 1)), items, 0.4)
+    assert {(k, 0) for k in range(1, 301)} | {(k, 1) for k in range(301, 601)} <= expected
+    for conf in (Decontamination(), Decontamination(piece=50)):
+        assert {(r.doc_id, r.item_id) for r in find_leaks(frame(spark, texts), bench, conf).collect()} == expected
