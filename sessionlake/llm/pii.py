@@ -83,11 +83,26 @@ def _card(text: str, key: bytes) -> str | None:
     return re.sub(r"\d", lambda _: next(new), text)
 
 
+#: Least and most digits of national numbers, without the country's code; of other countries 7 to 12.
+_NATIONAL = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9),
+    "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (7, 11), "51": (8, 9), "52": (10, 10), "53": (8, 8), "54": (10, 11),
+    "55": (10, 11), "56": (9, 9), "57": (10, 10), "58": (10, 10), "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10),
+    "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "93": (9, 9), "94": (9, 9), "95": (7, 10), "98": (10, 10),
+}
+
+
+def _country(text: str) -> str:
+    """The country's code, however the digits behind it are grouped."""
+    digits = re.match(r"\+(\d{1,3})", text)[1]
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _NATIONAL), digits)
+
+
 def _phone(text: str, key: bytes) -> str | None:
-    country, rest = re.match(r"(\+\d{1,3})(.*)", text, re.S).groups() if text[0] == "+" else ("", text)
-    if not 7 <= sum(c.isdigit() for c in rest) <= 13:
+    at = 1 + len(_country(text)) if text[0] == "+" else 0
+    if not 7 <= sum(c.isdigit() for c in text[at:]) <= 15:
         return None
-    return country + permute_text(rest, key, "phone")
+    return text[:at] + permute_text(text[at:], key, "phone")
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -140,11 +155,17 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+#: Characters of a country's IBANs.
+_IBANS = dict(zip("NO BE DK FI NL SI AT EE LT LU LV HR CH LI DE GB IE BG RS ME BA AE IL CZ SK ES SE TR RO PL HU PT FR IT SM GR CY MC SA QA".split(), map(int, "15 16 18 18 18 19 20 20 20 20 21 21 21 21 22 22 22 22 22 22 20 23 23 24 24 24 24 26 24 28 28 25 27 27 27 27 28 27 24 29".split()), strict=True))
+
+
 def _iban(text: str, key: bytes) -> str | None:
-    if _mod97(text[4:] + text[:4]) != 1:
+    plain = re.sub(r"[ -]", "", text)
+    if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
         return None
-    body = permute_text(text[4:], key, f"iban{text[:2]}")
-    return f"{text[:2]}{98 - _mod97(body + text[:2] + '00'):02d}{body}"
+    body = permute_text(plain[4:], key, f"iban{plain[:2]}")
+    new = iter(f"{plain[:2]}{98 - _mod97(body + plain[:2] + '00'):02d}{body}")
+    return re.sub(r"[A-Z0-9]", lambda _: next(new), text)
 
 
 def _email(text: str, key: bytes) -> str | None:
@@ -164,35 +185,72 @@ def _secret(text: str, key: bytes) -> str | None:
 
 
 _MAKE = dict(zip(KINDS, (_card, _phone, _ip, _date, _ssn, _iban, _email, _key, _secret), strict=True))
-#: In this order: the first kind that fits and whose check holds has the text.
-PATTERN = re.compile(
-    r"""(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))
-    |(?<![A-Za-z0-9])(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])
-    |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d\d[A-Z0-9]{11,30})(?![A-Za-z0-9])
-    |(?<![A-Za-z0-9])(?P<secret>[0-9a-fA-F]{32,128})(?![A-Za-z0-9])
-    |(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)
-    |(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])
-    |(?<![\w/.-])(?P<date>\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4}|\d\d-\d\d-\d{4})(?![\w/-]|\.\d)
-    |(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])
-    |(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-]|\.\d)""",
-    re.X,
+_PATTERNS = dict(
+    email=r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    key=r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    iban=r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    secret=r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
+    ip=r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
+    ssn=r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
+    date=r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d(?=T\d\d)|(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4}|\d\d-\d\d-\d{4})(?![\w/-]|\.\d))",
+    phone=r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
+    card=r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 )
+#: In this order: the first kind that fits and whose check holds has the text.
+PATTERN = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS.items()))
+_ORDER = tuple(_PATTERNS)
+_ALONE = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
+_REGULAR = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+
+
+def _regular(text: str) -> bool:
+    """Whether a card is written without groups or in the usual ones."""
+    groups = tuple(map(len, re.split(r"[ -]", text)))
+    return len(groups) == 1 or groups in _REGULAR
+
+
+def _readings(kind: str, text: str) -> list[str]:
+    """The match and its parts up to a separator, the likeliest first: a pattern takes in a number that follows."""
+    if kind not in ("card", "phone", "iban"):
+        return [text]
+    parts = [text, *(text[: m.start()] for m in reversed(list(re.finditer(r"[ .-]", text))))]
+    if kind == "card":
+        return sorted(parts, key=lambda p: not _regular(p))
+    if kind == "iban":
+        return sorted(parts, key=lambda p: len(re.sub(r"[ -]", "", p)) != _IBANS.get(p[:2], 0))
+    if text[0] != "+":
+        return [text]
+    code = _country(text)
+    least, most = _NATIONAL.get(code, (7, 12))
+    digits = lambda p: sum(c.isdigit() for c in p.replace("(0)", "")) - len(code)
+    return [*(p for p in parts if least <= digits(p) <= most), text]
+
+
+def _value(text: str, m: re.Match, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value that begins where m does: the first reading of the first kind whose check holds."""
+    for kind in _ORDER[_ORDER.index(m.lastgroup) :]:
+        own = m if kind == m.lastgroup else _ALONE[kind].match(text, m.start())
+        for part in _readings(kind, own[0]) if own else ():
+            new = _MAKE[kind](part, key)
+            if new is not None:
+                return kind, m.start() + len(part), new
+    return None
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each value found in it."""
     out, spans, at, pos = [], [], 0, 0
     while m := PATTERN.search(text, pos):
-        kind = m.lastgroup
-        new = _MAKE[kind](m[0], key)
-        if new is None:
+        value = _value(text, m, key)
+        if value is None:
             pos = m.start() + 1
             while pos < m.end() and text[pos].isalnum() and text[pos - 1].isalnum():
                 pos += 1
             continue
+        kind, end, new = value
         out += [text[at : m.start()], new]
-        spans.append((kind, m.start(), m.end(), new))
-        at = pos = m.end()
+        spans.append((kind, m.start(), end, new))
+        at = pos = end
     return ("".join([*out, text[at:]]) if spans else text), spans
 
 

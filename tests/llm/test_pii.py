@@ -93,3 +93,34 @@ def test_frame(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in out.collect())
     assert pseudonymise_documents(docs.limit(0), KEY).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("pay 4111 1111 1111 1111 12 items", "4111 1111 1111 1111"),
+        ("4111111111111111 123 ok", "4111111111111111"),
+        ("4111-1111-1111-1111 12/27", "4111-1111-1111-1111"),
+        ("call +1 (743) 555-3824 12 men", "+1 (743) 555-3824"),
+        ("call +44 (0)20 7946 0958 1234 men", "+44 (0)20 7946 0958"),
+        ("to DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 00"),
+        ("to NO93 8601 1117 947 12", "NO93 8601 1117 947"),
+        ("to BE68 5390 0754 7034 CODE 12", "BE68 5390 0754 7034"),
+        ("at 2024-02-29T12:30:00Z", "2024-02-29"),
+        ("4111-11-11 1111-111111", "4111-11-11 1111-111111"),
+    ],
+)
+def test_neighbours_and_spellings(text, value):
+    if value.startswith("4111-11-11"):  # no date, but a card in odd groups
+        digits = value.replace("-", "").replace(" ", "")
+        text = value = f"{value[:-1]}{_luhn(digits[:-1])}"
+    out, spans = pseudonymise(text, KEY)
+    assert [text[a:b] for _, a, b, _ in spans] == [value]
+    assert spans[0][3] == pseudonymise(value, KEY)[0] != value
+    assert out == text.replace(value, spans[0][3])
+
+
+def test_spellings_of_a_value_stay_linked():
+    digits = lambda t: "".join(c for c in pseudonymise(t, KEY)[0] if c.isalnum())
+    assert digits("DE89 3704 0044 0532 0130 00") == digits("DE89370400440532013000")
+    assert digits("+1 (743) 555-3824") == digits("+17435553824") == digits("+1 743 555 3824 12 men").removesuffix("12men")
