@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import rounded
-from sessionlake.operators import audit, censoring, clusters, diagnostics, features, models, recovery, regression, rigidity, sequences, sessions, transitions
+from sessionlake.operators import audit, censoring, clusters, diagnostics, features, models, recovery, regression, rigidity, sequences, sessions, starts, transitions
 from sessionlake.plans.frames import Frames
 from sessionlake.sources.files import union_by_name
 
@@ -607,42 +607,53 @@ def cluster_sizes(f: Frames) -> DataFrame:
 @query
 def kmeans_fit(f: Frames) -> DataFrame:
     pts = f.embedding_points.cache()
-    km = clusters.kmeans(pts, 5, restarts=2, max_iter=3)
+    km = starts.kmeans_many(starts.hashed(pts), [starts.Job(5, 42)], max_iter=120)[0]
     return clusters.center_sums(clusters.assign(pts, km.centers), km.centers.shape[1]).select("label", "size", "inertia")
 
 
 @query
 def mixture_fit(f: Frames) -> DataFrame:
     pts = _four(f).cache()
-    return clusters.posterior_summary(clusters.posteriors(pts, clusters.mixture(pts, 5, restarts=2, kmeans_restarts=1, max_iter=2)), ["label"])
+    return clusters.posterior_summary(clusters.posteriors(pts, starts.mixture_many(starts.hashed(pts), [starts.Job(5, 42)], max_iter=120)[0].after), ["label"])
 
 
-@query
-def model_grid(f: Frames) -> DataFrame:
+def _pc(f: Frames) -> DataFrame:
     z = _z(f)
     scores = clusters.pca_scores(z, "session_id", clusters.pca(z, features.DISCOVERY), 5)
-    return clusters.model_grid({"standardised": clusters.points(z, "session_id", features.DISCOVERY), "pc1_pc5": clusters.points(scores, "session_id", [f"PC{k}" for k in range(1, 6)])}, [2, 5], restarts=1)
+    return clusters.points(scores, "session_id", [f"PC{k}" for k in range(1, 6)])
+
+
+@query
+def model_grid(f: Frames) -> DataFrame:
+    return starts.model_grid({"standardised": clusters.points(_z(f), "session_id", features.DISCOVERY), "pc1_pc5": _pc(f)})
 
 
 @query
 def seed_stability(f: Frames) -> DataFrame:
-    return clusters.seed_stability(_four(f), 5, [4201, 4202, 4203])
+    return starts.seed_stability(_pc(f))
 
 
 @query
 def subsample_stability(f: Frames) -> DataFrame:
-    return clusters.subsample_stability(_four(f), 5, 0.8, [1, 2], MIXTURE)
+    return starts.subsample_stability(_pc(f))
 
 
 @query
 def regime_refit(f: Frames) -> DataFrame:
-    """A mixture fitted again to sessions outside of the window, its most minimal cluster, and whether it passes for minimal."""
-    outside = sequences.with_rule_states(f.features).filter(~sequences.in_window(F.col("login_time"), f.conf)).cache()
-    z = clusters.zscored(features.discovery_input(outside), "session_id", features.DISCOVERY)
-    pts = clusters.points(z, "session_id", features.DISCOVERY).cache()
-    labels = clusters.posteriors(pts, clusters.mixture(pts, 5, restarts=1, kmeans_restarts=1)).select(F.col("id").alias("session_id"), F.col("label").alias("cluster"))
-    got = clusters.minimal_cluster(outside.join(labels, "session_id"))
-    return got.withColumn("minimal_found", (F.col("duration_median") <= 2) & (F.col("no_event_rate") >= 0.95) & (F.col("missing_mode_rate") >= 0.9))
+    """Mixtures fitted again to sessions outside of the window, and to those before it: their clusters, the most minimal one, and whether it passes for minimal."""
+    df = sequences.with_rule_states(f.features).cache()
+    pc = _pc(f).cache()
+    parts = []
+    for name in ("out_of_window", "before_window"):
+        part = df.filter(_regimes(f)[name])
+        pts = pc.join(part.select(F.col("session_id").alias("id")), "id", "left_semi").cache()
+        if pts.isEmpty():
+            continue
+        fit = starts.mixture_many(starts.hashed(pts), [starts.Job(5, 6205)], 8, 8)[0]
+        labels = clusters.posteriors(pts, fit.before).select(F.col("id").alias("session_id"), F.col("label").alias("cluster"))
+        got = clusters.minimal_cluster(part.join(labels, "session_id"))
+        parts.append(got.withColumn("minimal_found", (F.col("duration_median") <= 2) & (F.col("no_event_rate") >= 0.95) & (F.col("missing_mode_rate") >= 0.9)).withColumns({"regime": F.lit(name), "bic": F.lit(fit.after.bic)}))
+    return union_by_name(parts)
 
 
 @query
