@@ -20,10 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.kernel import Words, chunks, grams, words
+from sessionlake.llm.kernel import Words, chunks, grams, utf8
 from sessionlake.session import ship
 
 
@@ -64,13 +65,41 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
+_EDGE = np.zeros(256, bool)
+_EDGE[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of some texts, with the hashes of their lower case in all scripts and without ASCII punctuation at their edges.
+
+    White space doesn't change by folding, so the words are the same ones; a word of punctuation only stays as it is.
+    """
+    w = Words(data, offsets)
+    if len(data) and data.max() >= 0x80:
+        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        data, offsets = utf8(pc.utf8_lower(texts))
+        lower = Words(data, offsets)
+    else:
+        lower = w
+    start, end = lower.start.copy(), lower.end.copy()
+    left = right = np.arange(len(start))
+    while len(left := left[(start[left] < end[left]) & _EDGE[data[np.minimum(start[left], len(data) - 1)]]]):
+        start[left] += 1
+    while len(right := right[(start[right] < end[right]) & _EDGE[data[end[right] - 1]]]):
+        end[right] -= 1
+    some = start < end
+    w.hash = lower.hashes(data, np.where(some, start, lower.start), np.where(some, end, lower.end))
+    return w
+
+
 class Index:
     """Items as word hashes, and seeds as sorted hashes with the places they are at."""
 
     def __init__(self, ids: list[int], texts: list[str | None], conf: Decontamination):
         self.ids, self.conf = np.array(ids, np.int64), conf
         self.items: list[np.ndarray] = []
-        for w in words(pa.array(texts, pa.large_string())):
+        for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+            w = folded(data, offsets)
             self.items += [w.hash[a:b] for a, b in zip(w.first, w.first[1:], strict=False)]
         n = conf.seed_words
         parts = [grams(h, min(n, len(h))) if len(h) else h for h in self.items]
@@ -162,7 +191,7 @@ class Index:
         """(row, item id, score, similarity, first word, word after the last, first byte, byte after the last): one for each row and item, the best."""
         conf = self.conf
         for row0, _, data, offsets in chunks(column):
-            w = Words(data, offsets)
+            w = folded(data, offsets)
             at, seed = self.hits(w)
             if not len(at):
                 continue
@@ -216,7 +245,8 @@ def _counted(texts: DataFrame, index: Index) -> None:
         df, docs = np.zeros(len(ix.seeds), np.int64), 0
         for batch in batches:
             docs += batch.num_rows
-            for w in words(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0)):
+                w = folded(data, offsets)
                 at, seed = ix.hits(w)
                 row = np.searchsorted(w.first, at, "right") - 1
                 df += np.bincount(np.unique(row * len(df) + seed) % len(df), minlength=len(df))

@@ -82,12 +82,16 @@ class Words:
         begins[edge] = inside[edge]
         ends[edge - 1] = inside[edge - 1]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = _power_tables(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * down[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * up[self.start])
+        self.hash = self.hashes(data, self.start, self.end)
         self.first = np.searchsorted(self.start, offsets[: rows + 1])
 
+    @staticmethod
+    def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        up, down = _power_tables(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * down[: len(data)], out=total[1:])
+        return mix((total[end] - total[start]) * up[start])
+
     @property
     def rows(self) -> int:
         return len(self.first) - 1

@@ -110,3 +110,11 @@ def test_edited_and_half_copies_in_hundreds_of_documents(spark):
     assert {(k, 0) for k in range(1, 301)} | {(k, 1) for k in range(301, 601)} <= expected
     for conf in (Decontamination(), Decontamination(piece=50)):
         assert {(r.doc_id, r.item_id) for r in find_leaks(frame(spark, texts), bench, conf).collect()} == expected
+
+
+def test_case_of_all_scripts_and_punctuation_at_edges(spark):
+    item = "été où naît l'élève (ému) à Évreux, très près d'Ükraïne; «ça» ñandú ÆØÅ Ωμέγα"
+    texts = [f"before {t} behind" for t in (item, item.upper(), item.title(), item.replace(",", "").replace(";", ".").replace("(", ""))]
+    got = find_leaks(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"), Decontamination(least_score=1.0)).collect()
+    found = {r.doc_id: texts[r.doc_id - 1].encode()[r.first_byte : r.end_byte].decode() for r in got}
+    assert found == {k: t.removeprefix("before ").removesuffix(" behind") for k, t in enumerate(texts, 1)}
