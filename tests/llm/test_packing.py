@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from sessionlake.llm import packing
 from sessionlake.llm.packing import Capacities, best_fit_decreasing, byte_bpe_50k, op9_best_fit_packing, pack
 from tests.conftest import SMALL
 from tests.llm.data import awkward, frame, sentence
@@ -27,6 +29,52 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("run", "n"), [(" ", 1_000_000), ("\n", 1_000_000), (" \n", 1_000_000), ("\u3000", 300_000), (" ", 2_000_000), ("\t", 10_000_000)])
+def test_long_blank_runs(tokenizer, run, n):
+    blank, encode = run * (n // len(run)), byte_bpe_50k()
+    texts = [f"a{blank}b c"] if n > 1_000_000 else [blank, f"a{blank}b", f"a{blank}", f"{blank}<|endoftext|>b", f"x y{blank}'s{blank}12"]
+    for text in texts:
+        got, want = encode(text), np.array(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert np.array_equal(got, want)
+
+
+def test_every_run_length_near_the_bound(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 4)
+    monkeypatch.setattr(packing, "_BLANKS", re.compile(packing._BLANKS.pattern.replace("200000", "4")))
+    rng, encode = random.Random(8), byte_bpe_50k()
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", "  ", "    ", "\n", "\r\n\n\n", "\t\t\t\t\t", "\xa0\xa0\xa0\xa0", "\x1c\x1c\x1c\x1c", "a", "'s", "1", "!", "é", "<|endoftext|>"]) for _ in range(rng.randrange(12)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_blank_run_in_a_document(spark, tokenizer):
+    text = "a" + " " * 1_000_000 + "b"
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    rows = pack(frame(spark, ["x y", text, None])).filter("doc_id = 2").collect()
+    assert sum(r.length for r in rows) == len(ids) + 1
+    assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(rows, key=lambda r: r.start)])[:-1].tolist() == ids
+
+
+def test_fit_is_best_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        window = rng.choice((8, 31, 64))
+        lengths = np.array([rng.randrange(1, window + 1) for _ in range(rng.randrange(60))], np.int64)
+        at, offset, n = best_fit_decreasing(lengths, window)
+        free: list[int] = []
+        for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            fits = [c for c in free if c >= lengths[k]]
+            if fits:
+                assert window - offset[k] == min(fits)
+                free.remove(min(fits))
+            else:
+                assert offset[k] == 0
+            left = window - int(offset[k]) - int(lengths[k])
+            if left:
+                free.append(left)
+        assert n == len(set(at.tolist()))
+
+
 def test_segment_tree_finds_the_tightest():
     rng = random.Random(2)
     tree, plain = Capacities(64), []
