@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionlake.session import ship
 
@@ -69,8 +70,12 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over each group of keys, whose rows come in the given order. fn gives a batch of the schema or None."""
+def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, partitions: int | None = None, number: Column | None = None) -> DataFrame:
+    """fn over each group of keys, whose rows come in the given order. fn gives a batch of the schema or None.
+
+    The rows' bytes say little of the work in them, so the number of tasks is fixed: partitions, else the session's number
+    of shuffle partitions. With number, a whole number that depends on the keys alone, groups are dealt by it in turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pa.RecordBatch] = []
@@ -86,4 +91,6 @@ def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Call
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, *keys) if number is None else df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int"))
+    return df.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from sessionlake.llm.topk import TopK, quantised, top_k
+from sessionlake.llm.topk import ImpactIndex, TopK, op4_impact_ordered_topk, quantised, top_k
 
 
 def brute(vectors, queries, k):
@@ -14,7 +15,7 @@ def brute(vectors, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "dims", "span", "conf"), [(300, 16, 50, TopK()), (120, 3, 1, TopK(k=5, row_block=20, query_block=7)), (4, 8, 9, TopK()), (90, 1, 2, TopK(levels=1))])
+@pytest.mark.parametrize(("n", "dims", "span", "conf"), [(300, 16, 50, TopK()), (120, 3, 1, TopK(k=5, row_block=9, query_block=7, growth=2)), (4, 8, 9, TopK()), (90, 1, 2, TopK(levels=1)), (200, 24, 40, TopK(k=3, row_block=60, rest=0.0)), (60, 8, 10**9, TopK(row_block=30))])
 def test_is_brute_force(spark, n, dims, span, conf):
     rng = np.random.default_rng(n)
     vectors = {k: rng.integers(-span, span + 1, dims).tolist() for k in range(n)}
@@ -32,3 +33,36 @@ def test_vectors_that_take_no_part(spark):
     assert [tuple(r) for r in top_k(q, q.filter("vec_id = 0")).collect()] == [(0, 1, 1, 512 * 102 - 204)]
     assert top_k(q.limit(0), q.limit(0)).collect() == []
     assert top_k(q.filter("vec_id = 0"), q.filter("vec_id = 0")).collect() == []
+
+
+def test_ragged_empty_and_large_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, []), (3, []), (4, [1.0]), (5, [2.0, 0.0]), (6, [1e30, 1.0]), (7, [0.0, 0.0])]
+    q = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), scale=1)
+    got = sorted(tuple(r) for r in top_k(q.withColumn("rank", q.vec_id), q.unionAll(q)).collect())
+    want = [(0, 1, 1, 5), (0, 2, 5, 2), (0, 3, 7, 0), (1, 1, 5, 6), (1, 2, 0, 5), (1, 3, 7, 0), (2, 1, 3, 0), (3, 1, 2, 0), (5, 1, 1, 6), (5, 2, 0, 2), (5, 3, 7, 0), (7, 1, 0, 0), (7, 2, 1, 0), (7, 3, 5, 0)]
+    assert got == want
+
+
+def test_repeated_rows_and_ties(spark):
+    rows = spark.createDataFrame([(k % 40, [1, 2, 3]) for k in range(200)] + [(900, [1, 2, 2])], "vec_id long, vector array<long>")
+    got = [tuple(r) for r in top_k(rows, rows.filter("vec_id = 3"), TopK(row_block=50)).collect()]
+    assert sorted(got) == [(3, r, v, 14) for r, v in enumerate([0] * 5 + [1] * 5, 1)]
+
+
+@pytest.mark.parametrize("least", [False, True])
+def test_index_reads_part_and_scores_few(least):
+    """At the query's settings, over sf0.1: the shares that the README gives."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids = table.column("vec_id").to_numpy()
+    x = np.floor(np.array(table.column("embedding").to_pylist(), float) * 1024).astype(np.int64)
+    index, read, rescored = ImpactIndex(ids, x), [], []
+    for at in np.flatnonzero(ids % 100 == 0):
+        scores = np.where(ids == ids[at], -(2**60), x @ x[at])
+        best = np.lexsort((ids, -scores))[:10]
+        found = index.search(x[at], 10, int(ids[at]), float(scores[best[-1]]) if least else -np.inf)
+        assert found.ids.tolist() == ids[best].tolist()
+        assert found.scores.tolist() == scores[best].tolist()
+        read.append(found.read / x.size)
+        rescored.append(found.rescored / len(x))
+    assert np.mean(read) < 0.63
+    assert np.mean(rescored) < 0.15
