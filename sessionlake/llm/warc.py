@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.shared import materialise, shared_folder
+from sessionlake.llm.shared import materialise, remove, shared_folder
 from sessionlake.session import ship
 
 PIECE = 1 << 20
@@ -193,8 +193,13 @@ def normalise_stream(source, write: Callable[[bytes], object], index: Callable[[
     return n
 
 
+def _file_a_task(manifest: DataFrame, *columns: str) -> DataFrame:
+    """The manifest's files, each in a partition of its own: the few bytes of a path say nothing of its file's size."""
+    return manifest.select(*columns).repartitionByRange(max(1, manifest.count()), "path")
+
+
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """path, index_path, records of each archive of the manifest, rewritten below folder; a task a file."""
+    """path, index_path, records of each archive of the manifest, rewritten below folder; a task a file. The manifest is a written one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs_out, top = file_system(folder)
@@ -210,7 +215,7 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made]) for k in range(3)], names=["path", "index_path", "records"])
 
     ship(manifest.sparkSession)
-    return manifest.select("path").repartition("path").mapInArrow(run, "path string, index_path string, records long")
+    return _file_a_task(manifest, "path").mapInArrow(run, "path string, index_path string, records long")
 
 
 def read_member(source, offset: int, length: int) -> Iterator[bytes]:
@@ -254,7 +259,7 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """A row for each record of normalised archives, each read alone at the place its index gives."""
+    """A row for each record of normalised archives, each read alone at the place its index gives; a task a file. The manifest is a written one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -278,7 +283,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield batch_of(rows)
 
     ship(manifest.sparkSession)
-    return manifest.select("path", "index_path").repartition("path").mapInArrow(run, RECORDS)
+    return _file_a_task(manifest, "path", "index_path").mapInArrow(run, RECORDS)
 
 
 def _lines(stream) -> Iterator[bytes]:
@@ -300,6 +305,7 @@ def round_trip(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
     folder = shared_folder(pages.sparkSession)
     whole = materialise(write_archives(with_revisits(pages, least_bytes), f"{folder}/whole"), f"{folder}/whole-manifest")
     apart = materialise(normalise_archives(whole, f"{folder}/members"), f"{folder}/members-manifest")
+    remove(pages.sparkSession, f"{folder}/whole")
     return read_archives(apart)
 
 

@@ -6,9 +6,10 @@ import io
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.llm import warc
-from sessionlake.llm.shared import shared_folder
+from sessionlake.llm.shared import materialise, shared_folder
 
 
 def brute(rows):
@@ -89,3 +90,18 @@ def test_broken_streams_are_errors():
     head = warc.record_head(1, "u", hashlib.sha1(b"other").hexdigest(), 4, None) + b"text\r\n\r\n"
     with pytest.raises(ValueError, match="digest"):
         warc.read_record(iter([head]))
+
+
+def test_each_file_has_a_task(spark):
+    df = spark.createDataFrame([(k, f"http://x/{k}", f"{k}" * 400) for k in range(60)], "page_id long, url string, html string")
+    folder = shared_folder(spark)
+    made = materialise(warc.write_archives(warc.with_revisits(df).coalesce(1), f"{folder}/whole", archive_bytes=4000), f"{folder}/manifest")
+    files = made.count()
+    assert files >= 8
+    tasks = warc._file_a_task(made, "path").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in tasks}) == len(tasks) == files
+    apart = materialise(warc.normalise_archives(made, f"{folder}/members"), f"{folder}/apart")
+    assert apart.count() == files
+    rows = warc.read_archives(apart).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) == files
+    assert sorted(r.page_id for r in rows) == list(range(60))
