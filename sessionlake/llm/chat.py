@@ -15,9 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessionlake.session import ship
 
@@ -38,91 +37,113 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-def schema_paths(schema: T.StructType, at: str = "") -> set[str]:
-    """The same paths for a table's columns."""
-
-    def of(kind: T.DataType, at: str) -> set[str]:
-        if isinstance(kind, T.StructType):
-            return set().union(*(of(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind))
-        if isinstance(kind, T.ArrayType):
-            return of(kind.elementType, f"{at}[]")
-        return {f"{at}:{'bool' if isinstance(kind, T.BooleanType) else 'number' if isinstance(kind, T.NumericType) else 'text'}"}
-
-    return of(schema, at)
-
-
 @dataclass(frozen=True)
 class Mapping:
-    """required: field paths a layout must have, without kinds. Either `turns` (the list), `role` and `text` within each item, or `fields`: (field, role) in order."""
+    """What a layout's records say, as data.
+
+    required: the layout's field paths with kinds. Either `turns` (the list), `role` and `text` within each item; or `turn`, `role`
+    and `text` of a record that is one turn; or `fields`: (field, role) in order. roles: other names of roles.
+    """
 
     name: str
     required: tuple[str, ...]
     turns: str = ""
+    turn: str = ""
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
-    roles: tuple[tuple[str, str], ...] = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+    roles: tuple[tuple[str, str], ...] = ()
+
+    def has(self, path: str) -> bool:
+        return any(p.rpartition(":")[0] == path for p in self.required)
 
 
-#: The first whose required paths are all there has the layout.
+_SHARED_ROLES = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+#: Where a record's fingerprint isn't known, the first whose required paths are all there has the layout.
 MAPPINGS = (
-    Mapping("turn rows", ("conv_id", "turn", "role", "text"), role="role", text="text"),
-    Mapping("messages", ("messages[].role", "messages[].content"), "messages", "role", "content"),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
-    Mapping("instruction with input", ("instruction", "input", "output"), fields=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
-    Mapping("instruction", ("instruction", "output"), fields=(("system", "system"), ("instruction", "user"), ("output", "assistant"))),
-    Mapping("prompt", ("prompt", "completion"), fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant"))),
-    Mapping("prompt and response", ("prompt", "response"), fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
-    Mapping("question", ("question", "answer"), fields=(("context", "user"), ("question", "user"), ("answer", "assistant"))),
+    Mapping("turn rows", ("conv_id:number", "turn:number", "role:text", "text:text"), turn="turn", role="role", text="text"),
+    Mapping("messages", ("messages[].role:text", "messages[].content:text"), "messages", role="role", text="content"),
+    Mapping("conversations", ("conversations[].from:text", "conversations[].value:text"), "conversations", role="from", text="value", roles=_SHARED_ROLES),
+    Mapping("instruction with input", ("instruction:text", "input:text", "output:text"), fields=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
+    Mapping("instruction", ("instruction:text", "output:text"), fields=(("system", "system"), ("instruction", "user"), ("output", "assistant"))),
+    Mapping("prompt", ("prompt:text", "completion:text"), fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant"))),
+    Mapping("prompt and response", ("prompt:text", "response:text"), fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
+    Mapping("question", ("question:text", "answer:text"), fields=(("context", "user"), ("question", "user"), ("answer", "assistant"))),
 )
 
 
-def select_mapping(found: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
-    plain = {p.rpartition(":")[0] or p for p in found}
-    return next((m for m in mappings if plain.issuperset(m.required)), None)
+KEPT_LAYOUTS = 1 << 16
+
+
+class Registry:
+    """Mappings by fingerprint. Each layout's own is known from the start; another is resolved once, by required paths without kinds, and kept."""
 
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
+        self.mappings = mappings
+        self.known: dict[str, Mapping | None] = {fingerprint(set(m.required)): m for m in mappings}
 
-def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
-    """(role, text) of each turn; nulls are empty, and absent or empty optional fields give no turn."""
+    def select(self, found: set[str]) -> tuple[str, Mapping | None]:
+        """A record's fingerprint and its mapping; null where no layout fits."""
+        layout = fingerprint(found)
+        if layout not in self.known:
+            if len(self.known) >= KEPT_LAYOUTS:  # begin anew: what is kept saves time only
+                self.known = {fingerprint(set(m.required)): m for m in self.mappings}
+            plain = {p.rpartition(":")[0] or p for p in found}
+            self.known[layout] = next((m for m in self.mappings if plain.issuperset(p.rpartition(":")[0] for p in m.required)), None)
+        return layout, self.known[layout]
+
+
+def canonical(record: dict, mapping: Mapping) -> list[tuple[int | None, str, str]]:
+    """(turn, role, text) of each turn; nulls are empty, and absent or empty optional fields give no turn."""
     roles = dict(mapping.roles)
-    if mapping.turns:
-        turns = [(t.get(mapping.role), t.get(mapping.text)) for t in record.get(mapping.turns) or [] if isinstance(t, dict)]
+    if mapping.turn:
+        turns = [(record.get(mapping.turn), record.get(mapping.role), record.get(mapping.text))]
+    elif mapping.turns:
+        turns = [(k, t.get(mapping.role), t.get(mapping.text)) for k, t in enumerate(t for t in record.get(mapping.turns) or [] if isinstance(t, dict))]
     else:
-        turns = [(role, record.get(f)) for f, role in mapping.fields if record.get(f) or f in mapping.required[-1:]]
-    return [(roles.get(r or "", r or ""), t if isinstance(t, str) else "" if t is None else json.dumps(t)) for r, t in turns]
+        said = [(role, record.get(f)) for f, role in mapping.fields if record.get(f) or (mapping.has(f) and role == "assistant")]
+        turns = [(k, role, text) for k, (role, text) in enumerate(said)]
+    return [(n if isinstance(n, int) else None, roles.get(r or "", r or ""), t if isinstance(t, str) else "" if t is None else json.dumps(t)) for n, r, t in turns]
+
+
+TURNS = "conv_id long, layout string, mapping string, turn long, role string, text string"
 
 
-def turns_of_records(records: DataFrame, id_col: str, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """conv_id, layout, mapping, turn, role, text of JSON records in any mix of layouts; mapping is null for unknown or broken ones, which keep one row without a turn.
+def turns_of_records(records: DataFrame, id_col: str, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """conv_id, layout, mapping, turn, role, text of records in any mix of layouts; record_col holds JSON texts or nested values.
 
-    Mappings are selected once a fingerprint and task, not once a record.
+    layout is a record's own fingerprint, which selects its mapping. mapping is null for unknown or broken records, which keep one
+    row without a turn. Null ids stay null; repeated records give repeated turns; an empty table gives none. Other columns don't matter.
     """
     ship(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Mapping | None] = {}
+        registry = Registry(mappings)
         for batch in batches:
             out: list[tuple] = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    record = json.loads(raw or "")
+                record = raw
+                if not isinstance(raw, dict):
+                    try:
+                        record = json.loads(raw or "")
+                    except ValueError:
+                        record = None
                     record = record if isinstance(record, dict) else {}
-                except ValueError:
-                    record = {}
-                found = paths(record)
-                layout = fingerprint(found)
-                if layout not in known:
-                    known[layout] = select_mapping(found, mappings)
-                mapping = known[layout]
+                layout, mapping = registry.select(paths(record))
                 if mapping is None:
                     out.append((key, layout, None, None, None, None))
                 else:
-                    out += [(key, layout, mapping.name, k, r, t) for k, (r, t) in enumerate(canonical(record, mapping))]
+                    out += [(key, layout, mapping.name, *turn) for turn in canonical(record, mapping)]
             if out:
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "layout", "mapping", "turn", "role", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in TURNS.split(", ")])
 
-    return records.select(F.col(id_col).cast("long"), F.col(json_col).cast("string")).mapInArrow(run, "conv_id long, layout string, mapping string, turn long, role string, text string")
+    return records.select(F.col(id_col).cast("long"), F.col(record_col)).mapInArrow(run, TURNS)
+
+
+def row_records(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """conv_id, record: each row of a table as one nested record of all its columns."""
+    return table.select(F.col(id_col).cast("long").alias("conv_id"), F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("record"))
 
 
 # ---- The template
@@ -196,7 +217,7 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
 
     loss_start and loss_end are the characters of the whole text that are learnt; null where none are. Turns (conv_id, turn,
     role, text) of equal conv_id and turn are ordered by role and text, nulls first; null texts and roles are empty.
-    Null conv_ids make one conversation. An empty table gives no rows. Conversations are dealt by id and streamed in order: one
+    A turn without a number comes first. Null conv_ids make one conversation. An empty table gives no rows. Conversations are dealt by id and streamed in order: one
     that holds most of the rows takes one task its time, but no memory.
     """
     ship(turns.sparkSession)
@@ -254,24 +275,15 @@ def chat_digests(pieces: DataFrame, template: Template = Template()) -> DataFram
     return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def turn_rows(table: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """conv_id, turn, role, text of a table that holds a turn a row: its columns' fingerprint selects the mapping; further columns don't matter."""
-    mapping = select_mapping(schema_paths(table.schema), mappings)
-    if mapping is None or mapping.turns or not mapping.role:
-        raise ValueError(f"no mapping to turn rows for {sorted(schema_paths(table.schema))}")
-    role: Column = F.col(mapping.role)
-    for old, new in mapping.roles:
-        role = F.when(F.col(mapping.role) == old, new).otherwise(role)
-    return table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.col(mapping.text).alias("text"))
-
-
 HARD_TEXT = "</s>[INST] ok [/INST]"
 
 
 def op5_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
-    return chat_digests(format_chats(turns.unionByName(extra)))
+    """Every row is a record, whose fingerprint selects its mapping to a turn; conversation -1 comes as a record of messages."""
+    rows = turns_of_records(row_records(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "conv_id", "record")
+    said = json.dumps({"messages": [{"role": "user", "content": HARD_TEXT}, {"role": "assistant", "content": HARD_TEXT}]})
+    extra = turns_of_records(spark.range(1).select(F.lit(-1).alias("conv_id"), F.lit(said).alias("record")), "conv_id", "record")
+    return chat_digests(format_chats(rows.unionByName(extra)))
 
 
 def _escaped_sql(text: str) -> str:
@@ -285,11 +297,9 @@ OP5_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{HARD_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{HARD_TEXT}'),
-m AS (
-  SELECT conv_id, turn, text, CASE role WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS role FROM t),
 l AS (
   SELECT *, length({_escaped_sql("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17
-    ELSE 16 + length(replace({_escaped_sql("role")}, '>', '>{BREAK}')) END AS chars FROM m)
+    ELSE 16 + length(replace({_escaped_sql("role")}, '>', '>{BREAK}')) END AS chars FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,

@@ -4,7 +4,6 @@ import hashlib
 import json
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,21 +67,55 @@ def brute(turns):
     return len(turns), whole.hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), sum(len(chat.render(r, t, T)[0]) for r, t in turns)
 
 
+def digests(df):
+    return chat.chat_digests(chat.format_chats(chat.turns_of_records(chat.row_records(df), "conv_id", "record")))
+
+
 def test_digests(spark):
     rng = random.Random(1)
     convs = {k: [(rng.choice(["user", "assistant", "system", "tool", ""]), "".join(rng.choice(PIECES) for _ in range(rng.randrange(9)))) for _ in range(rng.randrange(1, 9))] for k in range(40)}
     rows = [(k, n, r or None, t or None) for k, turns in convs.items() for n, (r, t) in enumerate(turns)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS seq", "'p' AS piece")
-    got = {r.conv_id: tuple(r)[1:] for r in chat.chat_digests(chat.format_chats(chat.turn_rows(df))).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in digests(df).collect()}
     assert got == {k: brute(t) for k, t in convs.items()}
-    assert chat.chat_digests(chat.format_chats(chat.turn_rows(df.limit(0)))).collect() == []
+    assert digests(df.limit(0)).collect() == []
 
 
 def test_ties_nulls_and_unknown_tables(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: tuple(r)[1:] for r in chat.chat_digests(chat.format_chats(chat.turn_rows(df))).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in digests(df).collect()}
     assert got == {1: brute([("user", "a"), ("user", "a"), ("user", "b")]), None: brute([("", "")])}
-    with pytest.raises(ValueError, match="no mapping"):
-        chat.turn_rows(df.select("conv_id"))
+    unknown = chat.turns_of_records(chat.row_records(df.select("conv_id")), "conv_id", "record").collect()
+    assert [(r.mapping, r.turn, r.role, r.text) for r in unknown] == [(None, None, None, None)] * 4
+
+
+def test_layouts_of_one_table_go_one_way(spark):
+    """Records of all layouts in one table: fingerprints select, and what is written reads back as the turns."""
+    own = {"conv_id": 70, "turn": 1, "role": "human", "text": "second"}
+    records = [(k, r) for k, (r, *_) in enumerate(RECORDS)] + [(70, own), (70, own | {"turn": 0, "role": "user", "text": None, "more": {"a": [1]}})]
+    rows = spark.createDataFrame([(k, json.dumps(r)) for k, r in records], "id long, j string").selectExpr("*", "1 AS turn", "'x' AS layout")
+    turns = chat.turns_of_records(rows, "id", "j").persist()
+    got = {r.conv_id: tuple(r)[1:] for r in chat.chat_digests(chat.format_chats(turns)).collect()}
+    want = {k: brute(t) for k, (_, _, t) in enumerate(RECORDS)} | {70: brute([("user", ""), ("human", "second")])}
+    assert got == want
+    layouts = {r.conv_id: r.layout for r in turns.collect() if r.conv_id != 70}
+    assert layouts == {k: chat.fingerprint(chat.paths(r)) for k, r in records if k != 70}
+    assert len({r.layout for r in turns.collect() if r.conv_id == 70}) == 2
+    turns.unpersist()
+    nested = spark.createDataFrame([(1, ([("user", "hi"), ("assistant", "yo")],))], "id long, r struct<messages: array<struct<role: string, content: string>>>")
+    assert [(r.mapping, r.turn, r.role, r.text) for r in chat.turns_of_records(nested, "id", "r").collect()] == [("messages", 0, "user", "hi"), ("messages", 1, "assistant", "yo")]
+
+
+def test_registry_knows_layouts_and_keeps_others(monkeypatch):
+    registry = chat.Registry()
+    assert len(registry.known) == len(chat.MAPPINGS)
+    tried = []
+    monkeypatch.setattr(chat, "MAPPINGS", ())
+    found = chat.paths({"prompt": "p", "completion": "c", "score": 1.5})
+    first = registry.select(found)
+    registry.mappings = tried  # a second look needs no mapping to be tried
+    assert registry.select(found) == first
+    assert first[1].name == "prompt"
+    assert registry.select(chat.paths({"a": 1}))[1] is None
