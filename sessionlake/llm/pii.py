@@ -6,13 +6,15 @@ format's values: equal values have equal pseudonyms in all documents, different
 Values that fail their kind's check (Luhn, mod 97, a date of the calendar, octets up to 255) are left.
 
 Kinds: payment cards (Luhn kept), phone numbers, IPv4 addresses, dates, US social security numbers,
-IBANs (check digits kept right), e-mail local parts, access keys and hexadecimal secrets.
+IBANs (check digits kept right), e-mail local parts, access keys and hexadecimal secrets. An e-mail's host stays
+in clear, so that documents can still be grouped by provider; hosts of one person's own name them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -138,7 +140,8 @@ def _date(text: str, key: bytes) -> str | None:
                 break
     sep = re.search(r"\D", text)[0]
     order = (new.year, new.month, new.day) if year_first else (new.month, new.day, new.year) if swapped else (new.day, new.month, new.year)
-    return sep.join(f"{x:04d}" if x > 31 else f"{x:02d}" for x in order)
+    width = 1 if any(len(p) == 1 for p in parts) else 2  # parts without a leading 0 stay without
+    return sep.join(f"{x:04d}" if x > 31 else f"{x:0{width}d}" for x in order)
 
 
 def _ssn(text: str, key: bytes) -> str | None:
@@ -192,7 +195,7 @@ _PATTERNS = dict(
     secret=r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
     ip=r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
     ssn=r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
-    date=r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d(?=T\d\d)|(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4}|\d\d-\d\d-\d{4})(?![\w/-]|\.\d))",
+    date=r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d(?=T\d\d)|(?:\d{4}-\d\d?-\d\d?|\d{4}/\d\d?/\d\d?|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4}|\d\d?-\d\d?-\d{4})(?![\w/-]|\.\d))",
     phone=r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
     card=r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 )
@@ -298,16 +301,33 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text",
     return docs.mapInArrow(run, schema)
 
 
-#: For the registered query and the pipeline; a real run passes its own secret.
-DEMO_KEY = b"sessionlake demonstration key"
+KEY_CONF = "spark.sessionlake.pii.key"
+_own_keys: dict[str, bytes] = {}
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The key in the session's spark.sessionlake.pii.key. Where none is set, one drawn for this Spark application.
+
+    Values stay linked within what one key has written. A drawn key is kept nowhere, so nobody can undo its pseudonyms,
+    and another application's pseudonyms differ; set the key, as a secret, where they must agree.
+    """
+    said = spark.conf.get(KEY_CONF, None)
+    if said:
+        return hashlib.blake2b(said.encode(), digest_size=32).digest()
+    return _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise_documents(docs, DEMO_KEY, counts=True)
+    return pseudonymise_documents(docs, secret_key(spark), counts=True)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the same rows and columns, with pseudonyms in text and n_chars as the new text has."""
-    out = pseudonymise_documents(docs, DEMO_KEY)
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))).select(*docs.columns)
+    """The pipeline's stage: the same rows and columns, with pseudonyms in text and, where there is such a column, n_chars as the new text has.
+
+    A null text stays null and keeps its n_chars; repeated rows stay repeated; an empty table gives none; other columns stay as they are.
+    """
+    out = pseudonymise_documents(docs, secret_key(spark))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sessionlake.llm.pii import _luhn, _mod97, permute, permute_text, pii_stage, pseudonymise, pseudonymise_documents
+from sessionlake.llm.pii import KEY_CONF, _luhn, _mod97, op6_feistel_pseudonyms, permute, permute_text, pii_stage, pseudonymise, pseudonymise_documents, secret_key
+from tests.conftest import SMALL
 from tests.llm.data import awkward, frame
 
 KEY = b"test key"
@@ -42,6 +44,8 @@ CASES = [
     ("date", "2024-02-29"),
     ("date", "31/12/1999"),
     ("date", "12/31/1999"),
+    ("date", "2024-3-5"),
+    ("date", "5.3.2024"),
     ("ssn", "123-45-6789"),
     ("iban", "DE89370400440532013000"),
     ("email", "und.34@mail7.example.com"),
@@ -124,3 +128,62 @@ def test_spellings_of_a_value_stay_linked():
     digits = lambda t: "".join(c for c in pseudonymise(t, KEY)[0] if c.isalnum())
     assert digits("DE89 3704 0044 0532 0130 00") == digits("DE89370400440532013000")
     assert digits("+1 (743) 555-3824") == digits("+17435553824") == digits("+1 743 555 3824 12 men").removesuffix("12men")
+    assert digits("+1 555 123 4567") == digits("+15551234567") == digits("+1 (555) 123-4567")
+    assert [int(x) for x in pseudonymise("2024-3-5", KEY)[0].split("-")] == [int(x) for x in pseudonymise("2024-03-05", KEY)[0].split("-")]
+
+
+def test_key_is_the_sessions_secret(spark):
+    own = secret_key(spark)
+    assert own == secret_key(spark)
+    assert len(own) == 32
+    spark.conf.set(KEY_CONF, "a secret of ours")
+    try:
+        assert own != secret_key(spark) == secret_key(spark)
+        spark.conf.set(KEY_CONF, "another")
+        out = {r.text for r in pii_stage(spark, frame(spark, ["call 123-45-6789"]).drop("n_chars"), "").collect()}
+        assert out == {pseudonymise("call 123-45-6789", secret_key(spark))[0]}
+    finally:
+        spark.conf.unset(KEY_CONF)
+
+
+def plain_values(text):
+    """(start, value) of values in their commonest spellings, by one plain expression a kind and its own check: no network, no readings."""
+    octets = lambda t: all(int(x) <= 255 for x in t.split("."))
+    day = lambda t: 1 <= int(t[5:7]) <= 12 and 1 <= int(t[8:]) <= 28
+    luhn = lambda t: sum(sum(map(int, str(int(c) * (1 + k % 2)))) for k, c in enumerate(reversed(t))) % 10 == 0
+    mod = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    kinds = [
+        ("email", r"\b[a-z]+\.\d+@[a-z]+\d*\.example\.(?:com|org|net)\b", bool),
+        ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", octets),
+        ("date", r"(?<![\d/-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])", day),
+        ("card", r"(?<![\d-])4\d{15}(?!\d)", luhn),
+        ("iban", r"\bDE\d{20}\b", mod),
+        ("key", r"\bAKIA[A-Z0-9]{16}\b", bool),
+    ]
+    return [(m.start(), m[0], kind) for kind, p, check in kinds for m in re.finditer(p, text) if check(m[0])]
+
+
+def test_query_replaces_every_plain_value(spark):
+    """Each value of the common spellings has one pseudonym in all of the table, no two have the same, and all text between the values stays."""
+    key, texts = secret_key(spark), {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    new: dict[tuple[str, str], set[str]] = {}
+    found = 0
+    for r in op6_feistel_pseudonyms(spark, SMALL).collect():
+        text, shift = texts[r.doc_id], 0
+        spans = pseudonymise(text or "", key)[1]
+        assert sum(r[f"pii_{k}"] for k in ("card", "phone", "ip", "date", "ssn", "iban", "email", "key", "secret")) == len(spans)
+        starts = {a: (kind, b, made) for kind, a, b, made in spans}
+        for at, value, kind in plain_values(text or ""):
+            found += 1
+            got, end, made = starts[at]
+            assert (got, end) == (kind, at + len(value))
+            new.setdefault((kind, value), set()).add(made)
+        rest, at = [], 0
+        for _, a, b, made in spans:
+            rest.append(text[at:a])
+            assert r.text[a + shift : a + shift + len(made)] == made
+            shift, at = shift + len(made) - (b - a), b
+        assert len(r.text or "") == len(text or "") + shift
+    assert found > 0
+    assert all(len(v) == 1 and {value} != v for (_, value), v in new.items())
+    assert len({(k, *v) for (k, _), v in new.items()}) == len(new)

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from sessionlake.llm.catalog import ORACLES, QUERIES
-from sessionlake.llm.pii import DEMO_KEY, pseudonymise
+from sessionlake.llm.pii import pseudonymise, secret_key
 from sessionlake.llm.toxicity import THRESHOLD, train_lexicon
 from tests.conftest import SMALL
 from tests.llm.test_decontamination import smith_waterman
@@ -29,7 +29,7 @@ def test_run_is_the_stages_by_brute_force(spark):
         return any(len(inside & set(zip(v, v[1:], v[2:], strict=False))) >= 4 and smith_waterman(v, w) >= 0.8 * len(v) for v in near)
 
     kept = {k: t for k, t in kept.items() if not leaked(t)}
-    texts = {k: pseudonymise(t, DEMO_KEY)[0] for k, t in kept.items()}
+    texts = {k: pseudonymise(t, secret_key(spark))[0] for k, t in kept.items()}
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in rows} == set(texts)
     from sessionlake.llm.packing import byte_bpe_50k
