@@ -8,8 +8,9 @@
 3. The alignment goes word by word: a match scores 2, a mismatch or gap -1. One that reaches the least share of the
    item's own score (2 a word) is a leak.
 
-Items are the bounded side: a block of at most block_chars characters is sent to the tasks; a larger benchmark
-is handled block by block, with two scans each. No shuffle of texts, no join by hot keys.
+Items are the bounded side: a block of at most block_chars characters is sent to the tasks (some 8 bytes a character there).
+A larger benchmark is handled block by block, with two scans each: a block's leaks are written, and its index is dropped
+everywhere, before the next block is read. No shuffle of texts, no join by hot keys.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm.kernel import Words, chunks, grams, utf8
+from sessionlake.llm.shared import materialise, remove, shared_folder
 from sessionlake.session import ship
 
 
@@ -39,10 +42,14 @@ class Decontamination:
     #: Words on either side of the place that a seed points to, as a share of the item's words, and at least.
     margin: float = 0.25
     least_margin: int = 4
-    block_chars: int = 32_000_000
+    block_chars: int = 4_000_000
     #: Windows are made and bounded for about so many hits, and so many words, at a time.
     piece: int = 1_000_000
 
+    def most_rare(self, docs: int) -> int:
+        """In at most so many documents a seed is rare."""
+        return max(self.rare_docs, int(self.rare_share * docs))
+
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score and its end in the window, for each pair of rows; 0 is padding and matches nothing.
@@ -123,10 +130,6 @@ class Index:
         self.vocabulary, word = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.items]), return_inverse=True)
         self.owned, self.times = np.unique(np.repeat(np.arange(len(self.items)), self.sizes) * len(self.vocabulary) + word, return_counts=True)
 
-    def weigh(self, df: np.ndarray, docs: int) -> None:
-        """Tells rare seeds from frequent ones."""
-        self.rare = df <= max(self.conf.rare_docs, int(self.conf.rare_share * docs))
-
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word number, seed number) of every seed in the texts, in order of words."""
         at, seed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -224,8 +227,8 @@ class Index:
         return align(items, windows)
 
 
-def _blocks(benchmark: DataFrame, conf: Decontamination) -> Iterator[Index]:
-    """Indexes over blocks of items, each of about block_chars characters at most."""
+def _blocks(benchmark: DataFrame, conf: Decontamination) -> Iterator[tuple[Index, bool]]:
+    """Indexes over blocks of items, each of about block_chars characters at most, and whether one is the last."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and trim(text) <> ''")
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-chars // conf.block_chars) or 1
@@ -233,11 +236,11 @@ def _blocks(benchmark: DataFrame, conf: Decontamination) -> Iterator[Index]:
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
         rows = sorted(block.distinct().collect(), key=lambda r: (r.item_id, r.text))
         if rows:
-            yield Index([r.item_id for r in rows], [r.text for r in rows], conf)
+            yield Index([r.item_id for r in rows], [r.text for r in rows], conf), k == n - 1
 
 
-def _counted(texts: DataFrame, index: Index) -> None:
-    """Counts, over all documents, those that each seed is in, which tells rare ones."""
+def _weighed(texts: DataFrame, index: Index, folder: str) -> None:
+    """Counts, over all documents, those that each seed is in, which tells rare ones. The counts are a written table; frequent seeds' numbers come to the driver."""
     sent = texts.sparkSession.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,22 +256,21 @@ def _counted(texts: DataFrame, index: Index) -> None:
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(df[k], docs))], names=["seed", "n"])
 
-    rows = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(index.seeds), np.int64)
-    docs = 0
-    for r in rows:  # at most a row for each seed of the block
-        if r.seed < 0:
-            docs = r.n
-        else:
-            df[r.seed] = r.n
-    index.weigh(df, docs)
+    counts = materialise(texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), f"{folder}/seeds")
+    docs = counts.filter("seed = -1").first()
+    most = index.conf.most_rare(docs.n if docs else 0)
+    index.rare[counts.filter((F.col("seed") >= 0) & (F.col("n") > most)).select("seed").toArrow()["seed"].to_numpy()] = False
+    sent.destroy()
+    remove(texts.sparkSession, f"{folder}/seeds")
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, conf: Decontamination, text_col: str = "text") -> Iterator[Index]:
+def each_block(docs: DataFrame, benchmark: DataFrame, conf: Decontamination, folder: str, text_col: str = "text") -> Iterator[tuple[Broadcast, bool]]:
+    """The index of each block of items, sent to the tasks, and whether it is the last. The caller destroys it before it asks for the next one."""
     ship(docs.sparkSession)
-    for index in _blocks(benchmark, conf):
-        _counted(docs.select(F.col(text_col).cast("string").alias("text")), index)
-        yield index
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    for index, last in _blocks(benchmark, conf):
+        _weighed(texts, index, folder)
+        yield docs.sparkSession.sparkContext.broadcast(index), last
 
 
 LEAKS = "doc_id long, item_id long, score long, similarity double, first_word long, end_word long, first_byte long, end_byte long"
@@ -285,10 +287,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, conf: Decontamination = De
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def found(index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+    folder, parts = shared_folder(spark), []
+    for sent, _ in each_block(docs, benchmark, conf, folder, text_col):
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = list(sent.value.leaks(batch.column(1)))
                 if got:
@@ -296,18 +298,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, conf: Decontamination = De
                     kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=[c.split()[0] for c in LEAKS.split(", ")])
 
-        return texts.mapInArrow(run, LEAKS)
-
-    parts = [found(index) for index in indexes(docs, benchmark, conf, text_col)]
+        parts.append(materialise(texts.mapInArrow(run, LEAKS), f"{folder}/leaks-{len(parts)}"))
+        sent.destroy()
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], LEAKS)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, conf: Decontamination = Decontamination(), text_col: str = "text") -> DataFrame:  # noqa: B008
-    """The rows of docs into which no item leaked, as they are."""
-    spark = docs.sparkSession
-    where, out = docs.columns.index(text_col), docs
-    for index in indexes(docs, benchmark, conf, text_col):
-        sent = spark.sparkContext.broadcast(index)
+    """The rows of docs into which no item leaked, as they are.
+
+    Rows are judged by their text alone: null and empty ones stay, repeated rows stay or go together, and ids may be null. An empty
+    benchmark takes nothing away; an empty table gives no rows. Other columns, of any name, stay as they are. What one block
+    leaves is written, and is what the next one looks through.
+    """
+    folder, where, out, written = shared_folder(docs.sparkSession), docs.columns.index(text_col), docs, []
+    for sent, last in each_block(docs, benchmark, conf, folder, text_col):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -316,6 +320,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, conf: Decontamination =
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
+        if not last:
+            written.append(f"{folder}/clean-{len(written)}")
+            out = materialise(out, written[-1])
+            sent.destroy()
+            remove(docs.sparkSession, *written[-2:-1])
     return out
 
 
@@ -324,5 +333,5 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents that hold no benchmark item, as they are."""
+    """The pipeline's stage: documents that hold no benchmark item, as they are; without_leaks says what becomes of odd rows."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

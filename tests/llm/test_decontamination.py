@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sessionlake.llm.decontamination import Decontamination, align, decontamination_stage, find_leaks, op1_benchmark_decontamination
+from sessionlake.llm.decontamination import Decontamination, align, decontamination_stage, find_leaks, op1_benchmark_decontamination, without_leaks
 from tests.conftest import SMALL
 from tests.llm.data import awkward, edited, frame, sentence
 from tests.llm.test_kernel import plain
@@ -118,3 +118,49 @@ def test_case_of_all_scripts_and_punctuation_at_edges(spark):
     got = find_leaks(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"), Decontamination(least_score=1.0)).collect()
     found = {r.doc_id: texts[r.doc_id - 1].encode()[r.first_byte : r.end_byte].decode() for r in got}
     assert found == {k: t.removeprefix("before ").removesuffix(" behind") for k, t in enumerate(texts, 1)}
+
+
+def test_many_blocks_one_at_a_time(spark, monkeypatch):
+    """Each block's index is gone before the next one is built, and the results are those of one block."""
+    rng = random.Random(6)
+    items = [(k, sentence(rng, 20)) for k in range(30)]
+    texts = [f"{sentence(rng, 12)} {items[k][1] if k % 2 else ''} {sentence(rng, 12)}" for k in range(30)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), frame(spark, texts)
+    conf, live, most = Decontamination(block_chars=600), set(), []
+    kind = type(spark.sparkContext.broadcast(0))
+    destroy, context = kind.destroy, type(spark.sparkContext)
+    send = context.broadcast
+
+    def sent(self, value):
+        b = send(self, value)
+        live.add(id(b))
+        most.append(len(live))
+        return b
+
+    def gone(self, *a):
+        live.discard(id(self))
+        return destroy(self, *a)
+
+    monkeypatch.setattr(context, "broadcast", sent)
+    monkeypatch.setattr(kind, "destroy", gone)
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench, conf).collect()}
+    assert not live
+    assert len(most) >= 12
+    assert max(most) == 1
+    kept = {r.doc_id for r in without_leaks(docs, bench, conf).collect()}
+    monkeypatch.undo()
+    assert got == {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()} == {(k + 1, k) for k in range(1, 30, 2)}
+    assert kept == set(range(1, 31, 2))
+
+
+def test_stage_keeps_odd_rows(spark):
+    rng = random.Random(7)
+    item = sentence(rng, 20)
+    rows = [(1, f"x {item}"), (1, f"x {item}"), (2, None), (None, ""), (None, item), (3, "clean"), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "'s' AS seed", "2 AS row")
+    bench = spark.createDataFrame([(1, item), (2, None), (None, item)], "item_id long, text string")
+    out = without_leaks(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == sorted([(2, None), (None, ""), (3, "clean"), (3, "clean")], key=repr)
+    assert without_leaks(docs, bench.limit(0)).count() == len(rows)
+    assert without_leaks(docs.limit(0), bench).collect() == []
