@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sessionlake.llm.chat import OP5_SQL, op5_schema_fingerprint_chat
 from sessionlake.llm.decontamination import op1_benchmark_decontamination
-from sessionlake.llm.near_dup import op8_minhash_near_dedup
+from sessionlake.llm.near_dup import OP8_SQL, op8_minhash_near_dedup
 from sessionlake.llm.packing import op9_best_fit_packing
 from sessionlake.llm.pii import op6_feistel_pseudonyms
 from sessionlake.llm.quality import op7_ftrl_quality
@@ -34,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op3_warc_normaliser": OP3_SQL,
     "op4_impact_ordered_topk": OP4_SQL,
     "op5_schema_fingerprint_chat": OP5_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
 }

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.llm.shared import columns
 from sessionlake.session import ship
 
 # ---- Schema fingerprints and mappings
@@ -143,7 +144,7 @@ def turns_of_records(records: DataFrame, id_col: str, record_col: str, mappings:
 
 def row_records(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """conv_id, record: each row of a table as one nested record of all its columns."""
-    return table.select(F.col(id_col).cast("long").alias("conv_id"), F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("record"))
+    return table.select(F.col(id_col).cast("long").alias("conv_id"), F.struct(*columns(*table.columns)).alias("record"))
 
 
 # ---- The template

@@ -7,10 +7,11 @@
    that its similarity reaches the threshold falls below the chosen miss probability. Pairs already
    joined within the bucket aren't compared again, so a bucket of m gives m - 1 links at most.
 3. Those links' components are families. Each family's texts are brought together once, and links inside
-   it are confirmed on the full sets; the confirmed links' components are the result.
+   it are confirmed on the full sets, as sets of 64-bit hashes of shingles; the confirmed links' components are the result.
 
-A bucket or family above its block size is cut into blocks, each pair of which is a task of its own: memory
-stays bounded and no pair is skipped. Chance of missing a pair at the threshold: (1 - t**rows)**bands for the
+A bucket or family is cut into blocks, each pair of which is a group of its own: up to `spread` blocks for the work's sake,
+so that one of thousands of members is many tasks' work and its rows move `spread` times at most, and more only where
+memory asks for them. No pair is skipped. Chance of missing a pair at the threshold: (1 - t**rows)**bands for the
 bands (1e-9 at 0.85, 4e-7 at 0.8) and `miss` for the pruning. Texts of no words are in no class.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm.components import components
 from sessionlake.llm.kernel import mix, shingle_sets
-from sessionlake.llm.shared import map_sorted_groups, materialise, remove, shared_folder
+from sessionlake.llm.shared import columns, map_sorted_groups, materialise, remove, shared_folder
 
 
 FILTER_BUCKETS = 1 << 20
@@ -41,7 +42,10 @@ class NearDup:
     rows: int = 4
     miss: float = 1e-6
     batch: int = 16
-    #: Signatures in a block of a bucket; shingles in a block of a family.
+    #: Members that are worth a block of their own, and blocks for the work's sake at most.
+    worth: int = 128
+    spread: int = 16
+    #: At most so many signatures in a block of a bucket, and shingles in a block of a family, for memory's sake.
     bucket_block: int = 20_000
     family_block: int = 1_000_000
 
@@ -151,6 +155,11 @@ def _spread(n: int, linked) -> np.ndarray:
     return label
 
 
+def _number_of_blocks(members: Column, size: Column, most: int, conf: NearDup) -> Column:
+    of = lambda n, per: F.ceil(n / F.lit(per)).cast("long")
+    return F.greatest(of(size, most), F.least(of(members, conf.worth), F.lit(conf.spread)), F.lit(1).cast("long"))
+
+
 def _blocks(n_blocks, doc) -> tuple:
     """(own block, struct of two blocks for each pair of blocks that the own one is in)."""
     own = F.pmod(F.xxhash64(doc, F.lit(11)), n_blocks)
@@ -164,7 +173,7 @@ def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     stats = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).filter("n > 1")
     kept = stats.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     kept = materialise(kept, f"{folder}/buckets")
-    n_blocks = F.ceil(F.col("n") / F.lit(conf.bucket_block)).cast("long")
+    n_blocks = _number_of_blocks(F.col("n"), F.col("n"), conf.bucket_block, conf)
     _, pairs = _blocks(n_blocks, F.col("doc_id"))
     members = spread.join(kept, "bucket").select("bucket", "doc_id", F.inline(pairs))
     rows = members.join(sigs.select("doc_id", "sig"), "doc_id")
@@ -195,8 +204,8 @@ def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str)
 
     texts: doc_id, text. families: doc_id, family, n_shingles.
     """
-    size = materialise(families.groupBy("family").agg(F.sum("n_shingles").alias("total")), f"{folder}/family-sizes")
-    n_blocks = F.ceil(F.col("total") / F.lit(conf.family_block)).cast("long")
+    size = materialise(families.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members")), f"{folder}/family-sizes")
+    n_blocks = _number_of_blocks(F.col("members"), F.col("total"), conf.family_block, conf)
     _, pairs = _blocks(n_blocks, F.col("doc_id"))
     # Texts outside of families mostly stay where they are: the broadcast side has at most FILTER_BUCKETS numbers at any scale.
     texts = texts.join(F.broadcast(families.select(_number("doc_id").alias("b")).distinct()), _number("doc_id") == F.col("b"), "left_semi")
@@ -269,6 +278,26 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Sets of shingles, their shared ones by an equality join, and components as least reachable ids.
+OP8_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS shingle
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+f AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+e AS MATERIALIZED (SELECT u AS a, v AS b FROM f UNION ALL SELECT v, u FROM f),
+r AS (
+  SELECT a AS doc_id, b AS least FROM e WHERE b < a
+  UNION SELECT e.a, r.least FROM r JOIN e ON e.b = r.doc_id WHERE r.least < e.a),
+c AS (SELECT doc_id, min(least) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(coalesce(c.least, d.doc_id), d.doc_id) AS component_id, coalesce(c.least, d.doc_id) >= d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 #: Where no contract says otherwise, texts are near-duplicates from a similarity of 0.8 on.
 STAGE = NearDup(percent=80)
 
@@ -276,14 +305,16 @@ STAGE = NearDup(percent=80)
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: one document of each component stays, that with the least id; all columns as they are.
 
-    A repeated id whose rows are all kept stays with all its rows of the kept text; rows with a null id, and null or
-    empty texts, stay.
+    Equal rows stay or go together, as they share their id. Rows with a null id, and null or empty texts, stay. An empty table gives
+    no rows; other columns may have any name.
     """
     found = near_duplicates(docs, STAGE)
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone id")).distinct()
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
     gone = materialise(gone, f"{shared_folder(spark)}/gone")
-    # Most documents are in no bucket of those that go, and stay without being shuffled; the others meet the ids themselves.
-    marks = F.broadcast(gone.select(_number("gone id").alias("gone bucket")).distinct())  # at most FILTER_BUCKETS numbers
-    here = _number("doc_id") == F.col("gone bucket")
-    unsure = docs.join(marks, here, "left_semi").join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
-    return docs.join(marks, here, "left_anti").unionByName(unsure)
+    # Documents ride in one column, so that no name of theirs can clash. Most are in no bucket of those that go, and stay
+    # without being shuffled; the others meet the ids themselves.
+    held = docs.select(F.struct(*columns(*docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    marks = F.broadcast(gone.select(_number("gone").alias("bucket")).distinct())  # at most FILTER_BUCKETS numbers
+    here = _number("id") == F.col("bucket")
+    unsure = held.join(marks, here, "left_semi").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return held.join(marks, here, "left_anti").unionByName(unsure).select("doc.*")

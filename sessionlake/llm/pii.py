@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlake.llm.kernel import utf8
+from sessionlake.llm.shared import columns
 from sessionlake.session import ship
 
 ROUNDS = 8
@@ -292,10 +293,10 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text",
                     new.append(text)
                     for kind, *_ in spans:
                         number[KINDS.index(kind), row] += 1
-            columns = list(batch.columns)
+            out = list(batch.columns)
             if new:
-                columns[where] = pc.replace_with_mask(column, pa.array(mask), pa.array(new, column.type))
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(x) for x in number] if counts else []), names=batch.schema.names + (names if counts else []))
+                out[where] = pc.replace_with_mask(column, pa.array(mask), pa.array(new, column.type))
+            yield pa.RecordBatch.from_arrays(out + ([pa.array(x) for x in number] if counts else []), names=batch.schema.names + (names if counts else []))
 
     schema = T.StructType(docs.schema.fields + [T.StructField(n, T.LongType()) for n in names] * counts)
     return docs.mapInArrow(run, schema)
@@ -330,4 +331,4 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pseudonymise_documents(docs, secret_key(spark))
     if "n_chars" not in docs.columns:
         return out
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))).select(*columns(*docs.columns))

@@ -25,6 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/sessionlake-{uuid.uuid4().hex}"
 
 
+def columns(*names: str) -> list[Column]:
+    """The columns of these names, whatever characters are in them."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def unused(name: str, names: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends at files that outlive an executor."""
     df.write.mode("overwrite").parquet(path)

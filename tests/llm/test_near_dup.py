@@ -49,7 +49,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "conf"), [(1, NearDup()), (2, NearDup(percent=80)), (3, NearDup(bucket_block=3, family_block=200))])
+@pytest.mark.parametrize(("seed", "conf"), [(1, NearDup()), (2, NearDup(percent=80)), (3, NearDup(bucket_block=3, family_block=200)), (4, NearDup(worth=2))])
 def test_is_brute_force(spark, seed, conf):
     texts = corpus(random.Random(seed))
     got = near_duplicates(frame(spark, texts), conf).collect()
@@ -102,3 +102,14 @@ def test_components_of_a_long_path(spark):
     assert all(got[k] == 0 for k in range(41))
     assert (got[101], got[200]) == (100, 200)
     assert components(edges.limit(0), shared_folder(spark), "t").collect() == []
+
+
+def test_stage_takes_any_column_names_and_odd_rows(spark):
+    rng = random.Random(8)
+    t = sentence(rng, 30)
+    rows = [(3, t), (3, t), (1, t), (None, t), (None, None), (4, ""), (5, None), (6, sentence(rng, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS gone", "2 AS bucket", "3 AS `gone id`", "4 AS id", "5 AS doc", "6 AS `a.b`")
+    out = near_dup_stage(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == sorted([(1, t), (None, t), (None, None), (4, ""), (5, None), rows[-1]], key=repr)
+    assert near_dup_stage(spark, docs.limit(0), "").collect() == []

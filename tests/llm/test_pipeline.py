@@ -51,7 +51,7 @@ def test_query_is_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "labels", "embeddings", "conversations"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df, rel = QUERIES[name](spark, SMALL), con.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
