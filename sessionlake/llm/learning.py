@@ -20,14 +20,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """y, at, text of at most about max_rows labelled documents that aren't held out, those with the least hashes of their ids.
 
     Ids with several labels count once, with the greatest; ids with several texts give each text once.
-    The bound holds in expectation within a few per cent: the hash is compared with max_rows / labels.
+    The bound holds in expectation within a few per cent: the hash is compared with max_rows / labels. These bounded labels are
+    broadcast, so a text is read where it lies, and moves only if it is learnt from.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, max_rows / max(1, known.count()))
     at = F.xxhash64(F.col("doc_id"), F.lit(29))
     known = known.withColumn("at", at).filter(F.col("at") < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(known, "doc_id").select("y", "at", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(known), "doc_id").select("y", "at", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def train(sample: DataFrame, order: list[Column], fit: Callable[[Iterator[pa.RecordBatch]], bytes]) -> bytes:

@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlake.llm.kernel import IS_SPACE, Words, _power_tables, chunks, grams, mix
 from sessionlake.llm.learning import held_out, labelled_sample, train
+from sessionlake.llm.shared import columns, unused
 from sessionlake.session import ship
 
 THRESHOLD = 0.3
-#: At most about so many labelled rows are learnt from.
-TRAINING_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,10 @@ class Ftrl:
     l1: float = 0.002
     l2: float = 0.05
     epochs: int = 3
+    #: At most about so many labelled rows are learnt from.
+    max_rows: int = 10_000
+    #: Runs of a word that have a place of their own in its shape; a word's later ones, in any order, count at the last place.
+    runs: int = 64
     #: What each kind's shares are multiplied by: words, pairs, shapes, shape pairs, shape triples, repeats.
     scale: tuple[float, ...] = (2.0, 1.0, 4.0, 4.0, 4.0, 4.0)
 
@@ -45,19 +49,19 @@ _CLASS[128:] = 97
 _SHAPE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _shapes(data: np.ndarray, w: Words) -> np.ndarray:
+def _shapes(data: np.ndarray, w: Words, most: int) -> np.ndarray:
     """A hash of each word's runs of character classes."""
     kind = _CLASS[data]
     new = np.ones(len(data), bool)
     new[1:] = kind[1:] != kind[:-1]
     new[w.start] = True
-    up, _ = _power_tables(64)
+    up, _ = _power_tables(most)
     # A run's place within its word, from how many runs began before the word's own first.
     runs = np.cumsum(new)
     place = np.zeros(len(data), np.int64)
     word = np.cumsum(np.bincount(w.start, minlength=len(data))[: len(data)]) - 1 if len(w.start) else place
     if len(w.start):
-        place = np.minimum(runs - runs[w.start][np.maximum(word, 0)], 63)
+        place = np.minimum(runs - runs[w.start][np.maximum(word, 0)], most - 1)
         place[place < 0] = 0
     value = np.where(new & ~IS_SPACE[data], _SHAPE[kind] * up[place], np.uint64(0))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
@@ -67,7 +71,7 @@ def _shapes(data: np.ndarray, w: Words) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray, conf: Ftrl) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind: buckets of all n-grams, and the first n-gram of each row (rows + 1 numbers)."""
     w = Words(data, offsets)
-    shapes = _shapes(data, w)
+    shapes = _shapes(data, w, conf.runs)
     again = np.zeros(len(w.hash), np.uint64)
     again[1:] = w.hash[1:] == w.hash[:-1]
     shift = np.uint64(64 - conf.bits)
@@ -127,9 +131,9 @@ def training_rows(labels: list[int], column: pa.Array, conf: Ftrl) -> Iterator[t
             yield float(labels[row + k]), where.astype(np.int32), np.bincount(at, np.concatenate(values)).astype(np.float32)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), max_rows: int = TRAINING_ROWS, label: str = "quality") -> np.ndarray:  # noqa: B008
+def train_quality(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), label: str = "quality") -> np.ndarray:  # noqa: B008
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, max_rows)
+    sample = labelled_sample(docs, labels, label, conf.max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> bytes:
         rows = [r for b in batches for r in training_rows(b.column(0).to_pylist(), b.column(2), conf)]
@@ -146,7 +150,8 @@ def score_quality(docs: DataFrame, weights: np.ndarray, conf: Ftrl = Ftrl(), tex
     """
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != score_col] if keep is None else keep
-    docs = docs.select(*keep, F.col(text_col).cast("string").alias("text scored"))
+    kept = docs.select(*columns(*keep))
+    docs = docs.select(*columns(*keep), *(c.cast("string").alias(unused("text", keep)) for c in columns(text_col)))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, conf: Ftrl = Ftrl(), tex
             score = 1 / (1 + np.exp(-np.clip(d, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score)], names=[*keep, score_col])
 
-    return docs.mapInArrow(run, docs.select(*keep).schema.add(score_col, "double"))
+    return docs.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlake.llm.learning import held_out, labelled_sample, train
+from sessionlake.llm.shared import columns, unused
 from sessionlake.session import ship
 
 THRESHOLD = 0.5
-#: At most about so many labelled rows are learnt from.
-TRAINING_ROWS = 12_000
-LEXICON_SIZE = 2_000
+
+
+@dataclass(frozen=True)
+class Learning:
+    """Bounds of what is learnt. They bound the lexicon, not the texts: every text is scored whole."""
+
+    #: At most about so many labelled rows are learnt from.
+    max_rows: int = 12_000
+    #: A term is in at least so many toxic texts, with a lower bound of its precision above this.
+    min_docs: int = 3
+    precision: float = 0.5
+    #: Terms are chosen until every toxic text that any of them is in has so many.
+    covers: int = 3
+    #: Patterns at most, and surest terms that these are chosen from. Rarer insults of a larger language than fits are not learnt.
+    size: int = 2_000
+    candidates: int = 40_000
+    #: Letters of a word's beginnings, from and to; longer beginnings are learnt as whole words only.
+    stem: tuple[int, int] = (3, 12)
+
 
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 _LOOK_ALIKE = {
@@ -98,13 +116,13 @@ class Lexicon:
         return 1 / (1 + exp(-max(-30.0, min(30.0, self.bias + self.slope * feature))))
 
 
-def _terms(folded: str) -> set[str]:
-    """Words and beginnings of words from three letters on, with the blanks that anchor them."""
-    out = set()
+def _terms(folded: str, stem: tuple[int, int]) -> set[str]:
+    """Words and beginnings of words, with the blanks that anchor them."""
+    out, (short, long) = set(), stem
     for w in set(folded.split()):
-        if len(w) >= 3:
+        if len(w) >= short:
             out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in range(3, min(len(w), 12) + 1))
+            out.update(f" {w[:k]}" for k in range(short, min(len(w), long) + 1))
     return out
 
 
@@ -126,42 +144,38 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, f
     return float(beta[0]), float(beta[1])
 
 
-def learn(rows: Iterator[tuple[int, str]], min_docs: int = 3, precision: float = 0.5, covers: int = 3, size: int = LEXICON_SIZE) -> Lexicon:
-    """A lexicon from (toxic, text) rows.
-
-    Terms in at least min_docs toxic texts whose precision has a lower bound above `precision` are chosen greedily
-    until every toxic text that any of them is in has `covers` of them. Without toxic rows the lexicon is empty.
-    """
+def learn(rows: Iterator[tuple[int, str]], conf: Learning = Learning()) -> Lexicon:  # noqa: B008
+    """A lexicon from (toxic, text) rows: terms are chosen greedily. Without toxic rows the lexicon is empty."""
     texts = [(y, fold(t)) for y, t in rows]
     toxic = [f for y, f in texts if y]
     n_clean = len(texts) - len(toxic)
     if not toxic:
         return Lexicon({}, [], -3.0, 2.0)
     # Most terms are in one text alone: hashes tell them apart without keeping their names.
-    hashes, often = np.unique(np.concatenate([np.fromiter(map(hash, _terms(f)), np.int64) for f in toxic]), return_counts=True)
-    frequent = set(hashes[often >= min_docs].tolist())
+    hashes, often = np.unique(np.concatenate([np.fromiter(map(hash, _terms(f, conf.stem)), np.int64) for f in toxic]), return_counts=True)
+    frequent = set(hashes[often >= conf.min_docs].tolist())
     counts: Counter[str] = Counter()
     clean: Counter[str] = Counter()
     names: dict[str, str] = {}
     own_terms = []
     for f in toxic:
-        own_terms.append([names.setdefault(t, t) for t in _terms(f) if hash(t) in frequent])
+        own_terms.append([names.setdefault(t, t) for t in _terms(f, conf.stem) if hash(t) in frequent])
         counts.update(own_terms[-1])
-    kept = {t for t, n in counts.items() if n >= min_docs}
+    kept = {t for t, n in counts.items() if n >= conf.min_docs}
     for y, f in texts:
         if not y:
-            clean.update(_terms(f) & kept)
+            clean.update(_terms(f, conf.stem) & kept)
     # The classes' own shares don't matter to a term's precision.
     even = len(toxic) / max(1, n_clean)
-    sure = {t: s for t in kept if (s := _surely(counts[t], counts[t] + clean[t])) > precision and counts[t] > clean[t] * even * 4}
+    sure = {t: s for t in kept if (s := _surely(counts[t], counts[t] + clean[t])) > conf.precision and counts[t] > clean[t] * even * 4}
     # Of terms in the same texts, the shortest beginning generalises best.
-    ranked = sorted(sure, key=lambda t: (-sure[t], t[-1] == " ", len(t), t))[: 20 * size]
+    ranked = sorted(sure, key=lambda t: (-sure[t], t[-1] == " ", len(t), t))[: conf.candidates]
     where: dict[str, list[int]] = {t: [] for t in ranked}
     for k, own in enumerate(own_terms):
         for t in own:
             if t in where:
                 where[t].append(k)
-    need, chosen = [covers] * len(toxic), {}
+    need, chosen = [conf.covers] * len(toxic), {}
     seen: set[tuple[int, ...]] = set()
     gains = {t: len(where[t]) * sure[t] for t in ranked}
     order = sorted(ranked, key=lambda t: (-gains[t], t[-1] == " ", len(t), t))
@@ -174,7 +188,7 @@ def learn(rows: Iterator[tuple[int, str]], min_docs: int = 3, precision: float =
         chosen[t] = sure[t] * log((counts[t] + 0.5) / (clean[t] + 0.5) * max(1.0, n_clean / len(toxic)))
         for k in docs:
             need[k] -= 1
-        if len(chosen) >= size:
+        if len(chosen) >= conf.size:
             break
     lexicon = Lexicon(chosen)
     lexicon.exceptions = _exceptions(texts, lexicon)
@@ -201,12 +215,12 @@ def _exceptions(texts: list[tuple[int, str]], lexicon: Lexicon, min_docs: int =
     return sorted(p for p, n in seen[0].items() if n >= min_docs and not seen[1][p])
 
 
-def train_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> Lexicon:
+def train_lexicon(docs: DataFrame, labels: DataFrame, conf: Learning = Learning()) -> Lexicon:  # noqa: B008
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", max_rows)
+    sample = labelled_sample(docs, labels, "toxic", conf.max_rows)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> bytes:
-        return pickle.dumps(learn((y, t) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)))
+        return pickle.dumps(learn(((y, t) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), conf))
 
     return pickle.loads(train(sample, [F.col("y").desc(), F.col("at"), F.col("text")], fit))
 
@@ -219,7 +233,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", sc
     """
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != score_col] if keep is None else keep
-    docs = docs.select(*keep, F.col(text_col).cast("string").alias("text scored"))
+    kept = docs.select(*columns(*keep))
+    docs = docs.select(*columns(*keep), *(c.cast("string").alias(unused("text", keep)) for c in columns(text_col)))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +243,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", sc
             scores = [lexicon.score(lexicon.feature(automaton, t.as_py() or "")) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], names=[*keep, score_col])
 
-    return docs.mapInArrow(run, docs.select(*keep).schema.add(score_col, "double"))
+    return docs.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,9 +254,11 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents that score below the threshold, as they are."""
+    """The pipeline's stage: documents that score below the threshold, as they are.
+
+    Null and empty texts score as the curve does without hits, and stay unless nearly all labelled texts are toxic. Repeated rows go or
+    stay together, null ids don't matter, other columns of any name stay as they are, and an empty table gives no rows.
+    """
     lexicon = train_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
-    return score_toxicity(docs, lexicon, score_col=name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
+    name = unused("toxicity_score", docs.columns)
+    return score_toxicity(docs, lexicon, score_col=name).filter(F.col(name) < THRESHOLD).select(*columns(*docs.columns))

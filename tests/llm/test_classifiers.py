@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from sessionlake.llm import quality, toxicity
+from sessionlake.llm import kernel, quality, toxicity
 from sessionlake.llm.kernel import chunks
+from sessionlake.llm.learning import labelled_sample
+from tests.conftest import SMALL
 from tests.llm.data import awkward, frame, sentence
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -102,3 +107,120 @@ def test_awkward_rows(spark):
         assert out.count() == docs.count()
         assert out.limit(0).collect() == []
     assert {r.score for r in quality.score_quality(docs, w).collect()} == {0.5}
+
+
+def test_sample_leaves_texts_where_they_are(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = labelled_sample(docs, labels, "toxic", 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+    texts = plan.count("documents.parquet")
+    assert texts == 1
+    above = plan[: plan.index("text#")]
+    assert "Exchange hashpartitioning(doc_id" not in above
+
+
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M
+    return x ^ (x >> 31)
+
+
+def plain_score(text, weights, conf):
+    """Word by word and n-gram by n-gram, in whole numbers of Python: the kernel's tables, none of its steps."""
+    tables = [[int(x) for x in t] for t in (kernel._BYTE, kernel._STEPS, quality._SHAPE)]
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if w]
+
+    def gram(hashes):
+        return plain_mix((sum(h * tables[1][k] for k, h in enumerate(hashes)) + len(hashes)) & M)
+
+    def word(w):
+        return plain_mix(sum(tables[0][c] * pow(kernel._BASE, -i, 1 << 64) for i, c in enumerate(w)) & M)
+
+    def shape(w):
+        runs = [k for k, _ in itertools.groupby(int(quality._CLASS[c]) for c in w)]
+        return plain_mix(sum(tables[2][c] * pow(kernel._BASE, min(i, conf.runs - 1), 1 << 64) for i, c in enumerate(runs)) & M)
+
+    hashes, shapes = [word(w) for w in words], [shape(w) for w in words]
+    again = [int(k > 0 and hashes[k] == hashes[k - 1]) for k in range(len(words))]
+    kinds = [[(gram(x[k : k + n]) + kind) & M for k in range(len(x) - n + 1)] for kind, (x, n) in enumerate(((hashes, 1), (hashes, 2), (shapes, 1), (shapes, 2), (shapes, 3)))]
+    kinds.append([plain_mix((a + 977) & M) for a in again[1:]])
+    total = float(weights[-1])
+    for scale, found in zip(conf.scale, kinds, strict=True):
+        total += scale * sum(float(weights[plain_mix(g) >> (64 - conf.bits)]) for g in found) / max(1, len(found))
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+def test_quality_query_is_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    weights = quality.train_quality(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.op7_ftrl_quality(spark, SMALL).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    short = [k for k, t in texts.items() if len(t or "") < 6000]
+    assert len(short) > 0.8 * len(texts)
+    for k in short:
+        assert got[k].score == pytest.approx(plain_score(texts[k], weights, quality.Ftrl()), abs=1e-4)
+
+
+def test_ftrl_is_its_formula():
+    """Per coordinate, as the update is published, with weights made anew before each row."""
+    conf = quality.Ftrl(bits=3, epochs=2)
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(2)), np.sort(rng.choice(9, 4, replace=False)), rng.random(4)) for _ in range(50)]
+    z, n = [0.0] * 9, [0.0] * 9
+
+    def weight(i):
+        sign = -1.0 if z[i] < 0 else 1.0
+        return 0.0 if abs(z[i]) <= conf.l1 else (sign * conf.l1 - z[i]) / ((conf.beta + math.sqrt(n[i])) / conf.alpha + conf.l2)
+
+    for _ in range(2):
+        for y, at, x in rows:
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at, x, strict=True))))
+            for i, v in zip(at, x, strict=True):
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / conf.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    assert quality.fit(rows, conf) == pytest.approx([weight(i) for i in range(9)], abs=1e-6)
+
+
+def test_toxicity_query_is_brute_force(spark):
+    """Every pattern sought at every place by itself."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    lex = toxicity.train_lexicon(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r.doc_id: r.score for r in toxicity.op10_toxicity_lexicon(spark, SMALL).collect()}
+
+    def places(pattern, text):
+        at = text.find(pattern)
+        while at >= 0:
+            yield at, at + len(pattern)
+            at = text.find(pattern, at + 1)
+
+    for r in docs.collect():
+        folded = toxicity.fold(r.text or "")
+        spared = [p for e in lex.exceptions for p in places(e, folded)]
+        hits = sum(w for p, w in lex.patterns.items() for a, b in places(p, folded) if not any(c <= a and b <= d for c, d in spared))
+        x = math.log1p(1000 * hits / max(20, len(folded.split())))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, lex.bias + lex.slope * x)))), abs=1e-9)
+    assert lex.patterns
+
+
+def test_toxicity_stage_keeps_odd_rows(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, f"{sentence(rng, 30)} {'grobble' if k % 3 == 0 else 'garden'}") for k in range(150)]
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([*rows, rows[1], rows[0], (None, None), (None, ""), (None, "grobble grobble")], "doc_id long, text string").selectExpr("*", "1 AS y", "2 AS `text scored`", "3 AS toxicity_score")
+    out = toxicity.toxicity_stage(spark, docs, str(tmp_path))
+    assert out.dtypes == docs.dtypes
+    kept = sorted([(r.doc_id, r.text) for r in out.collect()], key=repr)
+    assert kept == sorted([*(r for r in rows if r[0] % 3), rows[1], (None, None), (None, "")], key=repr)
+    assert toxicity.toxicity_stage(spark, docs.limit(0), str(tmp_path)).collect() == []
