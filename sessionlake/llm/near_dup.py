@@ -140,9 +140,9 @@ def similar(sig: np.ndarray, one: np.ndarray, others: np.ndarray, batch: int, le
     return others
 
 
-def _spread(n: int, linked) -> np.ndarray:
-    """Each row's component (a row number of it), where linked(row, others) gives the others that it is linked with."""
-    label, left, at = np.arange(n), np.arange(n), 0
+def _spread(rows: np.ndarray, linked) -> np.ndarray:
+    """Each of the rows' component (a row of it), where linked(row, others) gives the others that it is linked with."""
+    label, left, at = np.arange(rows[-1] + 1 if len(rows) else 0), rows, 0
     queue: list[int] = []
     while len(left):
         if not queue:
@@ -152,7 +152,28 @@ def _spread(n: int, linked) -> np.ndarray:
             label[got] = at
             queue.extend(got.tolist())
             left = left[~np.isin(left, got, assume_unique=True)]
-    return label
+    return label[rows]
+
+
+def _joins(n: int, first: int, linked) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and rows to link them to, that join the components of n rows.
+
+    The first ones and the others may be two blocks, each of which another group joins by itself: then only what the two together
+    join is given, from one row of each block's components.
+    """
+    label = _spread(np.arange(n), linked)
+    if first in (0, n):
+        rows = np.flatnonzero(label != np.arange(n))
+        return rows, label[rows]
+    heads = []
+    for part in (np.arange(first), np.arange(first, n)):
+        alone = _spread(part, linked)
+        heads.append(part[alone == part])
+    rows = np.concatenate(heads)
+    # One head stands for each component of both.
+    _, at, of = np.unique(label[rows], return_index=True, return_inverse=True)
+    to = rows[at][of]
+    return rows[rows != to], to[rows != to]
 
 
 def _number_of_blocks(members: Column, size: Column, most: int, conf: NearDup) -> Column:
@@ -160,11 +181,15 @@ def _number_of_blocks(members: Column, size: Column, most: int, conf: NearDup) -
     return F.greatest(of(size, most), F.least(of(members, conf.worth), F.lit(conf.spread)), F.lit(1).cast("long"))
 
 
-def _blocks(n_blocks, doc) -> tuple:
-    """(own block, struct of two blocks for each pair of blocks that the own one is in)."""
+def _blocks(n_blocks: Column, doc: Column) -> Column:
+    """The pairs of blocks that a document's own one is in: i and j, i not above j, and whether the own one is j alone."""
     own = F.pmod(F.xxhash64(doc, F.lit(11)), n_blocks)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return own, pairs
+    return F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).alias("second")))
+
+
+def _turn(key: str) -> Column:
+    """A number for a pair of blocks of a group: its pairs follow one another, so they come to different tasks."""
+    return F.shiftright(F.xxhash64(key), 2) + F.expr("j * (j + 1) div 2 + i")
 
 
 def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
@@ -174,7 +199,7 @@ def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     kept = stats.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     kept = materialise(kept, f"{folder}/buckets")
     n_blocks = _number_of_blocks(F.col("n"), F.col("n"), conf.bucket_block, conf)
-    _, pairs = _blocks(n_blocks, F.col("doc_id"))
+    pairs = _blocks(n_blocks, F.col("doc_id"))
     members = spread.join(kept, "bucket").select("bucket", "doc_id", F.inline(pairs))
     rows = members.join(sigs.select("doc_id", "sig"), "doc_id")
     batch, least, width = conf.batch, least_matches(conf), conf.hashes
@@ -186,12 +211,15 @@ def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
         _, offsets, raw = data.buffers()
         start = np.frombuffer(offsets, np.int32)[data.offset]
         sig = np.frombuffer(raw, np.uint16, len(ids) * width, start).reshape(len(ids), width)
-        label = _spread(len(ids), lambda r, others: similar(sig, sig[r], others, batch, least))
-        to = ids[label]
-        joined = to != ids
-        return pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.array(to[joined])], names=["u", "v"])
+        u, v = _joins(len(ids), _first(group), lambda r, others: similar(sig, sig[r], others, batch, least))
+        return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    return map_sorted_groups(rows, ["bucket", "i", "j"], ["second", "doc_id"], bucket, "u long, v long", number=_turn("bucket"))
+
 
-    return map_sorted_groups(rows, ["bucket", "i", "j"], ["doc_id"], bucket, "u long, v long")
+def _first(group: pa.Table) -> int:
+    """How many of a group's rows are of its first block."""
+    return group.num_rows - int(group.column("second").combine_chunks().to_numpy(zero_copy_only=False).sum())
 
 
 def _number(doc: str) -> Column:
@@ -206,7 +234,7 @@ def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str)
     """
     size = materialise(families.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members")), f"{folder}/family-sizes")
     n_blocks = _number_of_blocks(F.col("members"), F.col("total"), conf.family_block, conf)
-    _, pairs = _blocks(n_blocks, F.col("doc_id"))
+    pairs = _blocks(n_blocks, F.col("doc_id"))
     # Texts outside of families mostly stay where they are: the broadcast side has at most FILTER_BUCKETS numbers at any scale.
     texts = texts.join(F.broadcast(families.select(_number("doc_id").alias("b")).distinct()), _number("doc_id") == F.col("b"), "left_semi")
     rows = families.join(size, "family").join(texts, "doc_id").select("family", F.inline(pairs), "doc_id", "text")
@@ -231,12 +259,10 @@ def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str)
                 shared = np.add.reduceat(_within(every, sets[r]), first[:-1])[others]
             return others[100 * shared >= percent * (a + sizes[others] - shared)]
 
-        label = _spread(len(ids), linked)
-        to = ids[label]
-        joined = to != ids
-        return pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.array(to[joined])], names=["u", "v"])
+        u, v = _joins(len(ids), _first(group), linked)
+        return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
 
-    return map_sorted_groups(rows, ["family", "i", "j"], ["doc_id"], family, "u long, v long")
+    return map_sorted_groups(rows, ["family", "i", "j"], ["second", "doc_id"], family, "u long, v long", number=_turn("family"))
 
 
 def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
