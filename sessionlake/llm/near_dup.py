@@ -9,8 +9,8 @@
 3. Those links' components are families. Each family's texts are brought together once, and links inside
    it are confirmed on the full sets, as sets of 64-bit hashes of shingles; the confirmed links' components are the result.
 
-A bucket or family is cut into blocks, each pair of which is a group of its own: up to `spread` blocks for the work's sake,
-so that one of thousands of members is many tasks' work and its rows move `spread` times at most, and more only where
+A bucket or family is cut into blocks, each pair of which is a group of its own: up to a few blocks for the work's sake,
+so that one of thousands of members is many tasks' work and its rows move so many times at most, and more only where
 memory asks for them. No pair is skipped. Chance of missing a pair at the threshold: (1 - t**rows)**bands for the
 bands (1e-9 at 0.85, 4e-7 at 0.8) and `miss` for the pruning. Texts of no words are in no class.
 """
@@ -42,9 +42,10 @@ class NearDup:
     rows: int = 4
     miss: float = 1e-6
     batch: int = 16
-    #: Members that are worth a block of their own, and blocks for the work's sake at most.
+    #: Members that are worth a block of their own, and blocks of a bucket and of a family for the work's sake at most.
     worth: int = 128
-    spread: int = 16
+    bucket_spread: int = 4
+    family_spread: int = 16
     #: At most so many signatures in a block of a bucket, and shingles in a block of a family, for memory's sake.
     bucket_block: int = 20_000
     family_block: int = 1_000_000
@@ -176,9 +177,9 @@ def _joins(n: int, first: int, linked) -> tuple[np.ndarray, np.ndarray]:
     return rows[rows != to], to[rows != to]
 
 
-def _number_of_blocks(members: Column, size: Column, most: int, conf: NearDup) -> Column:
+def _number_of_blocks(members: Column, worth: int, spread: int, size: Column, most: int) -> Column:
     of = lambda n, per: F.ceil(n / F.lit(per)).cast("long")
-    return F.greatest(of(size, most), F.least(of(members, conf.worth), F.lit(conf.spread)), F.lit(1).cast("long"))
+    return F.greatest(of(size, most), F.least(of(members, worth), F.lit(spread)), F.lit(1).cast("long"))
 
 
 def _blocks(n_blocks: Column, doc: Column) -> Column:
@@ -198,7 +199,7 @@ def survivors(sigs: DataFrame, conf: NearDup, folder: str) -> DataFrame:
     stats = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).filter("n > 1")
     kept = stats.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     kept = materialise(kept, f"{folder}/buckets")
-    n_blocks = _number_of_blocks(F.col("n"), F.col("n"), conf.bucket_block, conf)
+    n_blocks = _number_of_blocks(F.col("n"), conf.worth, conf.bucket_spread, F.col("n"), conf.bucket_block)
     pairs = _blocks(n_blocks, F.col("doc_id"))
     members = spread.join(kept, "bucket").select("bucket", "doc_id", F.inline(pairs))
     rows = members.join(sigs.select("doc_id", "sig"), "doc_id")
@@ -233,7 +234,7 @@ def confirmed(texts: DataFrame, families: DataFrame, conf: NearDup, folder: str)
     texts: doc_id, text. families: doc_id, family, n_shingles.
     """
     size = materialise(families.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members")), f"{folder}/family-sizes")
-    n_blocks = _number_of_blocks(F.col("members"), F.col("total"), conf.family_block, conf)
+    n_blocks = _number_of_blocks(F.col("members"), conf.worth, conf.family_spread, F.col("total"), conf.family_block)
     pairs = _blocks(n_blocks, F.col("doc_id"))
     # Texts outside of families mostly stay where they are: the broadcast side has at most FILTER_BUCKETS numbers at any scale.
     texts = texts.join(F.broadcast(families.select(_number("doc_id").alias("b")).distinct()), _number("doc_id") == F.col("b"), "left_semi")
