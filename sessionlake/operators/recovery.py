@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionlake.config import Config
 from sessionlake.functions.columns import clip, days_between, month, quantile_bin, quantile_edges, ratio
 from sessionlake.operators.censoring import by_horizon, capped_gap, recovered_within
-from sessionlake.operators.sequences import in_order, by_player, prior_exposure
+from sessionlake.operators.sequences import by_player, in_order, prior_exposure
 
 
 def exact_path(next_state: Column, conf: Config) -> Column:
@@ -93,8 +93,8 @@ def recovery_followup(origins: DataFrame, conf: Config) -> DataFrame:
 
 
 def time_to_relapse(labels: DataFrame, conf: Config) -> DataFrame:
-    """For each recovery the first focal session after the one it led to: sessions and days from there. A window's minimum, no join."""
-    later = in_order().rowsBetween(2, Window.unboundedFollowing)
+    """For each recovery the first focal session after the one it led to: sessions and days from there. A running minimum from each player's end, no join."""
+    later = by_player().orderBy(F.desc("session_index")).rowsBetween(Window.unboundedPreceding, -2)
     nearest = F.min(F.when(F.col("state_id") == conf.focal_state, F.struct("session_index", "login_time"))).over(later)
     df = labels.withColumn("relapse", nearest).filter((F.col("state_id") == conf.focal_state) & F.col("next_state_id").isin(*conf.recovery_states))
     return df.select(

@@ -71,8 +71,11 @@ def _gram(rows: DataFrame, beta: np.ndarray, logistic: bool) -> tuple[np.ndarray
             score += x.T @ (y - mu)
         yield pa.RecordBatch.from_arrays([pa.array([gram.ravel().tolist()]), pa.array([score.tolist()])], names=["gram", "score"])
 
-    parts = rows.select("y", "x").mapInArrow(run, "gram array<double>, score array<double>").collect()  # p * p numbers a partition
-    return sum((np.array(r.gram).reshape(p, p) for r in parts), np.zeros((p, p))), sum((np.array(r.score) for r in parts), np.zeros(p))
+    cells = rows.select("y", "x").mapInArrow(run, "gram array<double>, score array<double>").select(F.posexplode(F.concat("gram", "score")).alias("cell", "v"))
+    total = np.zeros(p * p + p)
+    for r in cells.groupBy("cell").agg(F.sum("v").alias("v")).collect():  # p * (p + 1) numbers, however many partitions
+        total[r.cell] = r.v
+    return total[: p * p].reshape(p, p), total[p * p :]
 
 
 def _mean(x: np.ndarray, y: np.ndarray, beta: np.ndarray, logistic: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,25 +120,31 @@ def _ridge(p: int, size: float) -> np.ndarray:
 def logistic(rows: DataFrame, p: int, ridge: float = 1e-6, max_iter: int = 80, tol: float = 1e-7) -> Fit:
     """Newton steps from 0 until none of them exceeds tol; the intercept has no ridge. No correction for few clusters."""
     rows = rows.cache()
-    beta, penalty = np.zeros(p), _ridge(p, ridge)
-    k = 0
-    for k in range(1, max_iter + 1):
-        gram, score = _gram(rows, beta, True)
-        step = np.linalg.solve(gram + penalty, score - penalty @ beta)
-        beta = beta + step
-        if np.abs(step).max() < tol:
-            break
-    bread = np.linalg.inv(_gram(rows, beta, True)[0] + penalty)
-    return Fit(beta, bread @ _meat(rows, beta, True) @ bread, k)
+    try:
+        beta, penalty = np.zeros(p), _ridge(p, ridge)
+        k = 0
+        for k in range(1, max_iter + 1):
+            gram, score = _gram(rows, beta, True)
+            step = np.linalg.solve(gram + penalty, score - penalty @ beta)
+            beta = beta + step
+            if np.abs(step).max() < tol:
+                break
+        bread = np.linalg.inv(_gram(rows, beta, True)[0] + penalty)
+        return Fit(beta, bread @ _meat(rows, beta, True) @ bread, k)
+    finally:
+        rows.unpersist()
 
 
 def linear(rows: DataFrame, p: int, ridge: float = 1e-8) -> Fit:
     """One solve, with cluster-robust errors."""
     rows = rows.cache()
-    gram, xy = _gram(rows, np.zeros(p), False)
-    total = gram + _ridge(p, ridge)
-    beta, bread = np.linalg.solve(total, xy), np.linalg.inv(total)
-    return Fit(beta, bread @ _meat(rows, beta, False) @ bread, 1)
+    try:
+        gram, xy = _gram(rows, np.zeros(p), False)
+        total = gram + _ridge(p, ridge)
+        beta, bread = np.linalg.solve(total, xy), np.linalg.inv(total)
+        return Fit(beta, bread @ _meat(rows, beta, False) @ bread, 1)
+    finally:
+        rows.unpersist()
 
 
 def coefficients(df: DataFrame, names: Sequence[str], fit: Fit, analysis: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sessionlake.config import Config
 from sessionlake.functions.columns import days_between, month, right_closed
 from sessionlake.operators.recovery import log1p0
 from sessionlake.operators.sequences import METRICS, prior_exposure, rolling_metrics, rolling_slopes
+from sessionlake.session import ship
 
 DAY_EDGES = (float("-inf"), 1, 3, 7, 14, 30, 60, 90, float("inf"))
 DAY_LABELS = ("0-1d", "1-3d", "3-7d", "7-14d", "14-30d", "30-60d", "60-90d", "90d+")
@@ -115,32 +117,41 @@ def slope_columns(conf: Config) -> list[str]:
 MATCHES = "stratum string, number long, case_pid string, case_session_id string, control_pid string, control_session_id string, case_index long, control_index long"
 
 
-def _pair(stratum: str, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Cases meet the next control in order; a control of the same player is passed over and used up."""
-    rows = list(rows)
-    controls = iter([r for r in rows if r[0] == 0])
-    number = 0
-    for _, pid, session, index in (r for r in rows if r[0] == 1):
-        chosen = next((c for c in controls if c[1] != pid), None)
-        if chosen is None:
-            return
-        number += 1
-        yield stratum, number, pid, session, chosen[1], chosen[2], index, chosen[3]
-
-
 def greedy_matches(frame: DataFrame) -> DataFrame:
     """One-to-one matches without replacement within each stratum, in the order of index, player and session.
 
-    The order decides, so a stratum is one group of keys and indexes; strata are the months times six bins.
+    A case takes the next control; one of the same player is passed over and used up. The order decides, so a stratum is one
+    task's work, read once in order: the k-th case comes before the k-th control, and cases that wait for a control are all
+    that is held, as many as controls were passed over; cases behind the last control aren't.
     """
-    slim = frame.filter("terminal_case is not null").select("stratum", "terminal_case", "pid", "session_id", "session_index")
-
-    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["session_index", "pid", "session_id"], kind="stable")
-        rows = zip(pdf["terminal_case"], pdf["pid"], pdf["session_id"], pdf["session_index"], strict=True)
-        return pd.DataFrame(list(_pair(key[0], rows)), columns=[c.split()[0] for c in MATCHES.split(", ")])
-
-    return slim.groupBy("stratum").applyInPandas(match, MATCHES)
+    ship(frame.sparkSession)
+    w = Window.partitionBy("stratum", "terminal_case").orderBy("session_index", "pid", "session_id")
+    slim = frame.filter("terminal_case is not null").select("stratum", "terminal_case", "pid", "session_id", F.col("session_index").cast("long").alias("session_index")).repartition("stratum")
+    ordered = slim.withColumn("number", F.row_number().over(w)).sortWithinPartitions("stratum", "number", F.desc("terminal_case")).drop("number")
+    names = [c.split()[0] for c in MATCHES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: object = object()
+        waiting: deque = deque()
+        number = cases = controls = 0
+        for batch in batches:
+            out = []
+            for stratum, case, pid, session, index in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stratum != here:
+                    here, number, cases, controls = stratum, 0, 0, 0
+                    waiting.clear()
+                cases, controls = cases + case, controls + 1 - case
+                if case:
+                    if controls >= cases - 1:
+                        waiting.append((pid, session, index))
+                elif waiting and waiting[0][0] != pid:
+                    case_pid, case_session, case_index = waiting.popleft()
+                    number += 1
+                    out.append((stratum, number, case_pid, case_session, pid, session, case_index, index))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("number", "case_index", "control_index") else pa.string()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+
+    return ordered.mapInArrow(run, MATCHES)
 
 
 def rank_matches(frame: DataFrame) -> DataFrame:
@@ -168,7 +179,16 @@ def paired_comparison(matched: DataFrame, conf: Config) -> DataFrame:
     pairs = long.groupBy("slope", "match_stratum", "number").agg(F.max(F.when(F.col("terminal_case") == 1, F.col("value"))).alias("case"), F.max(F.when(F.col("terminal_case") == 0, F.col("value"))).alias("control"))
     pairs = pairs.filter("`case` is not null and control is not null").withColumn("gap", F.col("case") - F.col("control"))
     out = pairs.groupBy("slope").agg(F.count("*").alias("pairs"), F.avg("case").alias("case_mean"), F.avg("control").alias("control_mean"), F.avg("gap").alias("mean_gap"), (F.stddev_samp("gap") / F.sqrt(F.count("*"))).alias("se"))
-    return out.withColumn("z", F.when(F.col("se") > 0, F.col("mean_gap") / F.col("se")))
+    out = out.withColumn("z", F.when(F.col("se") > 0, F.col("mean_gap") / F.col("se")))
+    return out.withColumn("p_value", two_sided_p(F.col("z")))
+
+
+def two_sided_p(z: Column, steps: int = 2000) -> Column:
+    """The normal chance of at least |z|: one minus the error function, by Simpson's rule; right to 1e-12."""
+    x = F.least(F.abs(z) / math.sqrt(2), F.lit(10.0))
+    weight = lambda k: F.when(k.isin(0, steps), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+    area = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: weight(k) * F.exp(-F.pow(x * k / steps, F.lit(2.0)))), F.lit(0.0), lambda a, v: a + v)
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * x / (3 * steps) * area))
 
 
 def normal_p(z: float | None) -> float | None:

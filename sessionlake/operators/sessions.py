@@ -86,8 +86,9 @@ def assignment_summary(assigned: DataFrame) -> DataFrame:
 
 def pairing_by_player(tele: DataFrame) -> DataFrame:
     """Logins, exits, pairs and what is left over for each player; an overlap is a login that a later one replaced before an exit."""
-    ahead = Window.partitionBy("pid").orderBy("event_time", "kind", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    marks = login_exit_stream(tele).withColumn("exits_ahead", F.coalesce(F.sum("kind").over(ahead), F.lit(0)))
+    player = Window.partitionBy("pid")  # exits ahead are all but those so far: linear in a player's marks
+    so_far = player.orderBy("event_time", "kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = login_exit_stream(tele).withColumn("exits_ahead", F.sum("kind").over(player) - F.sum("kind").over(so_far))
     login, exit_ = F.col("kind") == 0, F.col("kind") == 1
     return (
         marks.groupBy("pid")

@@ -146,15 +146,23 @@ bef AS (
     CASE WHEN anchor_index - session_index <= 2 THEN '0-2 sessions' WHEN anchor_index - session_index <= 5 THEN '3-5 sessions' WHEN anchor_index - session_index <= 10 THEN '6-10 sessions' WHEN anchor_index - session_index <= 20 THEN '11-20 sessions' ELSE '20+ sessions' END AS lag_period
   FROM rol r JOIN anc USING (pid) WHERE session_index <= anchor_index),
 bfl AS ({" UNION ALL ".join(f"SELECT session_id, pid, session_lag, day_bin, anchor_state_id, '{m}' AS metric, {w} AS window_, {m}_w{w}::DOUBLE AS value FROM bef" for w in ROLLING for m in METRICS)}),
-slp AS (
-  SELECT a.session_id, count(*) AS slope_points, {", ".join(f"CASE WHEN count(h.{m}_w{w}) >= 5 THEN {'-' if k < 2 else ''}regr_slope(h.{m}_w{w}, h.session_index) END AS narrowing_{m}_w{w}" for w in ROLLING for k, m in enumerate(METRICS[:3]))}
-  FROM rol a JOIN rol h ON h.pid = a.pid AND h.session_index BETWEEN a.session_index - 10 AND a.session_index WHERE a.session_index >= 5 GROUP BY a.session_id),
-fra AS (
+slp AS MATERIALIZED (
+  SELECT session_id, {", ".join(f"CASE WHEN count({m}_w{w}) OVER s >= 5 THEN {'-' if k < 2 else ''}regr_slope({m}_w{w}, session_index) OVER s END AS narrowing_{m}_w{w}" for w in ROLLING for k, m in enumerate(METRICS[:3]))}
+  FROM rol WINDOW s AS (PARTITION BY pid ORDER BY session_index RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) QUALIFY session_index >= 5),
+fra AS MATERIALIZED (
   SELECT r.*, s.* EXCLUDE (session_id), month || '|' || CASE WHEN session_index <= 5 THEN '1-5' WHEN session_index <= 10 THEN '6-10' WHEN session_index <= 20 THEN '11-20' WHEN session_index <= 50 THEN '21-50' WHEN session_index <= 100 THEN '51-100' ELSE '100+' END AS stratum,
     CASE WHEN {" AND ".join(f"narrowing_{m}_w{w} IS NOT NULL" for w in ROLLING for m in METRICS[:3])} THEN CASE WHEN is_last AND evaluable_7d AND disengaged_7d THEN 1 WHEN evaluable_7d AND NOT disengaged_7d AND NOT is_last THEN 0 END END AS terminal_case
   FROM rol r JOIN slp s USING (session_id)),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY stratum, terminal_case ORDER BY session_index, pid, session_id) AS number FROM fra WHERE terminal_case IS NOT NULL),
 mch AS (SELECT a.stratum, a.number, a.pid AS case_pid, a.session_id AS case_session_id, a.session_index AS case_index, b.pid AS control_pid, b.session_id AS control_session_id, b.session_index AS control_index FROM rnk a JOIN rnk b ON a.stratum = b.stratum AND a.number = b.number AND a.terminal_case = 1 AND b.terminal_case = 0),
+con AS (SELECT *, min(number) OVER (PARTITION BY stratum, run ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first, max(number) OVER (PARTITION BY stratum, run) + 1 AS behind
+  FROM (SELECT *, sum(new) OVER (PARTITION BY stratum ORDER BY number) AS run FROM (SELECT stratum, number, pid, session_id, session_index, CASE WHEN lag(pid) OVER (PARTITION BY stratum ORDER BY number) = pid THEN 0 ELSE 1 END AS new FROM rnk WHERE terminal_case = 0))),
+cas AS (SELECT stratum, number, pid, session_id, session_index FROM rnk WHERE terminal_case = 1),
+gre AS (  -- each case takes the control behind the last one taken, or the first behind its own player's run of controls
+  SELECT stratum, 0::BIGINT AS number, 0::BIGINT AS at FROM (SELECT DISTINCT stratum FROM cas)
+  UNION ALL SELECT g.stratum, g.number + 1, CASE WHEN c.pid = k.pid THEN c.behind ELSE c.number END FROM gre g JOIN cas k ON k.stratum = g.stratum AND k.number = g.number + 1 JOIN con c ON c.stratum = g.stratum AND c.number = g.at + 1),
+gmt AS (SELECT k.stratum, g.number, k.pid AS case_pid, k.session_id AS case_session_id, k.session_index AS case_index, c.pid AS control_pid, c.session_id AS control_session_id, c.session_index AS control_index
+  FROM gre g JOIN cas k ON k.stratum = g.stratum AND k.number = g.number JOIN con c ON c.stratum = g.stratum AND c.number = g.at),
 clu AS (SELECT *, state_id AS cluster, lag(state_id) OVER w AS prev_cluster, lead(state_id) OVER w AS next_cluster, count(*) OVER (PARTITION BY pid) AS total_n, (lead(login) OVER w - exit_) / 1e6 / 86400.0 AS days_to_next, {EVENTS_SUM} AS events, strftime(make_timestamp(login), '%Y-%m-%d') AS login_date FROM stt WINDOW w AS (PARTITION BY pid ORDER BY session_index)),
 cl2 AS (SELECT *, CASE WHEN total_n > 1 THEN (session_index - 1) / (total_n - 1)::DOUBLE ELSE 0.0 END AS trajectory FROM clu),
 emb AS (SELECT vec_id AS id, label AS known, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM embeddings),
@@ -169,7 +177,7 @@ psc AS (SELECT id, arg_max(label, p) AS label, any_value(log_likelihood) AS log_
 
 
 def add(name: str, sql: str) -> None:
-    ORACLES[name] = f"WITH {BASE.strip()}\n{sql}"
+    ORACLES[name] = f"WITH RECURSIVE {BASE.strip()}\n{sql}"
 
 
 ORACLES: dict[str, str] = {}
@@ -347,8 +355,15 @@ add("player_contrast", f"SELECT pid, count(*) AS sessions, max(anchor_index) AS
 add("player_slopes", f"SELECT pid, window_ AS \"window\", metric, count(*) AS points, {r('regr_slope(value, session_lag)')} AS slope FROM bfl WHERE value IS NOT NULL GROUP BY pid, window_, metric HAVING count(*) >= 3 AND count(DISTINCT session_lag) >= 2")
 add("anchor_slopes", f"SELECT session_id, stratum, terminal_case, {', '.join(f'{r(c)} AS {c}' for c in _SLOPES)} FROM fra WHERE terminal_case IS NOT NULL")
 add("rank_matches", "SELECT * FROM mch")
-add("match_quality", f"SELECT count(*) AS matched_pairs, count(DISTINCT stratum) AS strata, {q('abs(case_index - control_index)::DOUBLE', 0.5)} AS median_index_gap FROM mch")
-add("paired_comparison", " UNION ALL ".join(f"SELECT '{c}' AS slope, count(*) AS pairs, {r('avg(a)')} AS case_mean, {r('avg(b)')} AS control_mean, {r('avg(a - b)')} AS mean_gap, {r('stddev_samp(a - b) / sqrt(count(*))')} AS se, {r('CASE WHEN stddev_samp(a - b) > 0 THEN avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) END')} AS z FROM (SELECT x.{c} AS a, y.{c} AS b FROM mch JOIN fra x ON x.session_id = case_session_id JOIN fra y ON y.session_id = control_session_id) HAVING count(*) > 0" for c in _SLOPES))
+add("match_quality", f"SELECT count(*) AS matched_pairs, count(DISTINCT stratum) AS strata, {q('abs(case_index - control_index)::DOUBLE', 0.5)} AS median_index_gap FROM gmt")
+add("greedy_matches", "SELECT stratum, number, case_pid, case_session_id, control_pid, control_session_id, case_index, control_index FROM gmt")
+_P = "CASE WHEN z IS NOT NULL THEN greatest(0.0, 1 - 2 / sqrt(pi()) * x / 6000 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END * exp(-((x * k / 2000) ** 2))))) END"
+_PAIRS = " UNION ALL ".join(f"SELECT '{c}' AS slope, x.{c} AS a, y.{c} AS b FROM gmt JOIN fra x ON x.session_id = case_session_id JOIN fra y ON y.session_id = control_session_id" for c in _SLOPES)
+add("paired_comparison", f"""
+SELECT slope, pairs, {r('case_mean')} AS case_mean, {r('control_mean')} AS control_mean, {r('mean_gap')} AS mean_gap, {r('se')} AS se, {r('z')} AS z, {r(_P)} AS p_value
+FROM (SELECT *, least(abs(z) / sqrt(2), 10.0) AS x
+  FROM (SELECT *, CASE WHEN se > 0 THEN mean_gap / se END AS z
+    FROM (SELECT slope, count(*) AS pairs, avg(a) AS case_mean, avg(b) AS control_mean, avg(a - b) AS mean_gap, stddev_samp(a - b) / sqrt(count(*)) AS se FROM ({_PAIRS}) GROUP BY slope)))""")
 
 add("squared_distances", f"SELECT id, label, {r('distance')} AS distance FROM near")
 add("lloyd_step", f"SELECT label, count(*) AS size, {r('sum(distance)')} AS inertia, {', '.join(f'{r(f'avg(x{i})')} AS c{i}' for i in range(4))} FROM near GROUP BY label")

@@ -508,13 +508,13 @@ def rank_matches(f: Frames) -> DataFrame:
 
 @query
 def match_quality(f: Frames) -> DataFrame:
-    return rigidity.match_quality(rigidity.rank_matches(f.anchor_frame))
+    return rigidity.match_quality(rigidity.greedy_matches(f.anchor_frame))
 
 
 @query
 def paired_comparison(f: Frames) -> DataFrame:
     frame = f.anchor_frame.cache()
-    return rigidity.paired_comparison(rigidity.matched_rows(frame, rigidity.rank_matches(frame)), f.conf)
+    return rigidity.paired_comparison(rigidity.matched_rows(frame, rigidity.greedy_matches(frame)), f.conf)
 
 
 # ---- Clusters
@@ -771,4 +771,4 @@ def recovery_curve(f: Frames) -> DataFrame:
 @query
 def narrowing_models(f: Frames) -> DataFrame:
     frame = f.anchor_frame.cache()
-    return models.narrowing_models(rigidity.matched_rows(frame, rigidity.rank_matches(frame)), f.conf)
+    return models.narrowing_models(rigidity.matched_rows(frame, rigidity.greedy_matches(frame)), f.conf)

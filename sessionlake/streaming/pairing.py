@@ -1,8 +1,8 @@
 """Sessions from a stream of logins and exits.
 
-A player's state is the last login, if no exit followed, and the marks that the watermark hasn't passed yet. Once it has, they
-are taken in the order of the batch operator: a login replaces an open one, an exit closes it. Marks behind the watermark
-when they come are dropped. The result is append-only and, but for dropped marks, the batch operator's.
+A player's state is the last login, if no exit followed, and the marks that the watermark hasn't passed yet; a player with
+neither has no state. Once the watermark has passed them, marks are taken in the order of the batch operator: a login replaces an open one, an exit closes it. Marks behind the watermark
+when they come are dropped, by Spark for a player without state. The result is append-only and, but for dropped marks, the batch operator's.
 """
 
 from __future__ import annotations
@@ -43,7 +43,10 @@ def advance(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupSta
     mark = state.getCurrentWatermarkMs() * 1000
     open_us, closed = step(open_us, [m for m in held if m[0] < mark])
     held = [m for m in held if m[0] >= mark]
-    state.update((open_us, max(seen, mark), *map(list, zip(*held, strict=True))) if held else (open_us, max(seen, mark), [], [], []))
+    if open_us is not None or held:
+        state.update((open_us, max(seen, mark), *map(list, zip(*held, strict=True))) if held else (open_us, max(seen, mark), [], [], []))
+    elif state.exists:
+        state.remove()
     if held:
         state.setTimeoutTimestamp(max(min(m[0] for m in held), mark) // 1000 + 1)
     if closed:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.operators import clusters, regression, rigidity
+from tests.conftest import SMALL
 
 
 def numpy_logistic(x, y, groups, ridge=1e-6):
@@ -110,6 +114,43 @@ def test_matching_skips_and_uses_up_the_same_player(spark):
     assert [(r.case_session_id, r.control_session_id) for r in got] == [("c1", "k2")]
 
 
+def test_matching_is_the_plain_rule(spark):
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(6)}", int(rng.random() < (0.8 if k % 2 else 0.3)), f"p{rng.randrange(7)}", f"x{k:03d}", rng.randrange(1, 9)) for k in range(400)]
+    want = []
+    for s in sorted({r[0] for r in rows}):
+        order = sorted((r for r in rows if r[0] == s), key=lambda r: (r[4], r[2], r[3]))
+        controls, n = [r for r in order if not r[1]], 0
+        for c in (r for r in order if r[1]):
+            while controls and controls[0][2] == c[2]:
+                controls.pop(0)
+            if not controls:
+                break
+            n += 1
+            k = controls.pop(0)
+            want.append((s, n, c[2], c[3], k[2], k[3], c[4], k[4]))
+    frame = spark.createDataFrame(rows, "stratum string, terminal_case int, pid string, session_id string, session_index long")
+    assert sorted(tuple(r) for r in rigidity.greedy_matches(frame).collect()) == sorted(want)
+    assert rigidity.greedy_matches(frame.limit(0)).collect() == []
+
+
+def test_p_value_by_columns(spark):
+    zs = [0.0, 0.3, -1.959963984540054, 2.5, 5.0, -9.0, 40.0, None]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(rigidity.two_sided_p(F.col("z")).alias("p")).collect()]
+    assert got[:-1] == pytest.approx([rigidity.normal_p(z) for z in zs[:-1]], abs=1e-11)
+    assert got[-1] is None
+
+
+def test_no_window_looks_ahead_without_bound(spark):
+    """Frames that end at the last row are worked out anew for each row: quadratic in a busy player's rows."""
+    from sessionlake.catalog import QUERIES
+
+    for name in ("pairing_by_player", "time_to_relapse"):
+        if name in QUERIES:
+            plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"RowFrame, \d+, unboundedfollowing", plan)
+
+
 def test_normal_p():
     assert rigidity.normal_p(1.959963984540054) == pytest.approx(0.05)
     assert rigidity.normal_p(None) is None

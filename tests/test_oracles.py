@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-ITERATIVE = ("pca_variance", "pca_top_loadings", "pca_scores", "greedy_matches", "mixture_fit", "path_models", "recovery_curve")
+ITERATIVE = ("pca_variance", "pca_top_loadings", "pca_scores", "mixture_fit", "path_models", "recovery_curve")
 
 
 @pytest.mark.parametrize("name", ITERATIVE)
