@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import clip, ratio
-from sessionlake.functions.quantiles import exact_quantiles, order_statistics
+from sessionlake.functions.quantiles import ACCURACY, exact_quantiles, order_statistics
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -92,28 +92,57 @@ def extreme_rows(df: DataFrame, metrics: dict[str, bool], keep: Sequence[str], n
     return out
 
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def spearman_pairs(df: DataFrame, columns: Sequence[str], id_col: str = "session_id", buckets: int = 256) -> DataFrame:
     """Rank correlation of each pair over the rows that have both, ties at their mean rank, by size of the correlation.
 
-    The rows of all pairs are one long table; a value's mean rank comes from counts of distinct values, so each pair's
-    window holds its distinct values only.
+    id_col tells rows apart; a table where it doesn't is refused, by the pairs' numbers of rows. A column is ranked once for all partners that are there wherever it is, and once more for each
+    other partner. Its distinct values are dealt to ranges by approximate quantiles, so a rank is what earlier ranges hold and
+    a running count within one; any ranges give the same ranks. Rows meet pairs only where sums are taken, before the shuffle.
+    The columns are persisted between the passes; what comes to the driver is a row for each pair and some numbers a column.
     """
-    pairs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)]
-    long = df.select(F.inline(F.array(*pairs))).filter("x is not null and y is not null")
-    cells = long.groupBy("feature_a", "feature_b", "x", "y").agg(F.count("*").alias("n"))
-
-    def ranks(value: str) -> DataFrame:
-        counts = cells.groupBy("feature_a", "feature_b", value).agg(F.sum("n").alias("c"))
-        w = Window.partitionBy("feature_a", "feature_b").orderBy(value)
-        return counts.select("feature_a", "feature_b", value, (F.sum("c").over(w) - (F.col("c") - 1) / 2).alias(f"rank_{value}"))
-
-    both = cells.join(ranks("x"), ["feature_a", "feature_b", "x"]).join(ranks("y"), ["feature_a", "feature_b", "y"])
-    n, x, y = F.col("n"), F.col("rank_x"), F.col("rank_y")
-    sums = both.groupBy("feature_a", "feature_b").agg(F.sum("n").alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * x).alias("sxx"), F.sum(n * y * y).alias("syy"), F.sum(n * x * y).alias("sxy"))
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
-    rho = ratio(cov, spread)
-    return sums.select("feature_a", "feature_b", F.col("n").cast("long").alias("rows"), rho.alias("spearman"), F.abs(rho).alias("abs_spearman"))
+    kept = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    try:
+        sums, common = _spearman(kept, columns, id_col, buckets)
+        rows = sums.collect()
+    finally:
+        kept.unpersist()
+    if any(r.rows != common[frozenset((r.feature_a, r.feature_b))] for r in rows):
+        raise ValueError(f"{id_col} is null or repeated in some rows")
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, rows long, spearman double, abs_spearman double")
+
+
+def _spearman(df: DataFrame, columns: Sequence[str], id_col: str, buckets: int) -> tuple[DataFrame, dict[frozenset, int]]:
+    """The pairs' rows, and how many rows of df have both of a pair."""
+    x = {c: F.col(c) for c in columns}
+    pairs = list(combinations(columns, 2))
+    both = {frozenset(p): F.count_if(x[p[0]].isNotNull() & x[p[1]].isNotNull()) for p in pairs}
+    shares = [k / buckets for k in range(1, buckets)]
+    stats = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)], *[n.alias(f"both{i}") for i, n in enumerate(both.values())], *[F.percentile_approx(x[c], shares, ACCURACY).alias(f"edges{i}") for i, c in enumerate(columns)]).first()
+    count = {c: stats[f"n{i}"] for i, c in enumerate(columns)}
+    common = {p: stats[f"both{i}"] for i, p in enumerate(both)}
+    edges = {c: sorted(set(stats[f"edges{i}"] or [])) for i, c in enumerate(columns)}
+
+    def ranking(c: str, other: str) -> tuple[str, str | None]:
+        return c, None if common[frozenset((c, other))] == count[c] else other
+
+    keys = {k: i for i, k in enumerate(sorted({ranking(*p) for a, b in pairs for p in ((a, b), (b, a))}, key=str))}
+    values = [F.when(x[c].isNotNull() & (F.lit(True) if other is None else x[other].isNotNull()), F.struct(F.lit(i).alias("key"), x[c].alias("value"))) for (c, other), i in keys.items()]
+    long = df.select(id_col, F.inline(F.filter(F.array(*values), lambda v: v.isNotNull())))
+    ranges = df.sparkSession.createDataFrame([(i, edges[c]) for (c, _), i in keys.items()], "key int, edges array<double>")
+    cells = long.groupBy("key", "value").agg(F.count("*").alias("n")).join(F.broadcast(ranges), "key")  # a row for each ranking
+    cells = cells.select("key", "value", "n", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("range"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.groupBy("key", "range").agg(F.sum("n").alias("n")).select("key", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    running = F.sum("n").over(Window.partitionBy("key", "range").orderBy("value"))
+    ranks = cells.select("key", "range", "value", (running - (F.col("n") - 1) / 2).alias("rank")).join(F.broadcast(before), ["key", "range"])  # at most `buckets` rows for each ranking
+    ranked = long.join(ranks.select("key", "value", (F.col("before") + F.col("rank")).alias("rank")), ["key", "value"])
+    wide = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("key") == i, F.col("rank"))).alias(f"rank{i}") for i in keys.values()])
+    # A pair's mean rank is known, so ranks are centred before they are multiplied.
+    parts = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), *[(F.col(f"rank{keys[ranking(*p)]}") - (common[frozenset(p)] + 1) / 2).alias(name) for p, name in (((a, b), "x"), ((b, a), "y"))]) for a, b in pairs]
+    dev_x, dev_y = F.col("x"), F.col("y")
+    sums = wide.select(F.inline(F.array(*parts))).filter("x is not null and y is not null").groupBy("feature_a", "feature_b").agg(F.count("*").alias("rows"), F.sum(dev_x * dev_x).alias("sxx"), F.sum(dev_y * dev_y).alias("syy"), F.sum(dev_x * dev_y).alias("sxy"))
+    rho = ratio(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy")))
+    return sums.select("feature_a", "feature_b", "rows", rho.alias("spearman"), F.abs(rho).alias("abs_spearman")), common
 
 
 def scatter_sample(df: DataFrame, id_col: str, x: str, y: str, n: int = 20_000, seed: int = 42, clip_at: tuple[float, float] = (0.005, 0.995)) -> DataFrame:
