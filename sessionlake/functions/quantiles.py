@@ -1,20 +1,25 @@
-"""Exact quantiles of whole columns in bounded memory.
+"""Exact quantiles in bounded memory, of whole columns and within groups.
 
-The built-in exact percentile gathers a column's distinct values in one task. Here, approximate percentiles bracket each
-order statistic, one pass counts what lies below the bracket, and only the values inside it come together; a bracket that
+The built-in exact percentile gathers a group's distinct values in one task. For whole columns, approximate percentiles bracket
+each order statistic, one pass counts what lies below the bracket, and only the values inside it come together; a bracket that
 still holds too many is bracketed again, which divides it by thousands each time. All columns share the passes.
+
+Within groups (`quantiles_by`), a lazy plan counts distinct values, cuts each group's values into ranges at approximate
+percentiles, and sorts only the ranges that hold a wanted place.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MAX_VALUES = 100_000
+RANGES = 256
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], max_values: int = MAX_VALUES) -> dict[str, dict[int, float]]:
@@ -88,3 +93,52 @@ def exact_quantiles(df: DataFrame, probabilities: dict[str, Sequence[float]], ma
         return None if lo is None or hi is None else lo + (hi - lo) * (place - math.floor(place))
 
     return {c: [at(c, place) for place in ats] for c, ats in places.items()}
+
+
+def _beside(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by key in which nulls are equal; the right side's other columns are added."""
+    right = right.withColumnsRenamed({c: f"right {c}" for c in key})
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`right {c}`")) for c in key])
+    return left.join(right, same, how).drop(*[f"right {c}" for c in key])
+
+
+def quantiles_by(df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[str, float]], ranges: int = RANGES) -> DataFrame:
+    """groups, and for each name the quantile of its (column, probability) within the group, by linear interpolation over non-null values.
+
+    A lazy plan; null groups are groups. A column without values in a group is null there; a group without any values has no row,
+    and without groups there is one row always. A task sorts the distinct values of a range, some 1/256 of those of a group's column.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    key = [*groups, "q column"]
+    values = [F.struct(F.lit(i).alias("q column"), F.col(c).cast("double").alias("q value")) for i, c in enumerate(columns)]
+    rows = df.select(*groups, F.inline(F.array(*values))).filter(F.col("q value").isNotNull())
+    counted = rows.groupBy(*key, "q value").agg(F.count("*").alias("q rows"))
+    edges = counted.groupBy(*key).agg(F.percentile_approx("q value", [k / ranges for k in range(1, ranges)], 4 * ranges).alias("q edges"))
+    placed = _beside(counted, edges, key).withColumn("q range", F.size(F.filter("q edges", lambda e: e < F.col("q value")))).drop("q edges")
+
+    whole = Window.partitionBy(*key)  # at most a row for each range
+    sums = placed.groupBy(*key, "q range").agg(F.sum("q rows").alias("q inside"))
+    sums = sums.withColumns({"q total": F.sum("q inside").over(whole), "q before": F.sum("q inside").over(whole.orderBy("q range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q inside")})
+    shares = F.array(*[F.array(*[F.lit(float(p)) for p in sorted({p for of, p in wanted.values() if of == c})]) for c in columns])[F.col("q column")]
+    around = F.flatten(F.transform(shares, lambda p: F.array(F.floor(p * (F.col("q total") - 1)), F.ceil(p * (F.col("q total") - 1)))))
+    here = F.filter(F.array_distinct(around), lambda k: (k >= F.col("q before")) & (k < F.col("q before") + F.col("q inside")))
+    needed = sums.withColumn("q places", here).filter(F.size("q places") > 0).drop("q inside")
+
+    in_order = Window.partitionBy(*key, "q range").orderBy("q value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = _beside(placed, needed, [*key, "q range"]).withColumn("q upto", F.col("q before") + F.sum("q rows").over(in_order))
+    hit = F.filter("q places", lambda k: (k >= F.col("q upto") - F.col("q rows")) & (k < F.col("q upto")))
+    found = upto.select(*key, "q value", "q total", F.explode(hit).alias("q place"))
+
+    out = []
+    for name, (c, p) in wanted.items():
+        mine, at = F.col("q column") == columns.index(c), F.lit(float(p)) * (F.col("q total") - 1)
+        value = lambda k: F.max(F.when(mine & (F.col("q place") == k), F.col("q value")))  # noqa: B023, E731
+        lo, hi = value(F.floor(at)), value(F.ceil(at))
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.max(F.when(mine, at - F.floor(at)))).alias(name))
+    return found.groupBy(*groups).agg(*out)
+
+
+def with_quantiles(summary: DataFrame, df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """A summary with a row for each group of df, and its quantiles beside it."""
+    q = quantiles_by(df, groups, wanted)
+    return _beside(summary, q, groups, "left") if groups else summary.crossJoin(q)  # one row each

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import Config
 from sessionlake.functions.columns import clip, days_between, ratio, right_closed
+from sessionlake.functions.quantiles import with_quantiles
 from sessionlake.operators.sequences import next_gap, with_streak
 
 
@@ -39,8 +40,8 @@ STREAK_LABELS = ("other", "x1", "x2", "x3", "x4plus")
 def gap_summary(labels: DataFrame) -> DataFrame:
     g = F.col("next_gap_days")
     names = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    out = labels.agg(F.count(g).alias("with_next"), F.count_if(g.isNull()).alias("without_next"), F.min(g).alias("min"), F.percentile(g, F.array(*map(F.lit, names.values()))).alias("q"), F.max(g).alias("max"))
-    return out.select("with_next", "without_next", "min", *[F.col("q")[k].alias(n) for k, n in enumerate(names)], "max")
+    out = labels.agg(F.count(g).alias("with_next"), F.count_if(g.isNull()).alias("without_next"), F.min(g).alias("min"), F.max(g).alias("max"))
+    return with_quantiles(out, labels, [], {n: ("next_gap_days", p) for n, p in names.items()}).select("with_next", "without_next", "min", *names, "max")
 
 
 def gap_histogram(labels: DataFrame) -> DataFrame:

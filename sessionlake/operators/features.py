@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import clip, ratio
-from sessionlake.functions.quantiles import exact_quantiles
+from sessionlake.functions.quantiles import exact_quantiles, with_quantiles
 from sessionlake.operators.sessions import session_events, session_stream, with_session_columns
 from sessionlake.sources.telemetry import CAMPAIGN_TABLES, EXIT, LEVEL_TABLES, MODE_TABLES
 
@@ -69,9 +69,9 @@ def total(columns: tuple[str, ...]) -> Column:
 
 def feature_sanity(features: DataFrame) -> DataFrame:
     """One row of counts and quantiles that a look at the table begins with."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    each = features.groupBy("pid").agg(F.count("*").alias("n")).agg(F.count("*").alias("players"), F.max("n").alias("max_sessions_per_player"), q("n", 0.95).alias("p95_sessions_per_player"))
-    return features.agg(
+    per_player = F.percentile("n", F.lit(0.95))  # of numbers of sessions, few of which differ
+    each = features.groupBy("pid").agg(F.count("*").alias("n")).agg(F.count("*").alias("players"), F.max("n").alias("max_sessions_per_player"), per_player.alias("p95_sessions_per_player"))
+    out = features.agg(
         F.count("*").alias("sessions"),
         F.count_if("is_zero_duration").alias("zero_duration_sessions"),
         F.count_if("is_long").alias("long_sessions"),
@@ -80,11 +80,10 @@ def feature_sanity(features: DataFrame) -> DataFrame:
         F.count_if(F.col("items_purchased") > 0).alias("sessions_with_purchase"),
         F.count_if(F.col("job_completion_ratio") > 1).alias("completion_ratio_above_1"),
         F.count_if(F.col("days_since_previous_session") < 0).alias("negative_gaps"),
-        q("duration_minutes", 0.5).alias("duration_p50"),
-        q("duration_minutes", 0.95).alias("duration_p95"),
         F.max("duration_minutes").alias("duration_max"),
-        q("days_since_previous_session", 0.5).alias("gap_days_p50"),
-    ).crossJoin(each)  # one row each
+    )
+    wanted = {"duration_p50": ("duration_minutes", 0.5), "duration_p95": ("duration_minutes", 0.95), "gap_days_p50": ("days_since_previous_session", 0.5)}
+    return with_quantiles(out, features, [], wanted).crossJoin(each)  # one row each
 
 
 #: Column to the feature it makes: winsorised at the 99th percentile, nulls 0, log1p.

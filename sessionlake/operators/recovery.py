@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.config import Config
-from sessionlake.functions.columns import clip, days_between, month, quantile_bin, quantile_edges, ratio
+from sessionlake.functions.columns import clip, days_between, month, quantile_bin, ratio
+from sessionlake.functions.quantiles import quantiles_by, with_quantiles
 from sessionlake.operators.censoring import by_horizon, capped_gap, recovered_within
 from sessionlake.operators.sequences import by_player, in_order, prior_exposure
 
@@ -41,21 +42,15 @@ def focal_origins(labels: DataFrame, conf: Config) -> DataFrame:
     return focal.withColumns({"path_exact": exact_path(F.col("next_state_id"), conf), "path_broad": broad_path(F.col("next_state_id"), conf), "position_in_focal": F.col("session_index") / F.max("session_index").over(by_player())})
 
 
-def _median(c: str) -> Column:
-    return F.percentile(c, F.lit(0.5))
-
-
 def path_distribution(origins: DataFrame) -> DataFrame:
     n = F.count("*")
     out = origins.groupBy("path_broad", "path_exact").agg(
         n.alias("sessions"),
         F.count_distinct("pid").alias("players"),
-        _median("duration_minutes").alias("median_duration_minutes"),
-        _median("next_gap_days").alias("median_next_gap_days"),
-        _median("position_in_focal").alias("median_position"),
         (F.count_if("is_window") / n).alias("window_share"),
         (F.count_if("is_purchase_anomaly") / n).alias("purchase_anomaly_share"),
     )
+    out = with_quantiles(out, origins, ["path_broad", "path_exact"], {"median_duration_minutes": ("duration_minutes", 0.5), "median_next_gap_days": ("next_gap_days", 0.5), "median_position": ("position_in_focal", 0.5)})
     return out.withColumn("share", F.col("sessions") / F.sum("sessions").over(Window.partitionBy()))  # a row for each path
 
 
@@ -64,8 +59,9 @@ SUMMARY = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 def number_summary(df: DataFrame, group: str, column: str, prefix: str) -> DataFrame:
     """Count, mean, quantiles and maximum of a column within each group."""
-    out = df.groupBy(group).agg(F.count("*").alias("rows"), F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.array(*map(F.lit, SUMMARY.values()))).alias("q"), F.max(column).alias("max"))
-    return out.select(group, "rows", F.col("n").alias(f"{prefix}_n"), F.col("mean").alias(f"{prefix}_mean"), *[F.col("q")[k].alias(f"{prefix}_{s}") for k, s in enumerate(SUMMARY)], F.col("max").alias(f"{prefix}_max"))
+    out = df.groupBy(group).agg(F.count("*").alias("rows"), F.count(column).alias(f"{prefix}_n"), F.avg(column).alias(f"{prefix}_mean"), F.max(column).alias(f"{prefix}_max"))
+    wanted = {f"{prefix}_{s}": (column, p) for s, p in SUMMARY.items()}
+    return with_quantiles(out, df, [group], wanted).select(group, "rows", f"{prefix}_n", f"{prefix}_mean", *wanted, f"{prefix}_max")
 
 
 def outcome_summary(df: DataFrame, group: str, conf: Config) -> DataFrame:
@@ -75,7 +71,8 @@ def outcome_summary(df: DataFrame, group: str, conf: Config) -> DataFrame:
     for d in conf.horizons:
         ev, dis = F.count_if(f"evaluable_{d}d"), F.count_if(f"disengaged_{d}d")
         wide += [ev.alias(f"evaluable_{d}d"), F.count_if(f"censored_{d}d").alias(f"censored_{d}d"), dis.alias(f"disengaged_{d}d"), F.try_divide(dis.cast("double"), ev).alias(f"risk_{d}d")]
-    out = df.groupBy(group).agg(n.alias("sessions"), F.count_distinct("pid").alias("players"), _median("duration_minutes").alias("median_duration_minutes"), (F.count_if("is_window") / n).alias("window_share"), (F.count_if("is_purchase_anomaly") / n).alias("purchase_anomaly_share"), _median("next_gap_days").alias("median_next_gap_days"), *wide)
+    out = df.groupBy(group).agg(n.alias("sessions"), F.count_distinct("pid").alias("players"), (F.count_if("is_window") / n).alias("window_share"), (F.count_if("is_purchase_anomaly") / n).alias("purchase_anomaly_share"), *wide)
+    out = with_quantiles(out, df, [group], {"median_duration_minutes": ("duration_minutes", 0.5), "median_next_gap_days": ("next_gap_days", 0.5)})
     return out.withColumn("share", F.col("sessions") / F.sum("sessions").over(Window.partitionBy()))  # a row for each group
 
 
@@ -88,7 +85,8 @@ def destinations(labels: DataFrame, conf: Config) -> DataFrame:
 def recovery_followup(origins: DataFrame, conf: Config) -> DataFrame:
     """What comes after a recovery, as shares within its path and of all recoveries."""
     rec = origins.filter(F.col("next_state_id").isin(*conf.recovery_states)).withColumn("next_step", followup(F.col("state_plus_2"), conf))
-    out = rec.groupBy("path_exact", "next_step").agg(F.count("*").alias("origins"), F.count_distinct("pid").alias("players"), _median("next_gap_days").alias("median_gap_days"))
+    out = rec.groupBy("path_exact", "next_step").agg(F.count("*").alias("origins"), F.count_distinct("pid").alias("players"))
+    out = with_quantiles(out, rec, ["path_exact", "next_step"], {"median_gap_days": ("next_gap_days", 0.5)})
     return out.withColumns({"share_within_path": F.col("origins") / F.sum("origins").over(Window.partitionBy("path_exact")), "share_of_all": F.col("origins") / F.sum("origins").over(Window.partitionBy())})  # a row for each step
 
 
@@ -173,10 +171,11 @@ def odds(p: Column, eps: float = 1e-9) -> Column:
 def threshold_scan(rows: DataFrame, conf: Config, cuts: Sequence[float] = tuple(k / 100 for k in range(10, 91, 5))) -> DataFrame:
     """Recovery below and from each distinct quantile cut of each variable on, where both sides have enough rows.
 
-    Rows are summed by distinct value first; then values meet cuts, of which there are few for each variable.
+    Each row meets its variable's cuts, of which there are few. A variable of one value has no cuts.
     """
-    q = rows.groupBy("variable").agg(F.array_distinct(F.percentile("value", F.array(*map(F.lit, cuts)))).alias("cuts"), F.count_distinct("value").alias("distinct"))
-    points = q.filter("distinct > 1").select("variable", F.explode("cuts").alias("threshold"))
+    wanted = {f"cut{k}": ("value", p) for k, p in enumerate(cuts)}
+    points = quantiles_by(rows, ["variable"], {**wanted, "least": ("value", 0.0), "most": ("value", 1.0)}).filter("least < most")
+    points = points.select("variable", F.explode(F.array_distinct(F.array(*[f"cut{k}" for k in range(len(cuts))]))).alias("threshold"))
     joined = rows.join(F.broadcast(points), "variable")  # at most 17 rows a variable
     low = F.col("value") < F.col("threshold")
     out = joined.groupBy("variable", "threshold").agg(
@@ -216,13 +215,16 @@ def threshold_stability(focal: DataFrame, best: DataFrame, conf: Config) -> Data
 
 def quantile_bins(rows: DataFrame, bins: int = 8) -> DataFrame:
     """Recovery in quantile bins of each variable: right-closed, the first with the least value, repeated edges once."""
-    edges = rows.groupBy("variable").agg(quantile_edges(F.col("value"), bins).alias("edges"), F.count_distinct("value").alias("distinct")).filter("distinct > 1")
+    edges = quantiles_by(rows, ["variable"], {f"edge{k}": ("value", k / bins) for k in range(bins + 1)}).filter(f"edge0 < edge{bins}")
+    edges = edges.select("variable", F.array_distinct(F.array(*[f"edge{k}" for k in range(bins + 1)])).alias("edges"))
     binned = rows.join(F.broadcast(edges), "variable").withColumn("bin", quantile_bin(F.col("value"), F.col("edges")))  # a row for each variable
-    return binned.groupBy("variable", "bin").agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), _median("value").alias("value_median"), F.avg(F.col("recovered").cast("double")).alias("recovery_rate"))
+    out = binned.groupBy("variable", "bin").agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), F.avg(F.col("recovered").cast("double")).alias("recovery_rate"))
+    return with_quantiles(out, binned, ["variable", "bin"], {"value_median": ("value", 0.5)})
 
 
 def unadjusted_path_risk(labels: DataFrame, conf: Config) -> DataFrame:
     """Recovered against persisting destinations, at each horizon."""
     dest = destinations(labels, conf).filter(F.col("state_id").isin(*conf.recovery_states, conf.focal_state))
     long = by_horizon(dest, conf, ["path_broad", "pid", "duration_minutes", "next_gap_days"]).filter("evaluable")
-    return long.groupBy("horizon_days", "path_broad").agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), F.count_if("disengaged").alias("events"), ratio(F.count_if("disengaged"), F.count("*")).alias("risk"), _median("duration_minutes").alias("median_duration_minutes"), _median("next_gap_days").alias("median_next_gap_days"))
+    out = long.groupBy("horizon_days", "path_broad").agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), F.count_if("disengaged").alias("events"), ratio(F.count_if("disengaged"), F.count("*")).alias("risk"))
+    return with_quantiles(out, long, ["horizon_days", "path_broad"], {"median_duration_minutes": ("duration_minutes", 0.5), "median_next_gap_days": ("next_gap_days", 0.5)})

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import spline_basis
+from sessionlake.functions.quantiles import exact_quantiles
 from sessionlake.operators.rigidity import normal_p
 from sessionlake.session import ship
 
@@ -187,7 +188,7 @@ def curve(focal: DataFrame, design: Design, fit: Fit, at_month: str | None = Non
     By default the curve stands at the earliest month, the level that is left out; at_month sets another.
     """
     controls = [c for c in design.terms if c not in SPLINE]
-    med = focal.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in controls if c != "is_window"]).first()
+    med = {c: q[0] for c, q in exact_quantiles(focal, {c: [0.5] for c in controls if c != "is_window"}).items()}
     grid = np.linspace(0, 1, points)
     x = np.zeros((points, len(design.names)))
     x[:, 0] = 1.0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import Config
 from sessionlake.functions.columns import days_between, month, right_closed
+from sessionlake.functions.quantiles import with_quantiles
 from sessionlake.operators.recovery import log1p0
 from sessionlake.operators.sequences import METRICS, prior_exposure, rolling_metrics, rolling_slopes
 from sessionlake.session import ship
@@ -43,10 +44,9 @@ def metric_columns(conf: Config, metrics: Sequence[str] = METRICS) -> list[str]:
 
 def trend(df: DataFrame, groups: Sequence[str], conf: Config) -> DataFrame:
     """Mean and median of each rolling measure within groups."""
-    parts = []
-    for c in metric_columns(conf):
-        parts += [F.avg(c).alias(f"{c}_mean"), F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"{c}_median")]
-    return df.groupBy(*groups).agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), *parts)
+    names = metric_columns(conf)
+    out = df.groupBy(*groups).agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), *[F.avg(c).alias(f"{c}_mean") for c in names])
+    return with_quantiles(out, df, groups, {f"{c}_median": (c, 0.5) for c in names})
 
 
 def metrics_long(df: DataFrame, conf: Config, keep: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import days_between, micros, ratio, session_key
+from sessionlake.functions.quantiles import with_quantiles
 from sessionlake.sources.telemetry import EVENT_TABLES, EXIT, LOGIN
 
 
@@ -112,12 +113,9 @@ def pairing_summary(tele: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("logins", "exits", "paired_sessions", "unmatched_logins", "unmatched_exits", "overlapping_logins")],
         F.count_if(clean).alias("clean_players"),
     )
-    s = pair_sessions(tele).agg(
-        F.percentile("duration_minutes", F.lit(0.5)).alias("duration_minutes_p50"),
-        F.percentile("duration_minutes", F.lit(0.95)).alias("duration_minutes_p95"),
-        F.count_if("is_long").alias("long_sessions"),
-        F.count_if("is_zero_duration").alias("zero_sessions"),
-    )
+    paired = pair_sessions(tele)
+    s = paired.agg(F.count_if("is_long").alias("long_sessions"), F.count_if("is_zero_duration").alias("zero_sessions"))
+    s = with_quantiles(s, paired, [], {"duration_minutes_p50": ("duration_minutes", 0.5), "duration_minutes_p95": ("duration_minutes", 0.95)})
     return players.crossJoin(s).withColumn("clean_player_pct", ratio(F.col("clean_players") * 100, F.col("players")))  # one row each
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import Config
 from sessionlake.functions.columns import days_between, ratio
+from sessionlake.functions.quantiles import with_quantiles
 from sessionlake.operators.sequences import in_order
 
 
@@ -121,7 +122,7 @@ def state_summary(assignments: DataFrame) -> DataFrame:
     """Sessions, players, starts, ends, and transitions in and out of each state."""
     prev, nxt, s = F.col("prev_state_id"), F.col("next_state_id"), F.col("state_id")
     n_out = F.count(nxt)
-    return assignments.groupBy("state_id").agg(
+    out = assignments.groupBy("state_id").agg(
         F.count("*").alias("sessions"),
         F.count_distinct("pid").alias("players"),
         F.count_if(prev.isNull()).alias("starts"),
@@ -130,5 +131,5 @@ def state_summary(assignments: DataFrame) -> DataFrame:
         n_out.alias("outgoing"),
         F.count_if(nxt == s).alias("self_transitions"),
         F.try_divide(F.count_if(nxt == s).cast("double"), n_out).alias("self_probability"),
-        F.percentile("duration_minutes", F.lit(0.5)).alias("median_duration_minutes"),
     )
+    return with_quantiles(out, assignments, ["state_id"], {"median_duration_minutes": ("duration_minutes", 0.5)})

@@ -97,10 +97,12 @@ def write_small_csv(df: DataFrame, path: str, limit: int = 100_000) -> None:
 
 
 def markdown_table(df: DataFrame, limit: int = 50) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; a last line says where rows beyond the limit were left out."""
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in df.limit(limit).collect()])
+    rows = df.limit(limit + 1).collect()
+    lines += ["| " + " | ".join(map(show, r)) + " |" for r in rows[:limit]]
+    return "\n".join(lines + [f"\nOnly the first {limit} rows are shown."] * (len(rows) > limit))
 
 
 def report(title: str, sections: dict[str, DataFrame], facts: dict[str, object] | None = None) -> str:

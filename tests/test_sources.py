@@ -41,3 +41,9 @@ def test_sinks(spark, tmp_path):
     files.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 1
     assert files.union_by_name([df, df.select("k")]).count() == 2
+
+
+def test_markdown_says_what_it_leaves_out(spark):
+    df = spark.range(60)
+    assert "first 50 rows" in files.markdown_table(df)
+    assert "first" not in files.markdown_table(df.limit(50))
