@@ -40,12 +40,3 @@ def test_query(spark, duck, name):
     at = [rel.columns.index(c) for c in columns]
     want = Counter(repr(tuple(norm(r[i]) for i in at)) for r in rel.fetchall())
     assert got == want
-
-
-ITERATIVE = ("pca_variance", "pca_top_loadings", "pca_scores", "mixture_fit", "path_models", "recovery_curve")
-
-
-@pytest.mark.parametrize("name", ITERATIVE)
-def test_iterative_query_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
-    spark.catalog.clearCache()
