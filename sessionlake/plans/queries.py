@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sessionlake.functions.columns import rounded
 from sessionlake.operators import audit, censoring, clusters, diagnostics, features, models, recovery, regression, rigidity, sequences, sessions, starts, transitions
 from sessionlake.plans.frames import Frames
-from sessionlake.sources.files import union_by_name
+from sessionlake.session import shared_folder
+from sessionlake.sources.files import read_event_csv, read_text_csv, union_by_name, write_csv, write_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIELDS = ["game_mode", "level_progress", "campaign_progress"]
@@ -39,6 +40,30 @@ def telemetry_union(f: Frames) -> DataFrame:
     return union_by_name([part("job_started", "game_mode"), part("task_completed", "level_progress"), part("item_purchased", "campaign_progress")])
 
 
+@query
+def text_csv_rows(f: Frames) -> DataFrame:
+    """A table written as CSV with a byte order mark and read back, all columns as text."""
+    folder = shared_folder(f.spark)
+    write_csv(f.table("nation"), folder, bom=True)
+    return read_text_csv(f.spark, folder)
+
+
+@query
+def event_csv_rows(f: Frames) -> DataFrame:
+    """All telemetry written as CSV and read back by the typed event scan."""
+    folder = shared_folder(f.spark)
+    write_csv(f.tele.select("pid", F.col("event_time").cast("string").alias("Time_utc"), "event_id", "game_mode", "level_progress", "campaign_progress"), folder)
+    return read_event_csv(f.spark, folder, "events", ["event_id", "level_progress", "campaign_progress"], ["game_mode"])
+
+
+@query
+def json_rows(f: Frames) -> DataFrame:
+    """All telemetry written as JSON and read back by its schema."""
+    rows, folder = rounded(f.tele), shared_folder(f.spark)
+    write_json(rows, folder)
+    return f.spark.read.schema(rows.schema).json(folder)
+
+
 @query
 def session_rows(f: Frames) -> DataFrame:
     return f.sessions

@@ -13,6 +13,8 @@ from sessionlake.plans.frames import Frames
 from sessionlake.plans.queries import QUERIES
 from tests.conftest import SMALL
 
+LARGER = "/root/testdata/sf0.01"  # where the smallest size has too few sessions for a model
+
 
 @pytest.fixture
 def frames(spark):
@@ -20,6 +22,12 @@ def frames(spark):
     spark.catalog.clearCache()
 
 
+@pytest.fixture
+def larger(spark):
+    yield Frames(spark, LARGER)
+    spark.catalog.clearCache()
+
+
 def close(a, b, digits=1e-5):
     return a == pytest.approx(b, rel=digits, abs=digits)
 
@@ -204,19 +212,20 @@ def test_families(spark, frames, name):
         hold(rows, analysis, names, *newton(x, pdf[y].to_numpy(), pdf["pid"].to_numpy()))
 
 
-def test_threshold_models(spark, frames):
+def test_threshold_models(spark, larger):
+    frames = larger
     focal = frames.focal.cache()
     scan = recovery.threshold_scan(recovery.scan_rows(focal, frames.conf, frames.conf.long_horizon), frames.conf).toPandas()
     best = scan.sort_values(["variable", "drop", "threshold"], ascending=[True, False, True]).groupby("variable").first()
-    rows = QUERIES["threshold_models"](spark, SMALL).collect()
+    rows = QUERIES["threshold_models"](spark, LARGER).collect()
     used = [v for v in ("gap_before_days", "density_prev5", "prior_focal_share", "prior_session_count") if v in best.index]
+    assert used
     for analysis, d, leave_out in models.analyses(frames.conf):
         pdf = pandas_of(models.sample(focal, d, leave_out), [*used, *regression.CURVE_CONTROLS, f"recovered_{d}d"], ["month", "pid"])
         for v in used:
             pdf[f"high_{v}"] = np.where(pdf[v].isna(), np.nan, pdf[v] >= best.loc[v, "threshold"])
         terms = [f"high_{v}" for v in used]
-        if pdf[terms].isna().any().any():
-            continue  # the fit leaves no rows out, so rows without a value are another test's matter
+        assert not pdf[terms].isna().any().any()
         names, x, _ = design(pdf, (*terms, *regression.CURVE_CONTROLS), regression.CURVE_CONTINUOUS)
         hold(rows, analysis, names, *newton(x, pdf[f"recovered_{d}d"].to_numpy(), pdf["pid"].to_numpy()))
 
@@ -253,13 +262,15 @@ def test_recovery_curve_and_its_models(spark, frames):
         assert [r[name] for r in got] == pytest.approx(list(want), abs=1e-4), name
 
 
-def test_narrowing_models(spark, frames):
+def test_narrowing_models(spark, larger):
+    frames = larger
     frame = frames.anchor_frame.cache()
     matched = rigidity.matched_rows(frame, rigidity.greedy_matches(frame)).withColumn("match", F.concat_ws("|", "match_stratum", "number"))
     slopes = rigidity.slope_columns(frames.conf)
     pdf = pandas_of(matched, [*models.NARROWING, *slopes], ["month", "state_id", "match"])
     names, x, _ = design(pdf, models.NARROWING, models.NARROWING[1:], ("month", "state_id"))
-    rows = QUERIES["narrowing_models"](spark, SMALL).collect()
+    rows = QUERIES["narrowing_models"](spark, LARGER).collect()
+    assert len(pdf) > len(names)
     assert {r.analysis for r in rows} == set(slopes)
     ridge = np.eye(len(names)) * 1e-8
     ridge[0, 0] = 0
