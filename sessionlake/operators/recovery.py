@@ -168,6 +168,11 @@ def odds(p: Column, eps: float = 1e-9) -> Column:
     return (p + eps) / (1 - p + eps)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A table of a row for each variable, found now, so that plans over it don't hold its own plan again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def threshold_scan(rows: DataFrame, conf: Config, cuts: Sequence[float] = tuple(k / 100 for k in range(10, 91, 5))) -> DataFrame:
     """Recovery below and from each distinct quantile cut of each variable on, where both sides have enough rows.
 
@@ -175,7 +180,7 @@ def threshold_scan(rows: DataFrame, conf: Config, cuts: Sequence[float] = tuple(
     """
     wanted = {f"cut{k}": ("value", p) for k, p in enumerate(cuts)}
     points = quantiles_by(rows, ["variable"], {**wanted, "least": ("value", 0.0), "most": ("value", 1.0)}).filter("least < most")
-    points = points.select("variable", F.explode(F.array_distinct(F.array(*[f"cut{k}" for k in range(len(cuts))]))).alias("threshold"))
+    points = _settled(points).select("variable", F.explode(F.array_distinct(F.array(*[f"cut{k}" for k in range(len(cuts))]))).alias("threshold"))
     joined = rows.join(F.broadcast(points), "variable")  # at most 17 rows a variable
     low = F.col("value") < F.col("threshold")
     out = joined.groupBy("variable", "threshold").agg(
@@ -216,7 +221,7 @@ def threshold_stability(focal: DataFrame, best: DataFrame, conf: Config) -> Data
 def quantile_bins(rows: DataFrame, bins: int = 8) -> DataFrame:
     """Recovery in quantile bins of each variable: right-closed, the first with the least value, repeated edges once."""
     edges = quantiles_by(rows, ["variable"], {f"edge{k}": ("value", k / bins) for k in range(bins + 1)}).filter(f"edge0 < edge{bins}")
-    edges = edges.select("variable", F.array_distinct(F.array(*[f"edge{k}" for k in range(bins + 1)])).alias("edges"))
+    edges = _settled(edges).select("variable", F.array_distinct(F.array(*[f"edge{k}" for k in range(bins + 1)])).alias("edges"))
     binned = rows.join(F.broadcast(edges), "variable").withColumn("bin", quantile_bin(F.col("value"), F.col("edges")))  # a row for each variable
     out = binned.groupBy("variable", "bin").agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), F.avg(F.col("recovered").cast("double")).alias("recovery_rate"))
     return with_quantiles(out, binned, ["variable", "bin"], {"value_median": ("value", 0.5)})
