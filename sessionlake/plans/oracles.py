@@ -147,10 +147,10 @@ bef AS (
   FROM rol r JOIN anc USING (pid) WHERE session_index <= anchor_index),
 bfl AS ({" UNION ALL ".join(f"SELECT session_id, pid, session_lag, day_bin, anchor_state_id, '{m}' AS metric, {w} AS window_, {m}_w{w}::DOUBLE AS value FROM bef" for w in ROLLING for m in METRICS)}),
 slp AS MATERIALIZED (
-  SELECT session_id, {", ".join(f"CASE WHEN count({m}_w{w}) OVER s >= 5 THEN {'-' if k < 2 else ''}regr_slope({m}_w{w}, session_index) OVER s END AS narrowing_{m}_w{w}" for w in ROLLING for k, m in enumerate(METRICS[:3]))}
+  SELECT session_id, count(*) OVER s AS slope_points, {", ".join(f"CASE WHEN count({m}_w{w}) OVER s >= 5 THEN {'-' if k < 2 else ''}regr_slope({m}_w{w}, session_index) OVER s END AS narrowing_{m}_w{w}" for w in ROLLING for k, m in enumerate(METRICS[:3]))}
   FROM rol WINDOW s AS (PARTITION BY pid ORDER BY session_index RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) QUALIFY session_index >= 5),
 fra AS MATERIALIZED (
-  SELECT r.*, s.* EXCLUDE (session_id), month || '|' || CASE WHEN session_index <= 5 THEN '1-5' WHEN session_index <= 10 THEN '6-10' WHEN session_index <= 20 THEN '11-20' WHEN session_index <= 50 THEN '21-50' WHEN session_index <= 100 THEN '51-100' ELSE '100+' END AS stratum,
+  SELECT r.*, s.* EXCLUDE (session_id, slope_points), month || '|' || CASE WHEN session_index <= 5 THEN '1-5' WHEN session_index <= 10 THEN '6-10' WHEN session_index <= 20 THEN '11-20' WHEN session_index <= 50 THEN '21-50' WHEN session_index <= 100 THEN '51-100' ELSE '100+' END AS stratum,
     CASE WHEN {" AND ".join(f"narrowing_{m}_w{w} IS NOT NULL" for w in ROLLING for m in METRICS[:3])} THEN CASE WHEN is_last AND evaluable_7d AND disengaged_7d THEN 1 WHEN evaluable_7d AND NOT disengaged_7d AND NOT is_last THEN 0 END END AS terminal_case
   FROM rol r JOIN slp s USING (session_id)),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY stratum, terminal_case ORDER BY session_index, pid, session_id) AS number FROM fra WHERE terminal_case IS NOT NULL),
