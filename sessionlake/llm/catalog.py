@@ -5,6 +5,7 @@ from __future__ import annotations
 from sessionlake.llm.chat import OP5_SQL, op5_schema_fingerprint_chat
 from sessionlake.llm.decontamination import op1_benchmark_decontamination
 from sessionlake.llm.near_dup import OP8_SQL, op8_minhash_near_dedup
+from sessionlake.llm.ngram_join import OP11_SQL, op11_count_vector_rtree
 from sessionlake.llm.packing import op9_best_fit_packing
 from sessionlake.llm.pii import op6_feistel_pseudonyms
 from sessionlake.llm.quality import op7_ftrl_quality
@@ -26,6 +27,7 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_best_fit_packing,
         op10_toxicity_lexicon,
+        op11_count_vector_rtree,
     )
 }
 
@@ -35,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op4_impact_ordered_topk": OP4_SQL,
     "op5_schema_fingerprint_chat": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
+    "op11_count_vector_rtree": OP11_SQL,
 }
