@@ -7,6 +7,7 @@ from sessionlake.llm.decontamination import op1_benchmark_decontamination
 from sessionlake.llm.near_dup import OP8_SQL, op8_minhash_near_dedup
 from sessionlake.llm.ngram_join import OP11_SQL, op11_count_vector_rtree
 from sessionlake.llm.packing import op9_best_fit_packing
+from sessionlake.llm.periodic_runs import op13_periodic_runs
 from sessionlake.llm.pii import op6_feistel_pseudonyms
 from sessionlake.llm.quality import op7_ftrl_quality
 from sessionlake.llm.topk import OP4_SQL, op4_impact_ordered_topk
@@ -28,6 +29,7 @@ QUERIES = {
         op9_best_fit_packing,
         op10_toxicity_lexicon,
         op11_count_vector_rtree,
+        op13_periodic_runs,
     )
 }
 
