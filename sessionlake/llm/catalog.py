@@ -9,6 +9,7 @@ from sessionlake.llm.ngram_join import OP11_SQL, op11_count_vector_rtree
 from sessionlake.llm.packing import op9_best_fit_packing
 from sessionlake.llm.periodic_runs import op13_periodic_runs
 from sessionlake.llm.pii import op6_feistel_pseudonyms
+from sessionlake.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from sessionlake.llm.quality import op7_ftrl_quality
 from sessionlake.llm.topk import OP4_SQL, op4_impact_ordered_topk
 from sessionlake.llm.toxicity import op10_toxicity_lexicon
@@ -29,6 +30,7 @@ QUERIES = {
         op9_best_fit_packing,
         op10_toxicity_lexicon,
         op11_count_vector_rtree,
+        op12_prefix_trie,
         op13_periodic_runs,
     )
 }
@@ -40,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op5_schema_fingerprint_chat": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op11_count_vector_rtree": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
