@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions.columns import rounded
 from sessionlake.operators import audit, censoring, clusters, diagnostics, features, models, recovery, regression, rigidity, sequences, sessions, starts, transitions
 from sessionlake.plans.frames import Frames
-from sessionlake.session import shared_folder
+from sessionlake.session import held, shared_folder
 from sessionlake.sources.files import read_event_csv, read_text_csv, union_by_name, write_csv, write_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,15 +631,18 @@ def cluster_sizes(f: Frames) -> DataFrame:
 
 @query
 def kmeans_fit(f: Frames) -> DataFrame:
-    pts = f.embedding_points.cache()
-    km = starts.kmeans_many(starts.hashed(pts), [starts.Job(5, 42)], max_iter=120)[0]
+    pts = f.embedding_points
+    with held(starts.hashed(pts)) as df:
+        km = starts.kmeans_many(df, [starts.Job(5, 42)], max_iter=120)[0]
     return clusters.center_sums(clusters.assign(pts, km.centers), km.centers.shape[1]).select("label", "size", "inertia")
 
 
 @query
 def mixture_fit(f: Frames) -> DataFrame:
-    pts = _four(f).cache()
-    return clusters.posterior_summary(clusters.posteriors(pts, starts.mixture_many(starts.hashed(pts), [starts.Job(5, 42)], max_iter=120)[0].after), ["label"])
+    pts = _four(f)
+    with held(starts.hashed(pts)) as df:
+        fit = starts.mixture_many(df, [starts.Job(5, 42)], max_iter=120)[0]
+    return clusters.posterior_summary(clusters.posteriors(pts, fit.after), ["label"])
 
 
 def _pc(f: Frames) -> DataFrame:
@@ -663,18 +666,26 @@ def subsample_stability(f: Frames) -> DataFrame:
     return starts.subsample_stability(_pc(f))
 
 
+REGIMES = ("out_of_window", "before_window")
+REFIT = starts.Job(5, 5)
+
+
+def _regime_points(f: Frames, name: str) -> tuple[DataFrame, DataFrame]:
+    """The sessions of a regime and their points."""
+    part = sequences.with_rule_states(f.features).filter(_regimes(f)[name])
+    return part, _pc(f).join(part.select(F.col("session_id").alias("id")), "id", "left_semi")
+
+
 @query
 def regime_refit(f: Frames) -> DataFrame:
     """Mixtures fitted again to sessions outside of the window, and to those before it: their clusters, the most minimal one, and whether it passes for minimal."""
-    df = sequences.with_rule_states(f.features).cache()
-    pc = _pc(f).cache()
     parts = []
-    for name in ("out_of_window", "before_window"):
-        part = df.filter(_regimes(f)[name])
-        pts = pc.join(part.select(F.col("session_id").alias("id")), "id", "left_semi").cache()
+    for name in REGIMES:
+        part, pts = _regime_points(f, name)
         if pts.isEmpty():
             continue
-        fit = starts.mixture_many(starts.hashed(pts), [starts.Job(5, 6205)], 8, 8)[0]
+        with held(starts.hashed(pts)) as df:
+            fit = starts.mixture_many(df, [REFIT], 8, 8)[0]
         labels = clusters.posteriors(pts, fit.before).select(F.col("id").alias("session_id"), F.col("label").alias("cluster"))
         got = clusters.minimal_cluster(part.join(labels, "session_id"))
         parts.append(got.withColumn("minimal_found", (F.col("duration_median") <= 2) & (F.col("no_event_rate") >= 0.95) & (F.col("missing_mode_rate") >= 0.9)).withColumns({"regime": F.lit(name), "bic": F.lit(fit.after.bic)}))

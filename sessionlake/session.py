@@ -6,9 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -56,3 +58,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="sessionlake-")
     return f"{top.rstrip('/')}/sessionlake-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df, cached while the block runs."""
+    df = df.cache()
+    try:
+        yield df
+    finally:
+        df.unpersist()

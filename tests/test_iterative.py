@@ -120,7 +120,7 @@ def test_mixture_fit(spark, frames):
     pts = frames.embedding_points.select("id", F.slice("x", 1, 4).alias("x"))
     fits, x = [], vectors(pts)
     df = starts.hashed(pts)
-    outer = [42 + 7919 * (r + 1) for r in range(5)]
+    outer = [starts.mixture_seed(42, 5, r) for r in range(5)]
     first = starts.seeds(df, [starts.Job(5, starts.restart_seed(s, 5, r)) for s in outer for r in range(8)])
     for i in range(5):
         mean, sizes, var, _ = min((numpy_lloyd(x, c, 120) for c in first[i * 8 : i * 8 + 8]), key=lambda f: f[3])
