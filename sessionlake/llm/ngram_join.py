@@ -282,12 +282,16 @@ def points(docs: DataFrame, frequent: list, conf: CountTree) -> DataFrame:
 
 def survivors(reps: DataFrame, conf: CountTree, folder: str) -> DataFrame:
     """Links (u, v) that join, within each cell, all pairs that the trees' bounds leave. Cells of equal members count once."""
-    spread = reps.select("doc_id", F.octet_length("point").alias("width"), F.explode("cells").alias("cell"))
+    # Dealt by cell once: what is counted of the cells, and the join that keeps those of several members, read the same exchange,
+    # as long as both read the same columns.
+    spread = reps.select("doc_id", F.octet_length("point").alias("width"), F.explode("cells").alias("cell")).filter("cell is not null")
+    spread = spread.repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
     stats = spread.groupBy("cell").agg(F.count("*").alias("n"), F.sum("width").alias("total"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).filter("n > 1")
-    kept = materialise(stats.groupBy("n", "total", "members").agg(F.min("cell").alias("cell")).select("cell", "n", "total"), f"{folder}/cells")
+    kept = stats.groupBy("n", "total", "members").agg(F.min("cell").alias("cell")).select("cell", "n", "total")
     n_blocks = _number_of_blocks(F.col("n"), conf.worth, conf.cell_spread, F.col("total"), conf.cell_block)
-    members = spread.select("doc_id", "cell").join(kept, "cell").select("cell", "doc_id", F.inline(_blocks(n_blocks, F.col("doc_id"))))
-    rows = members.join(reps.select("doc_id", "n_shingles", "point"), "doc_id")
+    members = spread.join(kept, "cell").select("cell", "doc_id", "width", F.inline(_blocks(n_blocks, F.col("doc_id"))))
+    members = materialise(members, f"{folder}/members")
+    rows = members.drop("width").join(reps.select("doc_id", "n_shingles", "point"), "doc_id")
 
     def cell(group: pa.Table) -> pa.RecordBatch | None:
         ids = group.column("doc_id").to_numpy()
@@ -320,7 +324,7 @@ def ngram_join(docs: DataFrame, conf: CountTree = CountTree(), id_col: str = "do
     families = components(links, folder, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
     families = materialise(families.join(sizes, "doc_id"), f"{folder}/families")
-    remove(spark, f"{folder}/reps", f"{folder}/cells", f"{folder}/survivors")
+    remove(spark, f"{folder}/reps", f"{folder}/members", f"{folder}/survivors")
     verified = materialise(confirmed(texts, families, conf.verify, folder), f"{folder}/links")
     joined = components(verified, folder, "joined").select(F.col("node").alias("rep"), "component")
     known = materialise(classes.join(joined, "rep", "left").select("key_hi", "key_lo", F.coalesce("component", "rep").alias("component")), f"{folder}/known")
