@@ -6,6 +6,8 @@ still holds too many is bracketed again, which divides it by thousands each time
 
 Within groups (`quantiles_by`), a lazy plan counts distinct values, cuts each group's values into ranges at approximate
 percentiles, and sorts only the ranges that hold a wanted place.
+
+`values_at` reads places from a table of distinct values and their counts, which other figures of the same columns can share.
 """
 
 from __future__ import annotations
@@ -138,6 +140,42 @@ def quantiles_by(df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[s
     return found.groupBy(*groups).agg(*out)
 
 
+def around(p: float, n: int) -> tuple[int, int, float]:
+    """The places that the quantile p of n values lies between, and how far it is from the first to the second."""
+    at = p * (n - 1)
+    return math.floor(at), math.ceil(at), at - math.floor(at)
+
+
+def between(low: float, high: float, part: float) -> float:
+    return low if low == high else low + (high - low) * part
+
+
+def values_at(counted: DataFrame, key: Sequence[str], places: dict[tuple, Iterable[int]], ranges: int = RANGES) -> dict[tuple, dict[int, float]]:
+    """For each key the values at places of its ascending values, from 0. counted: key, value (double, not null), n: each distinct value once, with its count.
+
+    The table is read twice. A task sorts the distinct values of the ranges that hold a place, each some 1/256 of a key's. What comes to the
+    driver is a row for each place; keys and places are few.
+    """
+    out: dict[tuple, dict[int, float]] = {k: {} for k in places}
+    wanted = [(*k, int(at)) for k, ats in places.items() for at in sorted(set(ats))]
+    if not wanted:
+        return out
+    kinds = ", ".join(f"`{c}` {t}" for c, t in counted.select(*key).dtypes)
+    asked = counted.sparkSession.createDataFrame(wanted, f"{kinds}, place long")
+    edges = counted.groupBy(*key).agg(F.percentile_approx("value", [k / ranges for k in range(1, ranges)], 4 * ranges).alias("edges"))
+    placed = counted.join(F.broadcast(edges), list(key)).select(*key, "value", "n", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("range"))  # a row for each key
+    earlier = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most a row for each range
+    sums = placed.groupBy(*key, "range").agg(F.sum("n").alias("inside")).withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
+    needed = sums.join(F.broadcast(asked), list(key)).filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("inside")))
+    needed = needed.groupBy(*key, "range", "before").agg(F.collect_list("place").alias("places"))
+    upto = Window.partitionBy(*key, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    hit = placed.join(F.broadcast(needed), [*key, "range"]).withColumn("upto", F.col("before") + F.sum("n").over(upto))  # at most a row for each place
+    hit = hit.select(*key, "value", F.explode(F.filter("places", lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))).alias("place"))
+    for r in hit.collect():
+        out[tuple(r[c] for c in key)][r.place] = r.value
+    return out
+
+
 def with_quantiles(summary: DataFrame, df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """A summary with a row for each group of df, and its quantiles beside it."""
     q = quantiles_by(df, groups, wanted)

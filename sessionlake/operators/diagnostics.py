@@ -10,38 +10,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import clip, ratio
-from sessionlake.functions.quantiles import ACCURACY, exact_quantiles, order_statistics
+from sessionlake.functions.quantiles import ACCURACY, around, between, exact_quantiles, values_at
+from sessionlake.session import written
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+SUMMARY = "feature string, non_null long, missing_pct double, zero_pct double, negative_count long, mean double, std double, min double, " + ", ".join(f"{k} double" for k in QUANTILES) + ", max double, top_share_of_sum double, unique_values long"
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], top: float = 0.01) -> DataFrame:
     """A row for each column: counts, moments, exact quantiles, and the share of the sum that its largest `top` of all rows hold.
 
-    Everything but the distinct values is sums over one pass; quantiles and the value that the top begins at are order statistics in
-    bounded memory. What comes to the driver is some numbers a column.
+    One pass over the rows counts each column's distinct values; this table is written, and everything else is read from it: counts and
+    sums, the values at the wanted places (`values_at`), and what lies above the value that the top begins at. What comes to the
+    driver is some numbers a column.
     """
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()  # read by each pass
-    parts = {"non_null": F.count, "missing_pct": lambda c: F.count_if(F.col(c).isNull()) * 100.0 / F.count("*"), "zero_pct": lambda c: F.count_if(F.col(c) == 0) * 100.0 / F.count("*"), "negative_count": lambda c: F.count_if(F.col(c) < 0), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "total": F.sum}
-    stats = df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{c} {k}") for c in columns for k, f in parts.items()]).first()
-    distinct = df.unpivot([], list(columns), "feature", "value").filter("value is not null").distinct().groupBy("feature").agg(F.count("*").alias("n"))
-    unique = {r.feature: r.n for r in distinct.collect()}  # a row for each column
-    limit = max(1, math.ceil(stats["rows"] * top))
-    quantiles = exact_quantiles(df, {c: list(QUANTILES.values()) for c in columns}, persist=False)
-    begins = order_statistics(df, {c: [max(0, stats[f"{c} non_null"] - limit)] for c in columns})
-    begins = {c: next(iter(v.values()), None) for c, v in begins.items()}
-    above = df.agg(F.count("*").alias("rows"), *[f for c, t in begins.items() if t is not None for f in (F.count_if(F.col(c) > t).alias(f"{c} n"), F.sum(F.when(F.col(c) > t, F.col(c))).alias(f"{c} sum"))]).first()
-    df.unpersist()
+    columns = list(columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    counted = written(df.select(F.inline(cells)).groupBy("feature", "value").agg(F.count("*").alias("n")))
+    v, n = F.col("value"), F.col("n")
+    number = lambda where: F.coalesce(F.sum(F.when(where, n)), F.lit(0).cast("long"))
+    known = F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0).cast("long"))
+    stats = counted.groupBy("feature").agg(
+        F.sum("n").alias("rows"), known.alias("non_null"), number(v.isNull()).alias("missing"), number(v == 0).alias("zero"), number(v < 0).alias("negative"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.sum(v * n).alias("total"), F.count("value").alias("unique_values"),
+    )
+    stats = {r.feature: r for r in stats.collect()}
+    if not stats:  # no rows at all
+        return df.sparkSession.createDataFrame([(c, 0, None, None, 0, *[None] * (len(QUANTILES) + 5), 0) for c in columns], SUMMARY)
+    limit = {i: max(1, math.ceil(r.rows * top)) for i, r in stats.items()}
+    ends = {i: [around(p, r.non_null) for p in QUANTILES.values()] for i, r in stats.items() if r.non_null}
+    begin = {i: max(0, stats[i].non_null - limit[i]) for i in ends}
+    at = values_at(counted.filter("value is not null"), ["feature"], {(i,): [*(k for lo, hi, _ in of for k in (lo, hi)), begin[i]] for i, of in ends.items()})
+    marks = [(i, stats[i].total / stats[i].non_null, at[i,][begin[i]]) for i in ends]
+    marks = df.sparkSession.createDataFrame(marks, "feature int, mean double, begins double")
+    above = v > F.col("begins")
+    more = counted.filter("value is not null").join(F.broadcast(marks), "feature").groupBy("feature").agg(  # a row for each column
+        F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("squares"), number(above).alias("above"), F.sum(F.when(above, v * n)).alias("above_sum")
+    )
+    more = {r.feature: r for r in more.collect()} if ends else {}
     rows = []
-    for c in columns:
-        total, share = stats[f"{c} total"], None
-        if total is not None and total > 0:
-            rest = min(limit, stats[f"{c} non_null"]) - above[f"{c} n"]
-            share = ((above[f"{c} sum"] or 0.0) + rest * begins[c]) / total
-        s = {k: stats[f"{c} {k}"] for k in parts}
-        rows.append((c, s["non_null"], s["missing_pct"], s["zero_pct"], s["negative_count"], s["mean"], s["std"], s["min"], *quantiles[c], s["max"], share, unique.get(c, 0)))
-    names = "feature string, non_null long, missing_pct double, zero_pct double, negative_count long, mean double, std double, min double, " + ", ".join(f"{k} double" for k in QUANTILES) + ", max double, top_share_of_sum double, unique_values long"
-    return df.sparkSession.createDataFrame(rows, names)
+    for i, c in enumerate(columns):
+        r, m = stats[i], more.get(i)
+        quantiles = [between(at[i,][lo], at[i,][hi], part) for lo, hi, part in ends[i]] if m else [None] * len(QUANTILES)
+        mean, share = (r.total / r.non_null if m else None), None
+        std = math.sqrt(m.squares / (r.non_null - 1)) if m and r.non_null > 1 else None
+        if m and r.total > 0:
+            rest = min(limit[i], r.non_null) - m.above
+            share = ((m.above_sum or 0.0) + rest * at[i,][begin[i]]) / r.total
+        rows.append((c, r.non_null, r.missing * 100.0 / r.rows, r.zero * 100.0 / r.rows, r.negative, mean, std, r.min, *quantiles, r.max, share, r.unique_values))
+    return df.sparkSession.createDataFrame(rows, SUMMARY)
 
 
 def category_share(df: DataFrame, column: str, blank: str = "(missing)") -> DataFrame:

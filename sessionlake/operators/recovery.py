@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import Config
 from sessionlake.functions.columns import clip, days_between, month, quantile_bin, ratio
-from sessionlake.functions.quantiles import quantiles_by, with_quantiles
+from sessionlake.functions.quantiles import around, between, values_at, with_quantiles
 from sessionlake.operators.censoring import by_horizon, capped_gap, recovered_within
 from sessionlake.operators.sequences import by_player, in_order, prior_exposure
+from sessionlake.session import written
 
 
 def exact_path(next_state: Column, conf: Config) -> Column:
@@ -168,30 +169,45 @@ def odds(p: Column, eps: float = 1e-9) -> Column:
     return (p + eps) / (1 - p + eps)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """A table of a row for each variable, found now, so that plans over it don't hold its own plan again."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def _cuts(counted: DataFrame, key: Sequence[str], shares: Sequence[float]) -> dict[tuple, list[float]]:
+    """The distinct quantiles of each key with more than one value. counted: key, value, n."""
+    sizes = {tuple(r[c] for c in key): r.rows for r in counted.groupBy(*key).agg(F.sum("n").alias("rows"), F.count("*").alias("values")).filter("values > 1").collect()}
+    ends = {k: [around(p, n) for p in shares] for k, n in sizes.items()}
+    found = values_at(counted, key, {k: [at for lo, hi, _ in of for at in (lo, hi)] for k, of in ends.items()})
+    return {k: list(dict.fromkeys(between(found[k][lo], found[k][hi], part) for lo, hi, part in of)) for k, of in ends.items()}
 
 
 def threshold_scan(rows: DataFrame, conf: Config, cuts: Sequence[float] = tuple(k / 100 for k in range(10, 91, 5))) -> DataFrame:
     """Recovery below and from each distinct quantile cut of each variable on, where both sides have enough rows.
 
-    Each row meets its variable's cuts, of which there are few. A variable of one value has no cuts.
+    One pass over the rows counts them, and their recoveries, by distinct value, and takes each player's least and greatest value:
+    a player is below a cut if the least value is, and above it if the greatest is. These are written and cut into the stretches
+    between cuts, whose running sums answer every cut. A variable of one value has no cuts. The pass runs when the plan is built.
     """
-    wanted = {f"cut{k}": ("value", p) for k, p in enumerate(cuts)}
-    points = quantiles_by(rows, ["variable"], {**wanted, "least": ("value", 0.0), "most": ("value", 1.0)}).filter("least < most")
-    points = _settled(points).select("variable", F.explode(F.array_distinct(F.array(*[f"cut{k}" for k in range(len(cuts))]))).alias("threshold"))
-    joined = rows.join(F.broadcast(points), "variable")  # at most 17 rows a variable
-    low = F.col("value") < F.col("threshold")
-    out = joined.groupBy("variable", "threshold").agg(
-        F.count_if(low).alias("n_low"),
-        F.count_if(~low).alias("n_high"),
-        F.count_distinct(F.when(low, F.col("pid"))).alias("players_low"),
-        F.count_distinct(F.when(~low, F.col("pid"))).alias("players_high"),
-        F.avg(F.when(low, F.col("recovered").cast("double"))).alias("rate_low"),
-        F.avg(F.when(~low, F.col("recovered").cast("double"))).alias("rate_high"),
-    )
+    hits = F.sum(F.col("recovered").cast("long"))
+    sets = [[F.col("variable"), F.col("value")], [F.col("variable"), F.col("pid")]]
+    both = rows.groupingSets(sets, "variable", "value", "pid").agg(F.grouping("value").alias("of_player"), F.count("*").alias("n"), hits.alias("hits"), F.min(F.col("value") + 0.0).alias("least"), F.max(F.col("value") + 0.0).alias("most"))
+    both = written(both.select("variable", "of_player", "n", "hits", "least", "most"))
+    counted = both.filter("of_player = 0").select("variable", F.col("least").alias("value"), "n", "hits")
+    found = _cuts(counted.drop("hits"), ["variable"], cuts)
+    points = rows.sparkSession.createDataFrame([(k[0], c) for k, c in found.items()], "variable string, cuts array<double>")
+    cell = lambda v: F.size(F.filter("cuts", lambda c: c <= F.col(v)))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    kinds = ("cell", "n", "hits", "first", "last")
+    row = lambda *v: F.struct(*[c.alias(k) for k, c in zip(kinds, v, strict=True)])
+    of_value = F.array(row(cell("least"), F.col("n"), F.col("hits"), zero, zero))
+    of_player = F.array(row(cell("least"), zero, zero, one, zero), row(cell("most"), zero, zero, zero, one))
+    cells = both.join(F.broadcast(points), "variable").select("variable", F.inline(F.when(F.col("of_player") == 0, of_value).otherwise(of_player)))  # a row for each variable
+    cells = cells.groupBy("variable", "cell").agg(*[F.sum(k).alias(k) for k in kinds[1:]])
+    tries = points.select("variable", F.posexplode("cuts").alias("at", "threshold"))
+    low = F.col("cell") <= F.col("at")
+    side = lambda k, where: F.coalesce(F.sum(F.when(where, F.col(k))), zero)
+    # At most 18 stretches and 17 cuts a variable.
+    out = cells.join(F.broadcast(tries), "variable").groupBy("variable", "threshold").agg(
+        side("n", low).alias("n_low"), side("n", ~low).alias("n_high"), side("first", low).alias("players_low"), side("last", ~low).alias("players_high"), side("hits", low).alias("hits_low"), side("hits", ~low).alias("hits_high"),
+    )
     out = out.filter((F.col("n_low") >= conf.min_side) & (F.col("n_high") >= conf.min_side))
+    out = out.select("variable", "threshold", "n_low", "n_high", "players_low", "players_high", ratio(F.col("hits_low"), F.col("n_low")).alias("rate_low"), ratio(F.col("hits_high"), F.col("n_high")).alias("rate_high"))
     return out.withColumns({"drop": F.col("rate_low") - F.col("rate_high"), "odds_ratio": odds(F.col("rate_high")) / odds(F.col("rate_low"))})
 
 
@@ -219,12 +235,22 @@ def threshold_stability(focal: DataFrame, best: DataFrame, conf: Config) -> Data
 
 
 def quantile_bins(rows: DataFrame, bins: int = 8) -> DataFrame:
-    """Recovery in quantile bins of each variable: right-closed, the first with the least value, repeated edges once."""
-    edges = quantiles_by(rows, ["variable"], {f"edge{k}": ("value", k / bins) for k in range(bins + 1)}).filter(f"edge0 < edge{bins}")
-    edges = _settled(edges).select("variable", F.array_distinct(F.array(*[f"edge{k}" for k in range(bins + 1)])).alias("edges"))
-    binned = rows.join(F.broadcast(edges), "variable").withColumn("bin", quantile_bin(F.col("value"), F.col("edges")))  # a row for each variable
-    out = binned.groupBy("variable", "bin").agg(F.count("*").alias("sessions"), F.count_distinct("pid").alias("players"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), F.avg(F.col("recovered").cast("double")).alias("recovery_rate"))
-    return with_quantiles(out, binned, ["variable", "bin"], {"value_median": ("value", 0.5)})
+    """Recovery in quantile bins of each variable: right-closed, the first with the least value, repeated edges once.
+
+    Rows are counted by distinct value once; edges, sums and medians are read from these counts, and only players are counted over the rows again.
+    The first pass and those for edges and medians run when the plan is built.
+    """
+    counted = written(rows.groupBy("variable", "value").agg(F.count("*").alias("n"), F.sum(F.col("recovered").cast("long")).alias("hits")))
+    found = _cuts(counted, ["variable"], [k / bins for k in range(bins + 1)])
+    edges = F.broadcast(rows.sparkSession.createDataFrame([(k[0], c) for k, c in found.items()], "variable string, edges array<double>"))  # a row for each variable
+    binned = counted.join(edges, "variable").select("variable", quantile_bin(F.col("value"), F.col("edges")).alias("bin"), "value", "n", "hits")
+    sums = binned.groupBy("variable", "bin").agg(F.sum("n").alias("sessions"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), (F.sum("hits") / F.sum("n")).alias("recovery_rate"))
+    sizes = {(r.variable, r.bin): around(0.5, r.sessions) for r in sums.select("variable", "bin", "sessions").collect()}  # a row for each bin
+    at = values_at(binned.select("variable", "bin", "value", "n"), ["variable", "bin"], {k: v[:2] for k, v in sizes.items()})
+    medians = rows.sparkSession.createDataFrame([(*k, between(at[k][lo], at[k][hi], part)) for k, (lo, hi, part) in sizes.items()], "variable string, bin int, value_median double")
+    players = rows.join(edges, "variable").groupBy("variable", quantile_bin(F.col("value"), F.col("edges")).alias("bin")).agg(F.count_distinct("pid").alias("players"))
+    out = sums.join(F.broadcast(medians), ["variable", "bin"]).join(players, ["variable", "bin"])
+    return out.select("variable", "bin", "sessions", "players", "value_min", "value_max", "recovery_rate", "value_median")
 
 
 def unadjusted_path_risk(labels: DataFrame, conf: Config) -> DataFrame:

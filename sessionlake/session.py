@@ -68,3 +68,10 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         yield df
     finally:
         df.unpersist()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a new shared folder: plans over it don't hold its own plan again, and its files outlive an executor."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

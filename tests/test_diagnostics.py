@@ -2,10 +2,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from sessionlake.operators.diagnostics import spearman_pairs
+from sessionlake.operators.diagnostics import QUANTILES, numeric_summary, spearman_pairs
 
 COLUMNS = ["a", "b", "c", "d", "same"]
 
@@ -42,3 +43,25 @@ def test_spearman_refuses_ids_that_repeat(spark, rows):
     df = spark.createDataFrame(rows, "session_id long, a double, b double, c double, d double, same double, key string")
     with pytest.raises(ValueError, match="repeated"):
         spearman_pairs(df.union(df), ["a", "c"])
+
+
+def test_numeric_summary_is_numpys(spark):
+    """Nulls, ties across the top's border, one value, no value, negative sums; a written table of counted values answers all."""
+    rng = np.random.default_rng(6)
+    rows = [(float(x) if k % 5 else None, float(k % 3), 7.0, None, -float(k)) for k, x in enumerate(rng.exponential(size=777))]
+    df = spark.createDataFrame(rows, "a double, b double, same double, none double, minus double")
+    got = {r.feature: r for r in numeric_summary(df, df.columns).collect()}
+    for i, c in enumerate(df.columns):
+        r, x = got[c], np.array([row[i] for row in rows if row[i] is not None])
+        assert (r.non_null, r.unique_values, r.negative_count) == (len(x), len(set(x)), int((x < 0).sum()))
+        assert r.missing_pct == pytest.approx(100 - 100 * len(x) / 777)
+        assert r.zero_pct == pytest.approx(100 * (x == 0).sum() / 777)
+        if not len(x):
+            assert (r.mean, r.std, r.min, r.p50, r.max, r.top_share_of_sum) == (None,) * 6
+            continue
+        assert (r.mean, r.std, r.min, r.max) == pytest.approx((x.mean(), x.std(ddof=1), x.min(), x.max()))
+        assert [r[k] for k in QUANTILES] == pytest.approx(list(np.quantile(x, list(QUANTILES.values()))))
+        assert r.top_share_of_sum == (pytest.approx(np.sort(x)[-8:].sum() / x.sum()) if x.sum() > 0 else None)
+    assert [r.non_null for r in numeric_summary(df.limit(0), ["a", "b"]).collect()] == [0, 0]
+    one = numeric_summary(df.limit(2).select("b"), ["b"]).first()
+    assert (one.p50, one.std) == (0.5, pytest.approx(0.5**0.5))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlake.functions.quantiles import exact_quantiles, order_statistics, quantiles_by, with_quantiles
+from sessionlake.functions.quantiles import around, between, exact_quantiles, order_statistics, quantiles_by, values_at, with_quantiles
 
 
 @pytest.mark.parametrize("max_values", [100_000, 32])
@@ -52,3 +52,21 @@ def test_no_task_sorts_a_whole_group(spark):
     df = spark.range(1000).selectExpr("id % 2 AS g", "id * 1.0 AS x")
     plan = quantiles_by(df, ["g"], {"m": ("x", 0.5)})._jdf.queryExecution().optimizedPlan().toString()
     assert "q range" in plan and " percentile(" not in plan
+
+
+@pytest.mark.parametrize("ranges", [256, 3])
+def test_values_at_places(spark, ranges):
+    """Places of values of several keys, from counts; a place beyond the last is left out."""
+    rng = np.random.default_rng(2)
+    rows = {("a", 1): rng.integers(0, 40, 900).astype(float), ("a", 2): rng.normal(size=500), ("b", 1): np.zeros(7)}
+    df = spark.createDataFrame([(*k, float(x)) for k, v in rows.items() for x in v], "g string, h int, value double")
+    counted = df.groupBy("g", "h", "value").agg(F.count("*").alias("n"))
+    places = {k: [0, 3, len(v) // 2, len(v) - 1, len(v)] for k, v in rows.items()}
+    got = values_at(counted, ["g", "h"], places, ranges)
+    assert got == {k: {p: float(np.sort(v)[p]) for p in places[k] if p < len(v)} for k, v in rows.items()}
+    assert values_at(counted, ["g", "h"], {}) == {}
+    assert values_at(counted.limit(0), ["g", "h"], {("a", 1): [0]}) == {("a", 1): {}}
+    for p in (0.0, 0.3, 0.5, 1.0):
+        lo, hi, part = around(p, 500)
+        x = np.sort(rows["a", 2])
+        assert between(x[lo], x[hi], part) == pytest.approx(np.quantile(x, p))
