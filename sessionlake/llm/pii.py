@@ -15,8 +15,12 @@ from __future__ import annotations
 import hashlib
 import re
 import secrets
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
+from functools import cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +121,17 @@ def _ip(text: str, key: bytes) -> str | None:
 
 
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-_SIDE = 271  # 271 * 271 is the least square that holds all days
+
+
+@cache
+def _days() -> tuple[dict[int, tuple[bool, int]], dict[bool, list[int]]]:
+    """Days in two classes, those whose day of the month could be a month and the others: class and number of each day, and each class's days."""
+    numbers, days = {}, {True: [], False: []}
+    for n in range(_FIRST, _LAST + 1):
+        early = date.fromordinal(n).day <= 12
+        numbers[n] = early, len(days[early])
+        days[early].append(n)
+    return numbers, days
 
 
 def _date(text: str, key: bytes) -> str | None:
@@ -129,16 +143,16 @@ def _date(text: str, key: bytes) -> str | None:
         day = date(y, d, m) if swapped else date(y, m, d)
     except ValueError:
         return None
-    value = day.toordinal() - _FIRST
-    if not 0 <= value <= _LAST - _FIRST:
+    numbers, days = _days()
+    if day.toordinal() not in numbers:
         return None
-    # A value and its pseudonym are written the same way: month-first only where the day can't be a month.
-    while True:
-        value = permute(value, _SIDE, _SIDE, key, "date")
-        if value <= _LAST - _FIRST:
-            new = date.fromordinal(_FIRST + value)
-            if not swapped or new.day > 12:
-                break
+    # Each class is permuted within itself, so a day has one pseudonym in all spellings, and month-first ones stay readable as such.
+    early, value = numbers[day.toordinal()]
+    side = isqrt(len(days[early]) - 1) + 1
+    value = permute(value, side, side, key, f"date|{early}")
+    while value >= len(days[early]):
+        value = permute(value, side, side, key, f"date|{early}")
+    new = date.fromordinal(days[early][value])
     sep = re.search(r"\D", text)[0]
     order = (new.year, new.month, new.day) if year_first else (new.month, new.day, new.year) if swapped else (new.day, new.month, new.year)
     width = 1 if any(len(p) == 1 for p in parts) else 2  # parts without a leading 0 stay without
@@ -241,9 +255,39 @@ def _value(text: str, m: re.Match, key: bytes) -> tuple[str, int, str] | None:
     return None
 
 
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def _in_script(new: str, old: str) -> str:
+    """A pseudonym in the digits of the script that the value is written in; where scripts are mixed, digit by digit, further ones as the last."""
+    zeros = [ord(c) - unicodedata.decimal(c) for c in old if c.isdecimal()]
+    at, out = 0, []
+    for c in new:
+        if c.isdecimal():
+            c, at = chr(zeros[min(at, len(zeros) - 1)] + int(c)), at + 1
+        out.append(c)
+    return "".join(out)
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
-    """The text with pseudonyms, and (kind, start, end, pseudonym) of each value found in it."""
-    out, spans, at, pos = [], [], 0, 0
+    """The text with pseudonyms, and (kind, start, end, pseudonym) of each value found in it.
+
+    Decimal digits of any script are read as what they count, so a value has the same pseudonym in all of them, and written in their own script.
+    """
+    if _OTHER_DIGIT.search(text):
+        plain = _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)  # as long as the text
+        spans = [(kind, a, b, _in_script(new, text[a:b])) for kind, a, b, new in _values(plain, key)]
+    else:
+        spans = _values(text, key)
+    out, at = [], 0
+    for _, start, end, new in spans:
+        out += [text[at:start], new]
+        at = end
+    return ("".join([*out, text[at:]]) if spans else text), spans
+
+
+def _values(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
+    spans, pos = [], 0
     while m := PATTERN.search(text, pos):
         value = _value(text, m, key)
         if value is None:
@@ -251,22 +295,35 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int,
             while pos < m.end() and text[pos].isalnum() and text[pos - 1].isalnum():
                 pos += 1
             continue
-        kind, end, new = value
-        out += [text[at : m.start()], new]
-        spans.append((kind, m.start(), end, new))
-        at = pos = end
-    return ("".join([*out, text[at:]]) if spans else text), spans
+        kind, pos, new = value
+        spans.append((kind, m.start(), pos, new))
+    return spans
 
 
 _HINT = np.zeros(256, bool)
 _HINT[[*range(0x30, 0x3A), 0x40]] = True
 
 
+@cache
+def _digit_leads() -> np.ndarray:
+    """Whether digits of other scripts begin with a byte."""
+    out = np.zeros(256, bool)
+    out[[chr(c).encode()[0] for c in range(0x80, sys.maxunicode + 1) if chr(c).isdecimal()]] = True
+    return out
+
+
 def rows_with_hints(column: pa.Array) -> np.ndarray:
-    """Rows whose text has a digit or @, without which no kind matches."""
+    """Rows whose text has a decimal digit or @, without which no kind matches."""
     data, offsets = utf8(column)
-    at = np.flatnonzero(_HINT[data])
-    return np.flatnonzero(np.searchsorted(at, offsets[1:]) > np.searchsorted(at, offsets[:-1]))
+
+    def has(marked: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(marked[data])
+        return np.searchsorted(at, offsets[1:]) > np.searchsorted(at, offsets[:-1])
+
+    plain = has(_HINT)
+    for row in np.flatnonzero(has(_digit_leads()) & ~plain).tolist():
+        plain[row] = _OTHER_DIGIT.search(column[row].as_py()) is not None
+    return np.flatnonzero(plain)
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text", counts: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from datetime import date, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -85,6 +86,57 @@ def test_equal_values_stay_linked_and_others_apart():
     assert len(new) == len(cards)
 
 
+SCRIPTS = [0x30, 0x660, 0x6F0, 0x966, 0xFF10, 0x1D7CE]
+
+
+def in_script(text, zero):
+    return "".join(chr(zero + int(c)) if c in "0123456789" else c for c in text)
+
+
+@pytest.mark.parametrize("zero", SCRIPTS)
+def test_digits_of_every_script(zero):
+    """No counted value stays, in any script's digits; values are linked across scripts and keep their own."""
+    for kind, value in [*CASES, ("card", "4111111111111111"), ("ssn", "123-45-6789")]:
+        if kind in ("key", "secret", "iban", "email"):
+            continue  # ASCII by their own formats
+        text = f"x {in_script(value, zero)} y"
+        out, spans = pseudonymise(text, KEY)
+        assert [k for k, *_ in spans] == [kind]
+        _, a, b, new = spans[0]
+        assert text[a:b] == in_script(value, zero) and new != text[a:b]
+        assert new == in_script(pseudonymise(f"x {value} y", KEY)[1][0][3], zero)
+        assert in_script(value, zero) not in out
+        assert not any(c in "0123456789" for c in new) or zero == 0x30
+
+
+def test_mixed_scripts_and_hints(spark):
+    mixed = "a ٤111111111111111 b"
+    out, spans = pseudonymise(mixed, KEY)
+    assert [k for k, *_ in spans] == ["card"] and out != mixed and ord(out[2]) in range(0x660, 0x66A)
+    texts = ["only ١٢٣-٤٥-٦٧٨٩ here", "ノー digits, ß é \U0001f600", None, "४५", "plain"]
+    got = pseudonymise_documents(frame(spark, texts), KEY, counts=True).orderBy("doc_id").collect()
+    assert [r.pii_ssn for r in got] == [1, 0, 0, 0, 0]
+    assert "١٢٣-٤٥-٦٧٨٩" not in got[0].text
+    assert [r.text for r in got[1:]] == texts[1:]
+
+
+def test_a_day_has_one_pseudonym_in_all_spellings():
+    """All days of a leap year, in year-first, day-first and month-first spellings; days stay apart."""
+    seen = set()
+    for n in range(366):
+        day = date(2024, 1, 1) + timedelta(n)
+        y, m, d = day.year, day.month, day.day
+        new = date.fromisoformat(pseudonymise(day.isoformat(), KEY)[0])
+        seen.add(new)
+        assert (new.day <= 12) == (d <= 12)
+        want = {f"{y}/{m:02d}/{d:02d}": f"{new:%Y/%m/%d}", f"{d:02d}/{m:02d}/{y}": f"{new:%d/%m/%Y}", f"{d}.{m}.{y}": f"{new.day}.{new.month}.{new.year}" if min(d, m) < 10 else f"{new:%d.%m.%Y}"}
+        if d > 12:
+            want[f"{m:02d}/{d:02d}/{y}"] = f"{new:%m/%d/%Y}"
+        for text, out in want.items():
+            assert pseudonymise(text, KEY)[0] == out
+    assert len(seen) == 366
+
+
 def test_frame(spark):
     rng = random.Random(2)
     texts = awkward(rng) + ["mail bosbt.42@mail8.example.com and 161.17.88.162", "mail bosbt.42@mail8.example.com"]
