@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton over folded text.
 
-Folding: lower case, look-alike letters of other scripts, full-width forms and digit substitutions become
-plain letters, invisible characters go, and punctuation becomes a blank, so patterns that begin or end
-with a blank match at word edges. A pattern is a word, or the beginning of words. A hit inside an exception
+Folding: compatibility forms such as full-width or mathematical letters become plain ones (NFKC), upper case lower case, and
+look-alike letters of other scripts and digit substitutions plain letters. Invisible format characters go, and so do combining
+diacritics that don't compose with their letter; accented letters are letters of their own. Whatever else is neither
+letter, digit nor mark becomes a blank, so patterns that begin or end with a blank match at word edges. A pattern is a word, or the beginning of words. A hit inside an exception
 phrase doesn't count. A text's feature is log(1 + 1000 * weighted hits / words); a logistic curve over it
 gives the score. Lexicon, exceptions, weights and curve are learnt from labelled rows.
 """
@@ -10,6 +11,7 @@ gives the score. Lexicon, exceptions, weights and curve are learnt from labelled
 from __future__ import annotations
 
 import pickle
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -54,20 +56,31 @@ _LOOK_ALIKE = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
 }
-_GONE = "­​‌‍⁠﻿"
+#: Blocks of combining diacritics, first and last.
+_DIACRITICS = ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F))
+
+
+class _Table(dict):
+    """What a character becomes, found when it is first met."""
+
+    def __missing__(self, c: int) -> str:
+        kind = unicodedata.category(chr(c))
+        if kind == "Cf" or any(a <= c <= b for a, b in _DIACRITICS):
+            out = ""
+        else:
+            out = chr(c) if kind[0] in "LNM" else " "
+        self[c] = out
+        return out
 
 
 @cache
-def _table() -> dict[int, str | None]:
-    blanks = {c: " " for c in range(128) if not chr(c).isalnum()}
-    wide = {0xFF01 + c - 0x21: chr(c).lower() if chr(c).isalpha() else " " for c in range(0x21, 0x7F)}
-    wide |= {0xFF01 + ord(c) - 0x21: v for c, v in _LOOK_ALIKE.items() if 0x21 <= ord(c) < 0x7F}
-    return blanks | wide | {ord(k): v for k, v in _LOOK_ALIKE.items()} | dict.fromkeys(map(ord, _GONE))
+def _table() -> _Table:
+    return _Table({ord(k): v for k, v in _LOOK_ALIKE.items()})
 
 
 def fold(text: str) -> str:
     """Folded text with a blank before and behind it."""
-    return f" {text.lower().translate(_table())} "
+    return f" {unicodedata.normalize('NFKC', text).lower().translate(_table())} "
 
 
 @dataclass

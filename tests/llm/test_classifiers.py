@@ -50,6 +50,22 @@ def test_folding():
     assert toxicity.fold("1D10T! іdіоt ｉｄｉｏｔ id\u200biot") == " idiot  idiot idiot idiot "
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["you grobble", "“grobble”", "«grobble»", "you—grobble—x", "¿grobble?", "a\u00a0grobble", "𝐠𝐫𝐨𝐛𝐛𝐥𝐞", "ｇｒｏｂｂｌｅ", "gr\u00adobble", "g\u0335r\u0336obble", "GROBBLE…", "…gr0bb1e".replace("1", "l"), "「grobble」", "\u200fgrobble\u200e", "x\u2028grobble\U0001f600"],
+)
+def test_words_are_found_beside_any_mark(text):
+    lexicon = toxicity.Lexicon({" grobble ": 3.0})
+    assert lexicon.weight(lexicon.automaton(), toxicity.fold(text)) == 3.0
+
+
+def test_letters_and_marks_stay():
+    assert toxicity.fold("é नि ﬁ Ⅷ") == " é नि fi viii "
+    assert toxicity.fold("e\u0301") == " é "
+    lexicon = toxicity.Lexicon({" grobble ": 3.0})
+    assert lexicon.weight(lexicon.automaton(), toxicity.fold("xgrobble grobbleé égrobble")) == 0.0
+
+
 def test_lexicon_with_exceptions_and_length():
     lex = toxicity.Lexicon({" scum": 2.0, " idiot ": 1.0}, [" pond scum "], -3.0, 2.0)
     a = lex.automaton()
