@@ -7,6 +7,8 @@ all components at once, and adds their products up. What a row can still gain or
 by Cauchy and Schwarz at most the norm of what is left of the query times the norm of what is left of the row. The search
 stops when this proves all rows but a few out of the k best; those few are scored exactly.
 
+Vectors of a norm from 2**31 on are kept beside the index: pairs with one of them are scored by whole numbers of any width.
+
 Queries and rows meet in a grid of blocks, each of which holds a bounded number of both. The row blocks come in rounds,
 each with a few times as many as the one before, and a round's searches start from the k-th best scores of earlier rounds.
 Every cell gives k rows a query at most, and the cells' best are merged by ranks. No row is broadcast or collected.
@@ -52,13 +54,26 @@ class Found:
     rescored: int
 
 
+#: Two vectors whose squared norms are below this have an inner product below 2**62.
+NARROW = 2.0**62
+
+
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """Whole numbers of any width."""
+    return np.array([int(v) for v in vectors.ravel().tolist()], object).reshape(vectors.shape)
+
+
 class ImpactIndex:
-    """A block of integer vectors; segments of each component's postings by descending size of the value."""
+    """A block of vectors of whole numbers; segments of each component's postings by descending size of the value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, conf: TopK = TopK()):  # noqa: B008
         order = np.argsort(ids, kind="stable")
-        self.conf, self.ids, self.vectors = conf, ids[order], vectors[order].astype(np.int64)
-        values = self.vectors.astype(np.float64)
+        ids, vectors = ids[order], vectors[order]
+        values = vectors.astype(np.float64)
+        wide = (values * values).sum(1) >= NARROW
+        self.wide_ids, self.wide = ids[wide], _whole(vectors[wide])
+        self.conf, self.ids, self.vectors = conf, ids[~wide], vectors[~wide].astype(np.int64)
+        values = values[~wide]
         self.norms, self.most = (values * values).sum(1), float(np.abs(values).max(initial=0))
         level = self._levels(np.abs(values).T, self.most)
         self.rows = np.argsort(level, axis=1, kind="stable")
@@ -72,7 +87,27 @@ class ImpactIndex:
         return np.where(size > 0, np.clip(np.nan_to_num(exact, posinf=self.conf.levels), 0, self.conf.levels - 1), self.conf.levels - 1).astype(np.int64)
 
     def search(self, query: np.ndarray, k: int, own: int, least: float = -np.inf) -> Found:
-        """The k rows with the highest inner products, ties to smaller ids; rows with the id `own` take no part, nor need rows that score below `least`."""
+        """The k rows with the highest inner products, ties to smaller ids; rows with the id `own` take no part, nor need rows that score below `least`.
+
+        A score among them that doesn't fit in a long is an error.
+        """
+        values = query.astype(np.float64)
+        if float(values @ values) < NARROW:
+            found = self._search(query, k, own, least)
+            if not len(self.wide_ids):
+                return found
+        else:
+            others = self.ids != own
+            found = Found(self.ids[others], _whole(self.vectors[others]) @ _whole(query) if self.vectors.shape[1] else np.zeros(others.sum(), np.int64), 0, int(others.sum()))
+        others = self.wide_ids != own
+        pairs = [*zip(found.scores.tolist(), found.ids.tolist(), strict=True), *zip(self.wide[others] @ _whole(query), self.wide_ids[others].tolist(), strict=True)]
+        best = sorted(pairs, key=lambda p: (-p[0], p[1]))[:k]
+        for score, row in best:
+            if not -(1 << 63) <= score < 1 << 63:
+                raise OverflowError(f"the inner product of query {own} and row {row} does not fit in a long")
+        return Found(np.array([i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64), found.read, found.rescored + int(others.sum()))
+
+    def _search(self, query: np.ndarray, k: int, own: int, least: float) -> Found:
         n, dims = self.vectors.shape
         conf, q = self.conf, query.astype(np.int64)
         weight = q.astype(np.float64)
@@ -133,12 +168,14 @@ def top_k(rows: DataFrame, queries: DataFrame, conf: TopK = TopK()) -> DataFrame
 
     A query's own id takes no part among its rows. Ties go to the smaller id; fewer rows than k give fewer. Rows that
     repeat an id are each ranked; repeated queries give one result. Null ids or vectors take no part. Vectors of different
-    lengths have no inner product: a query is answered from the rows of its own length. Empty tables give no rows;
+    lengths have no inner product: a query is answered from the rows of its own length. Vectors may be doubles that are whole
+    numbers. Of any size: only a score among the k best that leaves the long is an error. Empty tables give no rows;
     other columns don't matter.
     """
     spark = rows.sparkSession
     ship(spark)
-    fine = lambda df: df.filter("vec_id is not null and vector is not null").select("vec_id", F.col("vector").cast("array<long>").alias("vector"))
+    kind = "array<double>" if any("double" in dict(df.dtypes)["vector"] for df in (rows, queries)) else "array<long>"
+    fine = lambda df: df.filter("vec_id is not null and vector is not null").select("vec_id", F.col("vector").cast(kind).alias("vector"))
     rows, queries = fine(rows), fine(queries)
     n_rows, n_queries = rows.count(), queries.count()
     row_blocks, query_blocks = -(-n_rows // conf.row_block) or 1, -(-n_queries // conf.query_block) or 1
@@ -190,14 +227,11 @@ def top_k(rows: DataFrame, queries: DataFrame, conf: TopK = TopK()) -> DataFrame
 
 
 def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id, vector: floor(scale * x) of each component. Vectors that are null or hold null or non-finite components are left out.
-
-    So are those of a norm from 2**31 on after scaling, whose scores may not fit in a long.
-    """
-    x = F.transform(F.col(vector_col).cast("array<double>"), lambda v: F.floor(v * scale).cast("double"))
-    fine = F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    norm = F.aggregate(F.transform(F.col(vector_col).cast("array<double>"), lambda v: F.pow(v * scale, F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)
-    return embeddings.filter(fine & F.col(id_col).isNotNull() & (norm < 2.0**62)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast("long")).alias("vector"))
+    """vec_id, vector: floor(scale * x) of each component, as a double. Vectors that are null or hold null or non-finite components are left out."""
+    x, whole = F.col(vector_col).cast("array<double>"), 2.0**53  # from here on doubles are whole
+    fine = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+    floor = lambda v: F.when(F.abs(v) < whole, F.floor(F.when(F.abs(v) < whole, v)).cast("double")).otherwise(v)
+    return embeddings.filter(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: floor(v * scale)).alias("vector"))
 
 
 def op4_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
