@@ -69,10 +69,23 @@ def record_head(page_id: int | None, url: str | None, digest: str, payload_bytes
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
+#: Digests are told apart by so many numbers, the most that is broadcast of them.
+NUMBERS = 1 << 20
+
+
+def maybe_repeated(pages: DataFrame, again: DataFrame, least_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The pages whose payload surely isn't among the repeated ones, and the others."""
+    number = F.pmod(F.xxhash64("payload_digest", F.lit(3)), F.lit(NUMBERS))
+    marks = F.broadcast(again.select(number.alias("mark")).distinct())
+    here = (number == F.col("mark")) & (F.col("payload_bytes") >= least_bytes)
+    return pages.join(marks, here, "left_anti"), pages.join(marks, here, "left_semi")
+
+
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to. Of equal payloads of at least least_bytes the greatest page_id is written, others refer to it.
 
-    Digests are aggregated before the shuffle; the join on them is one that Spark can split where one payload is most pages'.
+    Digests are aggregated before the shuffle. Pages whose digest has a number that no repeated one has stay where they are; payloads of
+    the others alone are shuffled, to a join that Spark can split where one payload is most pages'.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -80,7 +93,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFra
     again = pages.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     folder = shared_folder(pages.sparkSession)
     again = materialise(again, f"{folder}/repeated")
-    joined = pages.join(again, ["payload_digest", "payload_bytes"], "left")
+    alone, others = maybe_repeated(pages, again, least_bytes)
+    joined = others.join(again, ["payload_digest", "payload_bytes"], "left").unionByName(alone.withColumn("first", F.lit(None).cast("long")))
     refers = F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
 

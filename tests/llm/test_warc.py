@@ -43,6 +43,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (0, "revisit", 3), (2, "revisit", 3), (3, "response", 0), (3, "response", 0)]
 
 
+def test_payloads_of_other_pages_are_not_shuffled(spark):
+    """With automatic broadcast off, only pages that may repeat a payload go through the exchange of the join."""
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(tuple(r) for r in warc.round_trip(df).collect()) == brute(ROWS)
+        pages = df.selectExpr("page_id", "url", "cast(coalesce(html, '') as binary) AS payload").selectExpr("*", "cast(octet_length(payload) as long) AS payload_bytes", "sha1(payload) AS payload_digest")
+        again = pages.filter("payload_bytes >= 1000").groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        alone, others = warc.maybe_repeated(pages, materialise(again, f"{shared_folder(spark)}/again"), 1000)
+        assert sorted(r.page_id for r in alone.collect()) == [3, 4, 5, 6, 10, 11]  # those of 7 and 8 are the same
+        assert sorted(r.page_id for r in others.collect()) == [1, 2, 7, 8, 9]
+        plan = alone._jdf.queryExecution().executedPlan().toString()
+        scan = plan[plan.index("BroadcastHashJoin") :]
+        assert "SortMergeJoin" not in plan and "hashpartitioning(payload" not in scan.split("BroadcastExchange")[0]
+        whole = warc.with_revisits(df)._jdf.queryExecution().executedPlan().toString()
+        assert whole.count("LeftSemi") == 1 and whole.count("LeftAnti") == 1 and whole.count("SortMergeJoin") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_archives_rotate_and_are_whole_streams(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
     folder = shared_folder(spark)
