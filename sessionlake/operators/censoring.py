@@ -13,7 +13,7 @@ from sessionlake.functions.quantiles import with_quantiles
 from sessionlake.operators.sequences import next_gap, with_streak
 
 
-def disengagement_labels(assignments: DataFrame, conf: Config) -> DataFrame:
+def disengagement_labels(assignments: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """For each horizon d whether a session is evaluable, censored or disengaged.
 
     Returned: the next login is within d days. Evaluable: returned, or d days of data follow. Disengaged: evaluable and not
@@ -22,7 +22,7 @@ def disengagement_labels(assignments: DataFrame, conf: Config) -> DataFrame:
     """
     cutoff = assignments.agg(F.max("exit_time").alias("cutoff"))
     df = assignments.crossJoin(F.broadcast(cutoff))  # one row
-    df = with_streak(df, conf.focal_state, "focal_streak").withColumns({"next_gap_days": next_gap(df), "days_to_cutoff": days_between("cutoff", "exit_time"), "is_last": F.col("next_session_id").isNull()}).drop("cutoff")
+    df = with_streak(df, conf.focal_state, "focal_streak", hot).withColumns({"next_gap_days": next_gap(df), "days_to_cutoff": days_between("cutoff", "exit_time"), "is_last": F.col("next_session_id").isNull()}).drop("cutoff")
     out = {}
     for d in conf.horizons:
         back = F.coalesce(F.col("next_gap_days") <= d, F.lit(False))

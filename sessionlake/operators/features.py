@@ -31,13 +31,13 @@ def event_counts(assigned: DataFrame) -> DataFrame:
     return session_events(assigned).groupBy("pid", "session_index").agg(*[F.count_if(table == t).alias(c) for t, c in COUNTS.items()])
 
 
-def session_features(tele: DataFrame) -> DataFrame:
+def session_features(tele: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """A row for each session with 23 columns. Pairing, assignment, counts and gaps share one scan and one exchange by player."""
     table = F.col("event_table")
     mode = F.when(table.isin(*MODE_TABLES), F.nullif("game_mode", F.lit("")))
     span = lambda c, tables: F.max(F.when(table.isin(*tables), c)) - F.min(F.when(table.isin(*tables), c))
     grouped = (
-        session_stream(tele)
+        session_stream(tele, hot)
         .groupBy("pid", "session_index")
         .agg(
             F.min(F.when(F.col("starts"), F.col("event_time"))).alias("login_time"),
@@ -51,7 +51,7 @@ def session_features(tele: DataFrame) -> DataFrame:
     )
     begun = F.col("jobs_started") + F.col("jobs_resumed")
     return (
-        with_session_columns(grouped)
+        with_session_columns(grouped, hot=hot)
         .select(
             "session_id", "pid", "session_index", "login_time", "exit_time", "duration_minutes", "days_since_previous_session", "player_lifetime_days",
             *COUNTS.values(), "progression_gain", "campaign_progression_gain", "primary_game_mode", "mode_diversity", "is_zero_duration", "is_long",

@@ -146,12 +146,12 @@ def log1p0(c: str) -> Column:
     return F.log1p(clip(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 0))
 
 
-def focal_frame(labels: DataFrame, conf: Config) -> DataFrame:
+def focal_frame(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """Focal sessions with exposure before them, recovery within each horizon after them, and the covariates of the curve model.
 
     Exposure is counted over all sessions before focal ones are picked.
     """
-    df = prior_exposure(labels, conf).withColumns({"lifecycle_position": F.col("session_index") / F.col("total_sessions"), "gap_before_days": clip(F.coalesce("days_since_previous_session", F.lit(0.0)), 0), "month": month(F.col("login_time"))})
+    df = prior_exposure(labels, conf, hot).withColumns({"lifecycle_position": F.col("session_index") / F.col("total_sessions"), "gap_before_days": clip(F.coalesce("days_since_previous_session", F.lit(0.0)), 0), "month": month(F.col("login_time"))})
     df = df.withColumns({"log_gap_before_days": F.log1p("gap_before_days"), "log_player_lifetime_days": log1p0("player_lifetime_days"), "log_prior_session_count": log1p0("prior_session_count"), "log_prior_focal_count": log1p0("prior_focal_count")})
     out = {}
     for d in conf.horizons:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sessionlake.config import Config
+from sessionlake.functions import segments
 from sessionlake.functions.columns import days_between, entropy_bits, ratio
 from sessionlake.operators.features import ACTIVITY, total
 
@@ -44,22 +45,21 @@ def in_window(ts: Column, conf: Config) -> Column:
 CARRIED = ("days_since_previous_session", "player_lifetime_days", "job_completion_ratio", "job_exit_ratio", "mode_diversity")
 
 
-def state_assignments(features: DataFrame, states: DataFrame | None, conf: Config, flags: DataFrame | None = None, carry: tuple[str, ...] = CARRIED) -> DataFrame:
+def state_assignments(features: DataFrame, states: DataFrame | None, conf: Config, flags: DataFrame | None = None, carry: tuple[str, ...] = CARRIED, hot: DataFrame | None = None) -> DataFrame:
     """Sessions with their state, its neighbours, flags and the carried features.
 
     states: session_id, state_id, joined by key; without it features has state_id itself. Without flags none is set, unless
-    features has them. The neighbours need no exchange: sessions lie by player already.
+    features has them. The neighbours need no exchange: sessions lie by player already. hot: as for the sessions.
     """
     df = features if states is None else features.join(states, "session_id")
     flag = F.col("is_purchase_anomaly") if "is_purchase_anomaly" in df.columns else F.lit(False)
     if flags is not None:
         df = df.join(flags, "session_id", "left")
         flag = F.coalesce("is_purchase_anomaly", F.lit(False))
+    around = {"prev_state_id": segments.lag(F.col("state_id")), "next_state_id": segments.lead(F.col("state_id")), "next_session_id": segments.lead(F.col("session_id")), "next_login_time": segments.lead(F.col("login_time")), "total_sessions": segments.total(F.lit(1))}
+    df = segments.scan(df, "pid", "login_time", ["session_index"], around, hot)
     return df.select(
-        "session_id", "pid", "session_index", "login_time", "exit_time", "duration_minutes", "state_id",
-        F.lag("state_id").over(in_order()).alias("prev_state_id"), F.lead("state_id").over(in_order()).alias("next_state_id"),
-        F.lead("session_id").over(in_order()).alias("next_session_id"), F.lead("login_time").over(in_order()).alias("next_login_time"),
-        F.count("*").over(by_player()).alias("total_sessions"),
+        "session_id", "pid", "session_index", "login_time", "exit_time", "duration_minutes", "state_id", *around,
         in_window(F.col("login_time"), conf).alias("is_window"), flag.alias("is_purchase_anomaly"), *carry,
     )
 
@@ -76,15 +76,13 @@ def player_ends(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("pid").agg(F.max(F.when(first, F.col("state_id"))).alias("first_state"), F.max(F.when(last, F.col("state_id"))).alias("last_state"), F.max("total_sessions").alias("sessions"))
 
 
-def streak(state: int) -> Column:
-    """The run of `state` up to and with the row, 0 elsewhere. Rows of other states cut runs; see with_streak."""
-    run = F.sum(F.when(F.col("state_id") == state, 1).otherwise(0)).over(Window.partitionBy("pid", "cut").orderBy("session_index"))
-    return F.when(F.col("state_id") == state, run).otherwise(0)
-
-
-def with_streak(df: DataFrame, state: int, name: str) -> DataFrame:
-    cut = F.sum(F.when(F.col("state_id") != state, 1).otherwise(0)).over(in_order())
-    return df.withColumn("cut", cut).withColumn(name, streak(state).cast("long")).drop("cut")
+def with_streak(df: DataFrame, state: int, name: str, hot: DataFrame | None = None) -> DataFrame:
+    """Adds the run of `state` up to and with the session, 0 at other states: such sessions so far, less those up to the last session of another state."""
+    here, other = (F.coalesce(c, F.lit(False)) for c in (F.col("state_id") == state, F.col("state_id") != state))
+    df = segments.scan(df, "pid", "login_time", ["session_index"], {"so far": segments.before(here.cast("int"))}, hot)
+    df = segments.scan(df, "pid", "login_time", ["session_index"], {"cut": segments.last(F.when(other, F.col("so far")))}, hot)
+    run = F.col("so far") + 1 - F.coalesce("cut", F.lit(0))
+    return segments.without_ranges(df).withColumn(name, F.when(here, run).otherwise(0).cast("long")).drop("cut", "so far")
 
 
 def trajectory_positions(assignments: DataFrame, focal: int) -> DataFrame:
@@ -101,16 +99,20 @@ def trajectory_positions(assignments: DataFrame, focal: int) -> DataFrame:
     )
 
 
-def prior_exposure(df: DataFrame, conf: Config) -> DataFrame:
+def prior_exposure(df: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """Prior sessions, prior focal sessions and their share, and focal density of the last w sessions.
 
     The density's denominator counts a session before the first, so the second session of a player divides by 2: it is the
-    lesser of w and the session's position.
+    lesser of w and the session's position. Focal sessions of the last w are those before, less those before the session w back.
     """
     focal = F.when(F.col("state_id") == conf.focal_state, 1).otherwise(0)
-    before = lambda n: F.coalesce(F.sum(focal).over(in_order().rowsBetween(n, -1)), F.lit(0))
+    ahead = lambda df, values: segments.scan(df, "pid", "login_time", ["session_index"], values, hot)
+    out = ahead(df, {"prior_focal_count": segments.before(focal), "rows before": segments.before(F.lit(1))})
+    back = {f"focal {w} back": segments.lag(F.col("prior_focal_count"), w) for w in conf.densities}
+    out = segments.without_ranges(ahead(out, back))
+    recent = {f"density_prev{w}": (F.col("prior_focal_count") - F.coalesce(f"focal {w} back", F.lit(0))) / F.least(F.lit(w), F.col("rows before") + 1) for w in conf.densities}
     prior = F.col("session_index") - 1
-    out = df.withColumns({"prior_session_count": prior, "prior_focal_count": before(Window.unboundedPreceding)} | {f"density_prev{w}": before(-w) / F.least(F.lit(w), F.row_number().over(in_order())) for w in conf.densities})
+    out = out.withColumns({"prior_session_count": prior} | recent).drop("rows before", *back)
     return out.withColumn("prior_focal_share", F.coalesce(ratio(F.col("prior_focal_count"), prior), F.lit(0.0)))
 
 

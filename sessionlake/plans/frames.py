@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.config import Config
+from sessionlake.functions.segments import hot_keys
 from sessionlake.operators import censoring, features, recovery, rigidity, sequences, sessions, transitions
 from sessionlake.sources.files import read_parquet
 from sessionlake.sources.telemetry import telemetry
@@ -24,17 +25,22 @@ class Frames:
     def tele(self) -> DataFrame:
         return telemetry(self.table("events"))
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        """Players of too many events for one task, and where their events are cut. Counts the events when first asked for."""
+        return hot_keys(self.table("events").select(F.col("user_id").cast("string").alias("pid"), F.col("ts").cast("timestamp").alias("event_time")), "pid", "event_time")
+
     @cached_property
     def sessions(self) -> DataFrame:
-        return sessions.pair_sessions(self.tele)
+        return sessions.pair_sessions(self.tele, hot=self.hot)
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return sessions.assign_events(self.tele, self.sessions)
+        return sessions.assign_events(self.tele, self.sessions, self.hot)
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.session_features(self.tele)
+        return features.session_features(self.tele, self.hot)
 
     @cached_property
     def discovery(self) -> DataFrame:
@@ -42,7 +48,7 @@ class Frames:
 
     @cached_property
     def assignments(self) -> DataFrame:
-        return sequences.state_assignments(sequences.with_rule_states(self.features), None, self.conf)
+        return sequences.state_assignments(sequences.with_rule_states(self.features), None, self.conf, hot=self.hot)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -55,7 +61,7 @@ class Frames:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return censoring.disengagement_labels(self.assignments, self.conf)
+        return censoring.disengagement_labels(self.assignments, self.conf, self.hot)
 
     @cached_property
     def origins(self) -> DataFrame:
@@ -63,7 +69,7 @@ class Frames:
 
     @cached_property
     def focal(self) -> DataFrame:
-        return recovery.focal_frame(self.labels, self.conf)
+        return recovery.focal_frame(self.labels, self.conf, self.hot)
 
     @cached_property
     def rolling(self) -> DataFrame:

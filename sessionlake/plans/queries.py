@@ -74,12 +74,12 @@ QUERIES["sessions"] = QUERIES.pop("session_rows")
 
 @query
 def pairing_by_player(f: Frames) -> DataFrame:
-    return sessions.pairing_by_player(f.tele)
+    return sessions.pairing_by_player(f.tele, f.hot)
 
 
 @query
 def pairing_summary(f: Frames) -> DataFrame:
-    return sessions.pairing_summary(f.tele)
+    return sessions.pairing_summary(f.tele, f.hot)
 
 
 @query
