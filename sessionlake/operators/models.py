@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.config import Config
 from sessionlake.functions.columns import clip, month
 from sessionlake.operators.recovery import broad_path, log1p0
-from sessionlake.operators.regression import CURVE_CONTINUOUS, CURVE_CONTROLS, SPLINE, Design, Fit, coefficients, curve, fit_design, linear, logistic, with_spline
+from sessionlake.operators.regression import CURVE_CONTINUOUS, CURVE_CONTROLS, SPLINE, Design, Fit, coefficients, curve, fit_design, fit_designs, linear_many, logistic_many, with_spline
 from sessionlake.operators.rigidity import slope_columns
 from sessionlake.operators.sequences import prior_exposure
+from sessionlake.session import held
+from sessionlake.sources.files import union_by_name
 
 FOCAL_MOVES = ((1, 4), (2, 4), (3, 4))
 DISENGAGEMENT = ("focal_persistence", *[f"state_s{s}" for s in range(1, 5)], *[f"prev_s{s}" for s in range(1, 5)], *[f"s{a}_to_s{b}" for a, b in FOCAL_MOVES], "first_session", "log_duration_minutes", "log_gap_days", "log_player_lifetime_days", "log_prior_session_count", "log_prior_focal_count", "completion_ratio", "exit_ratio", "mode_diversity", "is_window", "is_purchase_anomaly")
@@ -66,18 +71,31 @@ def sample(frame: DataFrame, d: int, leave_out: bool) -> DataFrame:
     return df.filter(~F.col("is_window")) if leave_out else df
 
 
+def _together(rows: DataFrame, designs: dict[str, Design], outcomes: dict[str, str], cluster: str, model: str) -> DataFrame:
+    """model, y, cluster, x of rows that name their model, each by its own design."""
+    longest = max(len(d.names) for d in designs.values())
+    y = x = F.lit(None)
+    for name, d in designs.items():
+        here = F.col(model) == name
+        y, x = F.when(here, F.col(outcomes[name]).cast("double")).otherwise(y), F.when(here, d.vector(longest)).otherwise(x)
+    return rows.filter(F.col(model).isin(*designs)).select(F.col(model).alias("model"), y.alias("y"), F.col(cluster).cast("string").alias("cluster"), x.alias("x"))
+
+
 def fit_family(frame: DataFrame, conf: Config, terms: tuple[str, ...], continuous: tuple[str, ...], outcome: str = "disengaged_{d}d") -> DataFrame:
-    """Coefficients of the family's logistic models, clustered by player."""
-    parts = []
-    for name, d, leave_out in analyses(conf):
-        df = sample(frame, d, leave_out)
-        y = outcome.format(d=d)
-        design = fit_design(df, terms, continuous, ["month"])
-        parts.append(coefficients(frame, design.names, logistic(design.rows(df, y, "pid"), len(design.names)), name))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Coefficients of the family's logistic models, clustered by player. A session is a row for each analysis it belongs to; all models are fitted together."""
+    inside = F.array(*[F.when(F.col(f"evaluable_{d}d") & (~F.col("is_window") if leave_out else F.lit(True)), F.lit(name)) for name, d, leave_out in analyses(conf)])
+    outcomes = {name: outcome.format(d=d) for name, d, _ in analyses(conf)}
+    needed = list(dict.fromkeys(["pid", "month", *terms, *outcomes.values()]))
+    rows = frame.select(F.explode(F.filter(inside, lambda a: a.isNotNull())).alias("analysis"), *needed)
+    with held(rows) as rows:
+        designs = fit_designs(rows, "analysis", terms, continuous, ["month"])
+        fits = logistic_many(_together(rows, designs, outcomes, "pid", "analysis"), {name: len(d.names) for name, d in designs.items()}) if designs else {}
+    return _all_coefficients(frame, {name: (designs[name].names, fits[name]) for name, *_ in analyses(conf) if name in fits})
+
+
+def _all_coefficients(frame: DataFrame, fits: dict[str, tuple[list[str], Fit]]) -> DataFrame:
+    parts = [coefficients(frame, names, fit, name) for name, (names, fit) in fits.items()] or [coefficients(frame, [], Fit(np.zeros(0), np.zeros((0, 0)), 0), "")]
+    return union_by_name(parts)
 
 
 def threshold_family(focal: DataFrame, best: DataFrame, conf: Config) -> DataFrame:
@@ -91,14 +109,16 @@ def threshold_family(focal: DataFrame, best: DataFrame, conf: Config) -> DataFra
 def curve_models(focal: DataFrame, conf: Config) -> tuple[DataFrame, dict[str, tuple[Design, Fit]]]:
     """The spline and the linear model of recovery at the longest horizon, and their coefficients."""
     d = conf.long_horizon
-    df = with_spline(focal.filter(F.col(f"evaluable_{d}d")))
-    fits, parts = {}, []
-    for name, density in (("spline", SPLINE), ("linear", SPLINE[:1])):
-        design = fit_design(df, (*density, *CURVE_CONTROLS), CURVE_CONTINUOUS, ["month"])
-        fit = logistic(design.rows(df, f"recovered_{d}d", "pid"), len(design.names), max_iter=100)
-        fits[name] = design, fit
-        parts.append(coefficients(focal, design.names, fit, name))
-    return parts[0].unionByName(parts[1]), fits
+    kinds = {"spline": SPLINE, "linear": SPLINE[:1]}
+    terms = (*SPLINE, *CURVE_CONTROLS)
+    df = with_spline(focal.filter(F.col(f"evaluable_{d}d"))).select("pid", "month", *terms, f"recovered_{d}d")
+    with held(df) as df:
+        whole = fit_design(df, terms, CURVE_CONTINUOUS, ["month"])
+        designs = {name: replace(whole, terms=tuple(c for c in whole.terms if c not in SPLINE or c in density)) for name, density in kinds.items()}
+        rows = df.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+        found = logistic_many(_together(rows, designs, dict.fromkeys(kinds, f"recovered_{d}d"), "pid", "kind"), {name: len(d.names) for name, d in designs.items()}, max_iter=100)
+    fits = {name: (designs[name], found[name]) for name in kinds}
+    return _all_coefficients(focal, {name: (design.names, fit) for name, (design, fit) in fits.items()}), fits
 
 
 def recovery_curve(focal: DataFrame, conf: Config, at_month: str | None = None) -> DataFrame:
@@ -108,10 +128,10 @@ def recovery_curve(focal: DataFrame, conf: Config, at_month: str | None = None)
 
 def narrowing_models(matched: DataFrame, conf: Config) -> DataFrame:
     """Each slope of matched cases and controls on being a case, clustered by match."""
-    df = matched.withColumn("match", F.concat_ws("|", "match_stratum", "number")).cache()
-    design = fit_design(df, NARROWING, NARROWING[1:], ["month", "state_id"])
-    parts = [coefficients(matched, design.names, linear(design.rows(df, c, "match"), len(design.names)), c) for c in slope_columns(conf)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    slopes = slope_columns(conf)
+    df = matched.select(F.concat_ws("|", "match_stratum", "number").alias("match"), "month", "state_id", *NARROWING, *slopes)
+    with held(df) as df:
+        design = fit_design(df, NARROWING, NARROWING[1:], ["month", "state_id"])
+        rows = df.select("*", F.explode(F.array(*map(F.lit, slopes))).alias("slope"))
+        found = linear_many(_together(rows, dict.fromkeys(slopes, design), {c: c for c in slopes}, "match", "slope"), dict.fromkeys(slopes, len(design.names)))
+    return _all_coefficients(matched, {c: (design.names, found[c]) for c in slopes})

@@ -779,32 +779,33 @@ def model_samples(f: Frames) -> DataFrame:
 
 @query
 def disengagement_models(f: Frames) -> DataFrame:
-    return models.fit_family(models.disengagement_frame(f.labels, f.conf).cache(), f.conf, models.DISENGAGEMENT, models.DISENGAGEMENT_CONTINUOUS)
+    return models.fit_family(models.disengagement_frame(f.labels, f.conf), f.conf, models.DISENGAGEMENT, models.DISENGAGEMENT_CONTINUOUS)
 
 
 @query
 def path_models(f: Frames) -> DataFrame:
-    return models.fit_family(models.path_frame(f.labels, f.conf).cache(), f.conf, models.PATH, models.PATH_CONTINUOUS)
+    return models.fit_family(models.path_frame(f.labels, f.conf), f.conf, models.PATH, models.PATH_CONTINUOUS)
 
 
 @query
 def threshold_models(f: Frames) -> DataFrame:
-    focal = f.focal.cache()
-    best = recovery.best_thresholds(recovery.threshold_scan(recovery.scan_rows(focal, f.conf, f.conf.long_horizon), f.conf))
-    return models.threshold_family(focal, best, f.conf)
+    with held(f.focal) as focal:
+        best = recovery.best_thresholds(recovery.threshold_scan(recovery.scan_rows(focal, f.conf, f.conf.long_horizon), f.conf))
+        return models.threshold_family(focal, best, f.conf)
 
 
 @query
 def curve_models(f: Frames) -> DataFrame:
-    return models.curve_models(f.focal.cache(), f.conf)[0]
+    return models.curve_models(f.focal, f.conf)[0]
 
 
 @query
 def recovery_curve(f: Frames) -> DataFrame:
-    return models.recovery_curve(f.focal.cache(), f.conf)
+    with held(f.focal) as focal:
+        return models.recovery_curve(focal, f.conf)
 
 
 @query
 def narrowing_models(f: Frames) -> DataFrame:
-    frame = f.anchor_frame.cache()
-    return models.narrowing_models(rigidity.matched_rows(frame, rigidity.greedy_matches(frame)), f.conf)
+    with held(f.anchor_frame) as frame:
+        return models.narrowing_models(rigidity.matched_rows(frame, rigidity.greedy_matches(frame)), f.conf)

@@ -152,3 +152,35 @@ def test_normal_p():
     assert rigidity.normal_p(1.959963984540054) == pytest.approx(0.05)
     assert rigidity.normal_p(None) is None
     assert rigidity.normal_p(math.inf) is None
+
+
+def test_models_of_a_family_share_their_steps(spark, monkeypatch):
+    """As many scans as the slowest model has steps, and one for the errors; each model's fit is its own."""
+    rng = np.random.default_rng(12)
+    parts, want = [], {}
+    for m, (p, slope) in {"slow": (3, 4.0), "quick": (2, 0.1), "none": (1, 0.0)}.items():
+        x = np.column_stack([np.ones(200), rng.normal(size=(200, 2))])[:, :p]
+        y = (rng.random(200) < 1 / (1 + np.exp(-(x @ np.array([0.1, slope, slope])[:p])))).astype(float)
+        g = rng.integers(0, 30, 200)
+        want[m] = p, numpy_logistic(x, y, g)
+        parts += [(m, float(a), str(c), [*map(float, b), *[0.0] * (3 - p)]) for a, c, b in zip(y, g, x, strict=True)]
+    df = spark.createDataFrame(parts, "model string, y double, cluster string, x array<double>")
+    scans, grams = [], regression._grams
+    monkeypatch.setattr(regression, "_grams", lambda rows, betas, logistic: scans.append(set(betas)) or grams(rows, betas, logistic))
+    fits = regression.logistic_many(df, {m: p for m, (p, _) in want.items()})
+    for m, (_, (beta, se)) in want.items():
+        assert fits[m].beta == pytest.approx(beta, abs=1e-8)
+        assert fits[m].se == pytest.approx(se, abs=1e-8)
+    assert len(scans) == max(f.iterations for f in fits.values()) + 1
+    assert [sum(m in s for s in scans) for m in want] == [fits[m].iterations + 1 for m in want]
+    assert fits["slow"].iterations > fits["none"].iterations
+
+
+def test_too_many_levels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(regression, "MOST_LEVELS", 5)
+    df = spark.range(30).selectExpr("id", "id * 1.0 AS u", "'a' AS m", "id % 8 AS level")
+    with pytest.raises(ValueError, match="level has more than 5 levels"):
+        regression.fit_design(df, ["u"], ["u"], ["level"])
+    designs = regression.fit_designs(df.selectExpr("*", "id % 4 AS few", "cast(id % 2 AS string) AS part"), "part", ["u"], ["u"], ["few"])
+    assert {k: d.names for k, d in designs.items()} == {"0": ["intercept", "u", "few_2"], "1": ["intercept", "u", "few_3"]}
+    assert regression.fit_design(df.limit(0), ["u"], ["u"], ["m"]).names == ["intercept"]
