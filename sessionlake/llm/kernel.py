@@ -26,18 +26,35 @@ for _c in range(65, 91):
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i up to n, modulo 2**64; grown when a longer text comes."""
-    have = _powers.get("up")
-    if have is None or len(have) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
+#: Bytes that are hashed at once: a longer text comes in pieces that end between words, and a longer word in pieces too.
+LONG_BYTES = 2 * CHUNK_BYTES
+
+
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i up to LONG_BYTES, modulo 2**64."""
+    if not _powers or len(_powers["up"]) <= LONG_BYTES:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(LONG_BYTES + 1, base, np.uint64)
             steps[0] = 1
             _powers[name] = np.multiply.accumulate(steps)
     return _powers["up"], _powers["down"]
 
 
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of about CHUNK_BYTES that end between words; longer where a word is."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(a + CHUNK_BYTES, n)
+        while b < n:
+            blank = np.flatnonzero(IS_SPACE[data[b : b + 65_536]])
+            if len(blank):
+                b += int(blank[0])
+                break
+            b = min(b + 65_536, n)
+        yield a, b
+        a = b
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -65,14 +82,37 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def _long_hash(word: np.ndarray) -> int:
+    """The hash of one word of any length: sums of its pieces, each times the power that its place has."""
+    _, down = _power_tables()
+    total, place = 0, 1
+    for a in range(0, len(word), CHUNK_BYTES):
+        part = word[a : a + CHUNK_BYTES]
+        total += int((_BYTE[part] * down[: len(part)]).sum(dtype=np.uint64)) * place
+        place = place * pow(_INVERSE, CHUNK_BYTES, 1 << 64) % (1 << 64)
+    return int(mix(np.array([total % (1 << 64)], np.uint64))[0])
+
+
 class Words:
     """The words of some texts: where each begins and ends (bytes), its hash, and each row's first word."""
 
     __slots__ = ("end", "first", "hash", "row0", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, row0: int = 0, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, row0: int = 0):
         self.row0 = row0
-        n, rows = len(data), len(offsets) - 1
+        if len(data) <= LONG_BYTES:
+            self.start, self.end, self.hash = self._found(data, offsets)
+        else:  # one long text
+            found = []
+            for a, b in pieces(data):
+                start, end, h = self._found(data[a:b], np.array([0, b - a]))
+                found.append((start + a, end + a, h))
+            self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.first = np.searchsorted(self.start, offsets)
+
+    @classmethod
+    def _found(cls, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(data)
         inside = ~IS_SPACE[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -81,16 +121,31 @@ class Words:
         edge = offsets[(offsets > 0) & (offsets < n)]
         begins[edge] = inside[edge]
         ends[edge - 1] = inside[edge - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.hash = self.hashes(data, self.start, self.end)
-        self.first = np.searchsorted(self.start, offsets[: rows + 1])
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        return start, end, cls.hashes(data, start, end)
 
     @staticmethod
     def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = _power_tables(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * down[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * up[start])
+        """The hashes of words that begin and end there, in the order of the text."""
+        up, down = _power_tables()
+
+        def near(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * down[: len(part)], out=total[1:])
+            return mix((total[end] - total[start]) * up[start])
+
+        if len(data) <= LONG_BYTES:
+            return near(data, start, end)
+        out, k = np.zeros(len(start), np.uint64), 0
+        while k < len(start):
+            base = int(start[k])
+            j = int(np.searchsorted(end, base + LONG_BYTES, "right"))
+            if j > k:
+                out[k:j] = near(data[base : int(end[j - 1])], start[k:j] - base, end[k:j] - base)
+            else:
+                out[k] = _long_hash(data[base : int(end[k])])
+            k = max(j, k + 1)
+        return out
 
     @property
     def rows(self) -> int:
@@ -117,24 +172,44 @@ _STEPS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that begin at each of the first len - n + 1 words, over row ends too."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    total = hashes[: len(hashes) - n + 1] * _STEPS[0]
-    for k in range(1, n):
-        total += hashes[k : len(hashes) - n + 1 + k] * _STEPS[k]
-    return mix(total + np.uint64(n))
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for a in range(0, len(out), CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, len(out))
+        total = hashes[a:b] * _STEPS[0]
+        for k in range(1, n):
+            total += hashes[a + k : b + k] * _STEPS[k]
+        out[a:b] = mix(total + np.uint64(n))
+    return out
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; the array is sorted in place."""
+    values.sort()
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct hashes of its n-word shingles); fewer words are one shingle, none are an empty set."""
-    for w in words(column):
-        every = grams(w.hash, n)
-        first = w.first
-        for row in range(w.rows):
+    """(row, sorted distinct hashes of its n-word shingles); fewer words are one shingle, none are an empty set.
+
+    A long text takes some 5 bytes for each of its bytes beside itself: its words' hashes and its shingles'.
+    """
+    for row0, _, data, offsets in chunks(column):
+        if len(data) > LONG_BYTES:
+            hashes = np.concatenate([Words._found(data[a:b], np.array([0, b - a]))[2] for a, b in pieces(data)])
+            first = np.array([0, len(hashes)])
+        else:
+            w = Words(data, offsets)
+            hashes, first = w.hash, w.first
+        every = grams(hashes, n)
+        short = hashes[: len(hashes) if len(hashes) < n or len(first) > 2 else 0].copy()
+        del hashes
+        for row in range(len(first) - 1):
             a, b = first[row], first[row + 1]
             if b - a >= n:
-                yield w.row0 + row, np.unique(every[a : b - n + 1])
+                yield row0 + row, _distinct(every[a : b - n + 1])
             elif b > a:
-                yield w.row0 + row, grams(w.hash[a:b], int(b - a))
+                yield row0 + row, grams(short[a:b], int(b - a))
             else:
-                yield w.row0 + row, every[:0]
+                yield row0 + row, every[:0]
