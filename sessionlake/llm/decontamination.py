@@ -45,6 +45,9 @@ class Decontamination:
     block_chars: int = 4_000_000
     #: Windows are made and bounded for about so many hits, and so many words, at a time.
     piece: int = 1_000_000
+    #: Pairs, and words of their windows, that are aligned at a time.
+    pairs: int = 128
+    window_words: int = 500_000
 
     def most_rare(self, docs: int) -> int:
         """In at most so many documents a seed is rare."""
@@ -208,7 +211,9 @@ class Index:
             size = self.sizes[item]
             best: dict[tuple[int, int], tuple] = {}
             order = np.argsort(size * (b - a), kind="stable")
-            for part in np.array_split(order, max(1, len(order) // 128)) if len(order) else []:
+            # Batches of bounded numbers of pairs and of words in their windows: long ones are aligned by themselves.
+            batch = np.arange(len(order)) // conf.pairs + np.cumsum((b - a)[order]) // conf.window_words
+            for part in np.split(order, np.flatnonzero(np.diff(batch)) + 1) if len(order) else []:
                 score, end = self.aligned(w.hash, item[part], a[part], b[part])
                 for x, s, e in zip(part.tolist(), score.tolist(), end.tolist(), strict=True):
                     if s >= conf.least_score * 2 * size[x] and s > best.get((int(row[x]), int(item[x])), (0,))[0]:

@@ -108,7 +108,7 @@ def test_edited_and_half_copies_in_hundreds_of_documents(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute(list(enumerate(texts, 1)), items, 0.4)
     assert {(k, 0) for k in range(1, 301)} | {(k, 1) for k in range(301, 601)} <= expected
-    for conf in (Decontamination(), Decontamination(piece=50)):
+    for conf in (Decontamination(), Decontamination(piece=50), Decontamination(pairs=3, window_words=40)):
         assert {(r.doc_id, r.item_id) for r in find_leaks(frame(spark, texts), bench, conf).collect()} == expected
 
 
