@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake.session import written
+
 #: The range of a row within its key, kept between scans so that they share an exchange; `without_ranges` drops it.
 RANGE = "range of key"
 TASK_ROWS, MOST_HOT = 5_000_000, 4096
@@ -178,3 +180,18 @@ def scan(df: DataFrame, key: str, time: str, order: Sequence[str], values: dict[
             v = F.when(place > s.n, mine).otherwise(far.v)
         made.append(v.alias(name))
     return out.select(*[F.col(f"`{c}`") for c in rest], *made)
+
+
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with each row's place, from 0, in the order of its group, whatever the groups' sizes: a written table, sorted as a whole.
+
+    A row's number in the whole order is that in its task and the rows of the tasks before, a row for each task; its group's first number is
+    taken off. Equal rows may have their places either way.
+    """
+    rows = written(df.orderBy(*groups, *order).withColumn("row id", F.monotonically_increasing_id()))
+    task = F.shiftright("row id", 33)
+    tasks = rows.groupBy(task.alias("task")).agg(F.count("*").alias("rows"))
+    before_task = tasks.select("task", (F.sum("rows").over(Window.orderBy("task")) - F.col("rows")).alias("before task"))  # a row for each task
+    rows = rows.withColumn("task", task).join(F.broadcast(before_task), "task").withColumn("at", F.col("before task") + F.col("row id").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = rows.groupBy(*groups).agg(F.min("at").alias("first at"))
+    return rows.join(first, list(groups)).select(*df.columns, (F.col("at") - F.col("first at")).alias(name))

@@ -6,6 +6,7 @@ import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from sessionlake.config import Config
 from sessionlake.functions.columns import days_between, month, right_closed
 from sessionlake.functions.quantiles import with_quantiles
+from sessionlake.functions.segments import numbered
 from sessionlake.operators.recovery import log1p0
 from sessionlake.operators.sequences import METRICS, prior_exposure, rolling_metrics, rolling_slopes
-from sessionlake.session import ship
+from sessionlake.session import ship, written
 
 DAY_EDGES = (float("-inf"), 1, 3, 7, 14, 30, 60, 90, float("inf"))
 DAY_LABELS = ("0-1d", "1-3d", "3-7d", "7-14d", "14-30d", "30-60d", "60-90d", "90d+")
@@ -117,16 +119,89 @@ def slope_columns(conf: Config) -> list[str]:
 MATCHES = "stratum string, number long, case_pid string, case_session_id string, control_pid string, control_session_id string, case_index long, control_index long"
 
 
-def greedy_matches(frame: DataFrame) -> DataFrame:
+MATCH_BLOCK = 200_000
+
+
+def greedy_matches(frame: DataFrame, block: int = MATCH_BLOCK) -> DataFrame:
     """One-to-one matches without replacement within each stratum, in the order of index, player and session.
 
-    A case takes the next control; one of the same player is passed over and used up. The order decides, so a stratum is one
-    task's work, read once in order: the k-th case comes before the k-th control, and cases that wait for a control are all
+    A case takes the next control; one of the same player is passed over and used up. Strata of at most `block` sessions are
+    streamed, a stratum in a task; where there is a larger one, controls are matched in blocks (`block_matches`). The frame's matched
+    sessions are written when the plan is built.
+    """
+    slim = written(frame.filter("terminal_case is not null").select("stratum", "terminal_case", "pid", "session_id", F.col("session_index").cast("long").alias("session_index")))
+    largest = slim.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return stream_matches(slim) if largest <= block else block_matches(slim, block)
+
+
+def block_matches(slim: DataFrame, block: int = MATCH_BLOCK) -> DataFrame:
+    """The matches of `stream_matches`, with the controls of a stratum dealt in blocks.
+
+    Control j meets case j - s, where s is how many controls were passed over before. It is passed over where that case is its player's,
+    that is where s is one of the control's gaps: its place less that of a case of the same player. So a block of controls maps the s that it
+    begins with to the one that it ends with, and changes only those among its gaps. All blocks' maps are made side by side; one pass over
+    these numbers, in the blocks' order, gives each block its s; then all blocks are matched side by side.
+    """
+    ship(slim.sparkSession)
+    rows = written(numbered(slim, ["stratum", "terminal_case"], ["session_index", "pid", "session_id"], "at"))
+    cases, controls = (rows.filter(F.col("terminal_case") == k).drop("terminal_case") for k in (1, 0))
+    own = cases.select("stratum", "pid", F.col("at").alias("case_at"))
+    gaps = controls.join(own, ["stratum", "pid"]).select("stratum", "at", (F.col("at") - F.col("case_at")).alias("gap")).filter("gap >= 0")
+    gaps = written(gaps.groupBy("stratum", "at").agg(F.collect_set("gap").alias("gaps")).withColumn("block", F.floor(F.col("at") / block)))  # the cases of one player
+
+    def changes(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        to: dict[int, int] = {}
+        for found in part.sort_values("at", ascending=False)["gaps"]:
+            to |= {s: to.get(s + 1, s + 1) for s in map(int, found)}
+        return pd.DataFrame({"stratum": key[0], "block": key[1], "s": list(to.keys()), "to": list(to.values())})
+
+    maps = gaps.groupBy("stratum", "block").applyInPandas(changes, "stratum string, block long, s long, to long")
+    every = controls.select("stratum", F.floor(F.col("at") / block).alias("block")).distinct().select("*", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("to"))
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, now, after = None, 0, 0
+        for part in parts:
+            out = []
+            for stratum, number, s, to in part.itertuples(index=False):
+                if here is None or here[0] != stratum:
+                    now = after = 0
+                elif here[1] != number:
+                    now = after
+                if here != (stratum, number):
+                    here = stratum, number
+                    out.append((stratum, number, now))
+                if s == now:
+                    after = int(to)
+            yield pd.DataFrame(out, columns=["stratum", "block", "begin"])
+
+    ordered = maps.unionByName(every).repartition("stratum").sortWithinPartitions("stratum", "block", F.asc_nulls_first("s"))
+    begin = written(ordered.mapInPandas(walk, "stratum string, block long, begin long"))
+
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        s, at, met = int(part["begin"].iloc[0]), [], []
+        for j, found in zip(part["at"].tolist(), part["gaps"], strict=True):
+            if found is not None and s in found:
+                s += 1
+            else:
+                at.append(j)
+                met.append(j - s)
+        return pd.DataFrame({"stratum": key[0], "at": at, "case_at": met})
+
+    places = controls.select("stratum", "at", F.floor(F.col("at") / block).alias("block")).join(gaps.drop("block"), ["stratum", "at"], "left").join(begin, ["stratum", "block"])
+    met = places.groupBy("stratum", "block").applyInPandas(meet, "stratum string, at long, case_at long")
+    side = lambda df, name, at: df.select("stratum", F.col("at").alias(at), *[F.col(c).alias(f"{name}_{c.removeprefix('session_') if c == 'session_index' else c}") for c in ("pid", "session_id", "session_index")])
+    out = met.join(side(cases, "case", "case_at"), ["stratum", "case_at"]).join(side(controls, "control", "at"), ["stratum", "at"])
+    return out.select("stratum", (F.col("case_at") + 1).alias("number"), *[c.split()[0] for c in MATCHES.split(", ")[2:]])
+
+
+def stream_matches(slim: DataFrame) -> DataFrame:
+    """A stratum is one task's work, read once in order: the k-th case comes before the k-th control, and cases that wait for a control are all
     that is held, as many as controls were passed over; cases behind the last control aren't.
     """
-    ship(frame.sparkSession)
+    ship(slim.sparkSession)
     w = Window.partitionBy("stratum", "terminal_case").orderBy("session_index", "pid", "session_id")
-    slim = frame.filter("terminal_case is not null").select("stratum", "terminal_case", "pid", "session_id", F.col("session_index").cast("long").alias("session_index")).repartition("stratum")
+    slim = slim.repartition("stratum")
     ordered = slim.withColumn("number", F.row_number().over(w)).sortWithinPartitions("stratum", "number", F.desc("terminal_case")).drop("number")
     names = [c.split()[0] for c in MATCHES.split(", ")]
 

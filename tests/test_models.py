@@ -129,6 +129,8 @@ def test_matching_is_the_plain_rule(spark):
     frame = spark.createDataFrame(rows, "stratum string, terminal_case int, pid string, session_id string, session_index long")
     assert sorted(tuple(r) for r in rigidity.greedy_matches(frame).collect()) == sorted(want)
     assert rigidity.greedy_matches(frame.limit(0)).collect() == []
+    for block in (1, 4, 7, 40):  # a stratum in many tasks, the same pairs
+        assert sorted(tuple(r) for r in rigidity.block_matches(frame.filter("terminal_case is not null"), block).collect()) == sorted(want)
 
 
 def test_p_value_by_columns(spark):
