@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.kernel import IS_SPACE, Words, _power_tables, chunks, grams, mix
+from sessionlake.llm.kernel import IS_SPACE, LONG_BYTES, Words, _power_tables, chunks, grams, mix, pieces
 from sessionlake.llm.learning import held_out, labelled_sample, train
 from sessionlake.llm.shared import columns, unused
 from sessionlake.session import ship
@@ -49,29 +49,32 @@ _CLASS[128:] = 97
 _SHAPE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _shapes(data: np.ndarray, w: Words, most: int) -> np.ndarray:
+def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
     """A hash of each word's runs of character classes."""
+    if len(data) > LONG_BYTES and (parts := [p for p in pieces(data)])[1:]:
+        cut = [0, *np.searchsorted(start, [b for _, b in parts]).tolist()]
+        return np.concatenate([_shapes(data[a:b], start[i:j] - a, end[i:j] - a, most) for (a, b), i, j in zip(parts, cut, cut[1:], strict=False)])
     kind = _CLASS[data]
     new = np.ones(len(data), bool)
     new[1:] = kind[1:] != kind[:-1]
-    new[w.start] = True
-    up, _ = _power_tables(most)
+    new[start] = True
+    up, _ = _power_tables()
     # A run's place within its word, from how many runs began before the word's own first.
     runs = np.cumsum(new)
     place = np.zeros(len(data), np.int64)
-    word = np.cumsum(np.bincount(w.start, minlength=len(data))[: len(data)]) - 1 if len(w.start) else place
-    if len(w.start):
-        place = np.minimum(runs - runs[w.start][np.maximum(word, 0)], most - 1)
+    word = np.cumsum(np.bincount(start, minlength=len(data))[: len(data)]) - 1 if len(start) else place
+    if len(start):
+        place = np.minimum(runs - runs[start][np.maximum(word, 0)], most - 1)
         place[place < 0] = 0
     value = np.where(new & ~IS_SPACE[data], _SHAPE[kind] * up[place], np.uint64(0))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    return mix(total[w.end] - total[w.start])
+    return mix(total[end] - total[start])
 
 
 def features(data: np.ndarray, offsets: np.ndarray, conf: Ftrl) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind: buckets of all n-grams, and the first n-gram of each row (rows + 1 numbers)."""
     w = Words(data, offsets)
-    shapes = _shapes(data, w, conf.runs)
+    shapes = _shapes(data, w.start, w.end, conf.runs)
     again = np.zeros(len(w.hash), np.uint64)
     again[1:] = w.hash[1:] == w.hash[:-1]
     shift = np.uint64(64 - conf.bits)

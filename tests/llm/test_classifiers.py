@@ -103,6 +103,20 @@ def test_dot_products_are_those_of_the_training_rows():
     assert fast == pytest.approx(slow, abs=1e-4)
 
 
+def test_shapes_of_long_texts_come_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = [sentence(rng, 800) + " A1-b2 " + "Zz9" * 200 + " end", "x" * 5000, "  \n" * 300 + "tail"]
+    conf = quality.Ftrl()
+
+    def every():
+        return [[(b.tolist(), f.tolist()) for b, f in quality.features(*kernel.utf8(pa.array([t])), conf)] for t in texts]
+
+    want = every()
+    monkeypatch.setattr(kernel, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(quality, "LONG_BYTES", 128)
+    assert every() == want
+
+
 def test_ftrl_separates():
     conf = quality.Ftrl(bits=12)
     rng = random.Random(4)
