@@ -25,8 +25,8 @@ PATH_CONTINUOUS = PATH[1:-1]
 NARROWING = ("terminal_case", "log_session_index", "log_player_lifetime_days", "log_prior_session_count", "log_prior_focal_count", "prior_focal_share")
 
 
-def _covariates(labels: DataFrame, conf: Config) -> DataFrame:
-    df = prior_exposure(labels, conf)
+def _covariates(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
+    df = prior_exposure(labels, conf, hot)
     return df.withColumns(
         {
             "month": month(F.col("login_time")),
@@ -42,7 +42,7 @@ def _covariates(labels: DataFrame, conf: Config) -> DataFrame:
     )
 
 
-def disengagement_frame(labels: DataFrame, conf: Config) -> DataFrame:
+def disengagement_frame(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """All sessions with the covariates of the disengagement models; lags and exposure are over all sessions, before any is left out."""
     prev = F.coalesce("prev_state_id", F.lit(-1))
     now = F.col("state_id")
@@ -51,12 +51,12 @@ def disengagement_frame(labels: DataFrame, conf: Config) -> DataFrame:
         out |= {f"state_s{s}": (now == s).cast("int"), f"prev_s{s}": (prev == s).cast("int")}
     for a, b in FOCAL_MOVES:
         out[f"s{a}_to_s{b}"] = ((prev == a) & (now == b)).cast("int")
-    return _covariates(labels, conf).withColumns(out)
+    return _covariates(labels, conf, hot).withColumns(out)
 
 
-def path_frame(labels: DataFrame, conf: Config) -> DataFrame:
+def path_frame(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """Sessions after a focal one that recovered or stayed, with the same covariates."""
-    df = _covariates(labels, conf)
+    df = _covariates(labels, conf, hot)
     keep = (F.col("prev_state_id") == conf.focal_state) & F.col("state_id").isin(*conf.recovery_states, conf.focal_state)
     return df.filter(keep).withColumns({"recovery_path": F.col("state_id").isin(*conf.recovery_states).cast("int"), "path_label": broad_path(F.col("state_id"), conf)})
 

@@ -92,14 +92,14 @@ def player_slopes(long: DataFrame) -> DataFrame:
 INDEX_EDGES, INDEX_LABELS = (0, 5, 10, 20, 50, 100, float("inf")), ("1-5", "6-10", "11-20", "21-50", "51-100", "100+")
 
 
-def anchor_frame(labels: DataFrame, conf: Config) -> DataFrame:
+def anchor_frame(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """Sessions with enough history for slopes, with their slopes, exposure, stratum and role.
 
     Cases are terminal anchors, controls evaluable sessions after which the player returned. Sessions where any slope is null have
     no role. The stratum is the month and a bin of the session's index.
     """
     d = conf.long_horizon
-    df = prior_exposure(labels, conf).withColumns({"log_session_index": F.log1p("session_index"), "log_player_lifetime_days": log1p0("player_lifetime_days"), "log_prior_session_count": log1p0("prior_session_count"), "log_prior_focal_count": log1p0("prior_focal_count")})
+    df = prior_exposure(labels, conf, hot).withColumns({"log_session_index": F.log1p("session_index"), "log_player_lifetime_days": log1p0("player_lifetime_days"), "log_prior_session_count": log1p0("prior_session_count"), "log_prior_focal_count": log1p0("prior_focal_count")})
     df = rolling_slopes(rolling_metrics(df, conf), conf)
     slopes = slope_columns(conf)
     full = F.lit(True)

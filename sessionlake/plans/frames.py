@@ -85,7 +85,7 @@ class Frames:
 
     @cached_property
     def anchor_frame(self) -> DataFrame:
-        return rigidity.anchor_frame(self.labels, self.conf)
+        return rigidity.anchor_frame(self.labels, self.conf, hot=self.hot)
 
     @cached_property
     def clustered(self) -> DataFrame:

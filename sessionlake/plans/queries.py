@@ -758,12 +758,12 @@ def purchase_anomalies(f: Frames) -> DataFrame:
 
 @query
 def disengagement_frame(f: Frames) -> DataFrame:
-    return models.disengagement_frame(f.labels, f.conf).select("session_id", "month", *models.DISENGAGEMENT)
+    return models.disengagement_frame(f.labels, f.conf, f.hot).select("session_id", "month", *models.DISENGAGEMENT)
 
 
 @query
 def path_frame(f: Frames) -> DataFrame:
-    return models.path_frame(f.labels, f.conf).select("session_id", "path_label", "month", *models.PATH)
+    return models.path_frame(f.labels, f.conf, f.hot).select("session_id", "path_label", "month", *models.PATH)
 
 
 @query
@@ -773,18 +773,18 @@ def spline_basis(f: Frames) -> DataFrame:
 
 @query
 def model_samples(f: Frames) -> DataFrame:
-    frame = models.disengagement_frame(f.labels, f.conf)
+    frame = models.disengagement_frame(f.labels, f.conf, f.hot)
     return union_by_name([regression.sample_summary(models.sample(frame, d, out), f"disengaged_{d}d", name, F.col("state_id") == FOCAL) for name, d, out in models.analyses(f.conf)])
 
 
 @query
 def disengagement_models(f: Frames) -> DataFrame:
-    return models.fit_family(models.disengagement_frame(f.labels, f.conf), f.conf, models.DISENGAGEMENT, models.DISENGAGEMENT_CONTINUOUS)
+    return models.fit_family(models.disengagement_frame(f.labels, f.conf, f.hot), f.conf, models.DISENGAGEMENT, models.DISENGAGEMENT_CONTINUOUS)
 
 
 @query
 def path_models(f: Frames) -> DataFrame:
-    return models.fit_family(models.path_frame(f.labels, f.conf), f.conf, models.PATH, models.PATH_CONTINUOUS)
+    return models.fit_family(models.path_frame(f.labels, f.conf, f.hot), f.conf, models.PATH, models.PATH_CONTINUOUS)
 
 
 @query
