@@ -14,6 +14,8 @@ from sessionlake.functions.quantiles import ACCURACY, around, between, exact_qua
 from sessionlake.session import written
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+#: A value that more than this part of a ranking's rows have is frequent.
+HEAVY = 512
 SUMMARY = "feature string, non_null long, missing_pct double, zero_pct double, negative_count long, mean double, std double, min double, " + ", ".join(f"{k} double" for k in QUANTILES) + ", max double, top_share_of_sum double, unique_values long"
 
 
@@ -115,6 +117,8 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], id_col: str = "session
     id_col tells rows apart; a table where it doesn't is refused, by the pairs' numbers of rows. A column is ranked once for all partners that are there wherever it is, and once more for each
     other partner. Its distinct values are dealt to ranges by approximate quantiles, so a rank is what earlier ranges hold and
     a running count within one; any ranges give the same ranks. Rows meet pairs only where sums are taken, before the shuffle.
+    Ranks are a written table of distinct values. Those of frequent values (at most HEAVY a ranking) are broadcast, so no value that a
+    column is full of, such as zero, is a join key of very many rows; rows of the other values are joined by key.
     The columns are persisted between the passes; what comes to the driver is a row for each pair and some numbers a column.
     """
     kept = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]).persist()
@@ -128,6 +132,20 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], id_col: str = "session
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, rows long, spearman double, abs_spearman double")
 
 
+def with_ranks(long: DataFrame, ranks: DataFrame, least: dict[int, float]) -> DataFrame:
+    """long (key, value and others) with the rank of each row's value. ranks: key, value, n, rank; least: of each key, the count above which a value is frequent.
+
+    Each key has at most its rows by `least` such values. Their rows meet a broadcast table, the rest a join by key.
+    """
+    bounds = ranks.sparkSession.createDataFrame([(i, float(n)) for i, n in least.items()], "key int, least double")
+    parted = ranks.join(F.broadcast(bounds), "key").withColumn("frequent", F.col("n") > F.col("least"))  # a row for each key
+    frequent = parted.filter("frequent").select("key", "value", F.col("rank").alias("frequent_rank"))
+    rest = parted.filter("not frequent").select("key", "value", "rank")
+    known = long.join(F.broadcast(frequent), ["key", "value"], "left")  # fewer than HEAVY rows for each ranking
+    there = known.filter("frequent_rank is not null").withColumnRenamed("frequent_rank", "rank")
+    return there.unionByName(known.filter("frequent_rank is null").drop("frequent_rank").join(rest, ["key", "value"]))
+
+
 def _spearman(df: DataFrame, columns: Sequence[str], id_col: str, buckets: int) -> tuple[DataFrame, dict[frozenset, int]]:
     """The pairs' rows, and how many rows of df have both of a pair."""
     x = {c: F.col(c) for c in columns}
@@ -151,8 +169,10 @@ def _spearman(df: DataFrame, columns: Sequence[str], id_col: str, buckets: int)
     earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = cells.groupBy("key", "range").agg(F.sum("n").alias("n")).select("key", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     running = F.sum("n").over(Window.partitionBy("key", "range").orderBy("value"))
-    ranks = cells.select("key", "range", "value", (running - (F.col("n") - 1) / 2).alias("rank")).join(F.broadcast(before), ["key", "range"])  # at most `buckets` rows for each ranking
-    ranked = long.join(ranks.select("key", "value", (F.col("before") + F.col("rank")).alias("rank")), ["key", "value"])
+    ranks = cells.select("key", "range", "value", "n", (running - (F.col("n") - 1) / 2).alias("rank")).join(F.broadcast(before), ["key", "range"])  # at most `buckets` rows for each ranking
+    ranks = written(ranks.select("key", "value", "n", (F.col("before") + F.col("rank")).alias("rank")))
+    least = {i: (count[c] if other is None else common[frozenset((c, other))]) / HEAVY for (c, other), i in keys.items()}
+    ranked = with_ranks(long, ranks, least)
     wide = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("key") == i, F.col("rank"))).alias(f"rank{i}") for i in keys.values()])
     # A pair's mean rank is known, so ranks are centred before they are multiplied.
     parts = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), *[(F.col(f"rank{keys[ranking(*p)]}") - (common[frozenset(p)] + 1) / 2).alias(name) for p, name in (((a, b), "x"), ((b, a), "y"))]) for a, b in pairs]

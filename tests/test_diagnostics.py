@@ -5,8 +5,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from sessionlake.operators.diagnostics import QUANTILES, numeric_summary, spearman_pairs
+from sessionlake.operators.diagnostics import HEAVY, QUANTILES, numeric_summary, spearman_pairs, with_ranks
 
 COLUMNS = ["a", "b", "c", "d", "same"]
 
@@ -33,6 +34,28 @@ def test_spearman_is_pandas_rank_correlation(spark, rows, buckets):
             assert r.spearman == pytest.approx(want) and r.abs_spearman == pytest.approx(abs(want))
 
 
+def test_spearman_of_columns_full_of_one_value(spark):
+    """Zeros of 90 % of rows are ranked by a broadcast table: the join by key has no key of many rows, nor a task of many."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    table = pd.DataFrame({"session_id": range(n), "z": np.where(rng.random(n) < 0.9, 0.0, rng.random(n)), "w": np.where(rng.random(n) < 0.9, 0.0, rng.integers(0, 50, n).astype(float)), "u": rng.random(n)})
+    df = spark.createDataFrame(table)
+    got = {(r.feature_a, r.feature_b): r.spearman for r in spearman_pairs(df, ["z", "w", "u"]).collect()}
+    for a, b in combinations(["z", "w", "u"], 2):
+        assert got[a, b] == pytest.approx(table[a].rank().corr(table[b].rank()))
+
+    long = df.selectExpr("session_id", "0 AS key", "z AS value")
+    ranks = long.groupBy("key", "value").agg(F.count("*").alias("n")).withColumn("rank", F.col("value") * 2)
+    ranked = with_ranks(long, ranks, {0: n / HEAVY})
+    assert ranked.count() == n and ranked.filter("rank <> value * 2").count() == 0
+    # The rows that the join by key deals out, in 64 parts: all but the zeros, evenly.
+    frequent = [r.value for r in ranks.filter(F.col("n") > n / HEAVY).collect()]
+    dealt = long.filter(~F.col("value").isin(frequent)).repartition(64, "key", "value").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert frequent == [0.0] and dealt.max() <= 2 * dealt.median()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_spearman_of_nothing(spark, rows):
     df = spark.createDataFrame(rows, "session_id long, a double, b double, c double, d double, same double, key string")
     assert spearman_pairs(df.limit(0), COLUMNS).collect() == []
