@@ -14,7 +14,7 @@ from sessionlake.functions.quantiles import ACCURACY, around, between, exact_qua
 from sessionlake.session import written
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-#: A value that more than this part of a ranking's rows have is frequent.
+#: A value is frequent where it has more than the 512th part of a ranking's rows.
 HEAVY = 512
 SUMMARY = "feature string, non_null long, missing_pct double, zero_pct double, negative_count long, mean double, std double, min double, " + ", ".join(f"{k} double" for k in QUANTILES) + ", max double, top_share_of_sum double, unique_values long"
 

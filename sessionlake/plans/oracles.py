@@ -185,6 +185,7 @@ ORACLES: dict[str, str] = {}
 add("telemetry_rows", f"SELECT event_id, pid, t AS event_time, event_table, game_mode, {r('level_progress')} AS level_progress, {r('campaign_progress')} AS campaign_progress FROM tel")
 ORACLES["json_rows"] = ORACLES["telemetry_rows"]
 add("event_csv_rows", f"SELECT pid, t AS event_time, 'events' AS event_table, event_id::DOUBLE AS event_id, coalesce(game_mode, '') AS game_mode, {r('level_progress')} AS level_progress, {r('campaign_progress')} AS campaign_progress FROM tel")
+add("zip_event_rows", f"SELECT pid, t AS event_time, event_table, event_id::DOUBLE AS event_id, coalesce(game_mode, '') AS game_mode, {r('level_progress')} AS level_progress, {r('campaign_progress')} AS campaign_progress FROM tel")
 add("text_csv_rows", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 add("telemetry_union", f"SELECT event_id, event_table, CASE WHEN event_table = 'job_started' THEN game_mode END AS game_mode, CASE WHEN event_table = 'task_completed' THEN {r('level_progress')} END AS level_progress, CASE WHEN event_table = 'item_purchased' THEN {r('campaign_progress')} END AS campaign_progress FROM tel WHERE event_table IN ('job_started', 'task_completed', 'item_purchased')")
 add("sessions", f"SELECT session_id, pid, session_index, login AS login_time, exit_ AS exit_time, {r('duration_seconds')} AS duration_seconds, {r('duration_minutes')} AS duration_minutes, {r('days_since_previous_session')} AS days_since_previous_session, {r('player_lifetime_days')} AS player_lifetime_days, is_zero_duration, is_long FROM sess")

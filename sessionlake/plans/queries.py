@@ -12,7 +12,8 @@ from sessionlake.functions.columns import rounded
 from sessionlake.operators import audit, censoring, clusters, diagnostics, features, models, recovery, regression, rigidity, sequences, sessions, starts, transitions
 from sessionlake.plans.frames import Frames
 from sessionlake.session import held, shared_folder
-from sessionlake.sources.files import read_event_csv, read_text_csv, union_by_name, write_csv, write_json
+from sessionlake.sources.archives import MEMBER, read_zip_csv, table_of, write_zip_csv
+from sessionlake.sources.files import read_event_csv, read_text_csv, typed_events, union_by_name, write_csv, write_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIELDS = ["game_mode", "level_progress", "campaign_progress"]
@@ -56,6 +57,14 @@ def event_csv_rows(f: Frames) -> DataFrame:
     return read_event_csv(f.spark, folder, "events", ["event_id", "level_progress", "campaign_progress"], ["game_mode"])
 
 
+@query
+def zip_event_rows(f: Frames) -> DataFrame:
+    """All telemetry written as zip archives, a member for each event table, and read in place by the archive source."""
+    folder, numbers = shared_folder(f.spark), ["event_id", "level_progress", "campaign_progress"]
+    write_zip_csv(f.tele.select("event_table", "pid", F.col("event_time").cast("string").alias("Time_utc"), "game_mode", *numbers), folder, "event_table")
+    return typed_events(read_zip_csv(f.spark, folder, ["pid", "Time_utc", "game_mode", *numbers]), table_of(F.col(MEMBER)), numbers, ["game_mode"])
+
+
 @query
 def json_rows(f: Frames) -> DataFrame:
     """All telemetry written as JSON and read back by its schema."""

@@ -1,10 +1,9 @@
-"""Paths, archives of CSV members, typed CSV scans, and small sinks."""
+"""Paths, typed CSV scans, and small sinks. Archives are in `archives`."""
 
 from __future__ import annotations
 
 import json
 import os
-import zipfile
 from collections.abc import Iterable, Sequence
 from pathlib import Path
 
@@ -23,26 +22,6 @@ def resolve_path(explicit: str | None, variable: str, default: str, what: str, m
     return path
 
 
-def csv_members(archive: str, below: str = "data/") -> list[str]:
-    """The archive's CSV members below a folder, sorted."""
-    with zipfile.ZipFile(archive) as z:
-        return sorted(n for n in z.namelist() if n.startswith(below) and n.lower().endswith(".csv"))
-
-
-def unpack_members(archive: str, folder: str, below: str = "data/") -> dict[str, str]:
-    """Unpacks CSV members flat into a folder that executors see; gives table names and paths. Spark can't split a zip, so this is once."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    out = {}
-    with zipfile.ZipFile(archive) as z:
-        for name in csv_members(archive, below):
-            target = Path(folder, Path(name).name)
-            with z.open(name) as source, target.open("wb") as sink:
-                while part := source.read(1 << 20):
-                    sink.write(part)
-            out[target.stem] = str(target)
-    return out
-
-
 def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every column as text, empty cells as empty texts, a byte order mark dropped."""
     df = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\x00").option("emptyValue", "").csv(path)
@@ -52,8 +31,12 @@ def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_event_csv(spark: SparkSession, path: str | list[str], table: str, numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
     """pid, event_time, event_table and the asked columns; rows without a pid or a valid time are dropped, bad numbers are null."""
-    raw = read_text_csv(spark, path)
-    keep: list[Column] = [F.col("pid"), F.try_to_timestamp("Time_utc").alias("event_time"), F.lit(table).alias("event_table")]
+    return typed_events(read_text_csv(spark, path), F.lit(table), numbers, texts)
+
+
+def typed_events(raw: DataFrame, table: Column, numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
+    """What `read_event_csv` gives, of a table of texts; table: the event table of a row."""
+    keep: list[Column] = [F.col("pid"), F.try_to_timestamp("Time_utc").alias("event_time"), table.alias("event_table")]
     keep += [F.col(c) if c in raw.columns else F.lit("").alias(c) for c in texts]
     keep += [F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) if c in raw.columns else F.lit(None).cast("double").alias(c) for c in numbers]
     return raw.select(*keep).filter((F.col("pid") != "") & F.col("event_time").isNotNull())

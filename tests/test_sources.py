@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import zipfile
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from sessionlake.sources import files
+from sessionlake.sources import archives, files
 
 
 def test_paths(tmp_path, monkeypatch):
@@ -17,16 +19,40 @@ def test_paths(tmp_path, monkeypatch):
 
 
 def test_zip_to_events(spark, tmp_path):
+    """Members are read in place; equal file names in two folders stay apart; marks, ragged records, quotes and empty members have defined results."""
     archive = tmp_path / "a.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        z.writestr("data/job_started.csv", "﻿pid,Time_utc,CurrentGameMode,Level\np1,2024-01-01 00:00:00,Career,1.5\n,2024-01-01 00:00:00,,\np2,bad,,\np3,2024-01-02 00:00:00,,x\n")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("data/job_started.csv", "\ufeffpid,Time_utc,CurrentGameMode,Level\np1,2024-01-01 00:00:00,Career,1.5\n,2024-01-01 00:00:00,,\np2,bad,,\np3,2024-01-02 00:00:00,,x\n")
+        z.writestr("data/old/job_started.csv", 'pid,CurrentGameMode,Time_utc\n\n"p,4","a ""b""\nc",2024-01-03 00:00:00,beyond,the header\np5\n')
+        z.writestr("data/empty.csv", "")
         z.writestr("readme.csv", "x")
         z.writestr("data/notes.txt", "x")
-    assert files.csv_members(str(archive)) == ["data/job_started.csv"]
-    found = files.unpack_members(str(archive), str(tmp_path / "out"))
-    df = files.read_event_csv(spark, found["job_started"], "job_started", ["Level", "Absent"], ["CurrentGameMode"])
+    assert [m for _, m in archives.csv_members(str(archive))] == ["data/empty.csv", "data/job_started.csv", "data/old/job_started.csv"]
+    raw = archives.read_zip_csv(spark, str(archive), ["pid", "Time_utc", "CurrentGameMode", "Level"])
+    assert raw.rdd.getNumPartitions() == 3
+    assert sorted((r.member, r.pid, r.CurrentGameMode, r.Level) for r in raw.filter("member like '%old%'").collect()) == [("data/old/job_started.csv", "p,4", 'a "b"\nc', ""), ("data/old/job_started.csv", "p5", "", "")]
+    df = files.typed_events(raw, archives.table_of(F.col("member")), ["Level", "Absent"], ["CurrentGameMode"])
     rows = sorted((r.pid, r.event_table, r.CurrentGameMode, r.Level, r.Absent) for r in df.collect())
-    assert rows == [("p1", "job_started", "Career", 1.5, None), ("p3", "job_started", "", None, None)]
+    assert rows == [("p,4", "job_started", 'a "b"\nc', None, None), ("p1", "job_started", "Career", 1.5, None), ("p3", "job_started", "", None, None)]
+
+
+def test_archives_are_written_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "z")
+    df = spark.range(1000).selectExpr("concat('t', id % 3) AS kind", "id", "if(id % 7 = 0, null, concat('a,\"\n', id)) AS text").repartition(4)
+    archives.write_zip_csv(df, f"file://{folder}", "kind")
+    assert len(list((tmp_path / "z").iterdir())) == 4
+    got = archives.read_zip_csv(spark, f"file:{folder}", ["id", "text", "absent"])
+    assert got.rdd.getNumPartitions() == 12
+    assert Counter((r.member, int(r.id), r.text, r.absent) for r in got.collect()) == Counter((f"data/{r.kind}.csv", r.id, r.text or "", "") for r in df.collect())
+    failing = df.withColumn("kind", F.when(F.col("id") != 500, F.col("kind")))
+    with pytest.raises(Exception, match="has no name"):
+        archives.write_zip_csv(failing, folder, "kind")
+    assert len(list((tmp_path / "z").iterdir())) == 4
+    archives.write_zip_csv(df.limit(0), str(tmp_path / "e"), "kind")
+    (tmp_path / "e").mkdir(exist_ok=True)
+    assert archives.read_zip_csv(spark, str(tmp_path / "e"), ["id"]).count() == 0
+    with pytest.raises(Exception, match="other types"):
+        spark.read.format("zip_csv").schema("id long").load(folder).collect()
 
 
 def test_sinks(spark, tmp_path):
