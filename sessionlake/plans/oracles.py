@@ -285,6 +285,10 @@ add("risk_by_state", _risk("state_id"))
 add("risk_by_state_pair", _risk("prev_state_id, state_id"))
 _AFTER = f"(SELECT *, {_PAIR} AS transition_pair FROM lng WHERE prev_state_id IS NOT NULL)"
 add("risk_by_transition", _risk("transition_pair", _AFTER))
+ORACLES["sql_risk_by_transition"] = ORACLES["risk_by_transition"]
+add("sql_transition_report", f"""SELECT m.from_state, m.to_state, m.n, {r('m.probability')} AS probability, k.evaluable_sessions, k.risk_pct, w.pct AS pct_of_state FROM mat m
+LEFT JOIN ({_risk('transition_pair', _AFTER)}) k ON k.horizon_days = 7 AND k.transition_pair = 'S' || m.from_state || '->S' || m.to_state
+LEFT JOIN (SELECT state_id, {r('count(*) FILTER (disengaged) * 100.0 / nullif(count(*) FILTER (evaluable), 0)')} AS pct FROM lng WHERE horizon_days = 7 GROUP BY state_id) w ON w.state_id = m.to_state""")
 add("focused_pairs", _risk("transition_pair", _AFTER, "transition_pair IN ('S1->S4', 'S2->S4', 'S4->S1', 'S4->S4')"))
 add("risk_by_streak", _risk("CASE WHEN focal_streak <= 0 THEN 'other' WHEN focal_streak <= 3 THEN 'x' || focal_streak ELSE 'x4plus' END AS streak_bucket"))
 _RATE = "count(*) FILTER (disengaged AND ({c})) * 100.0 / nullif(count(*) FILTER (evaluable AND ({c})), 0)"

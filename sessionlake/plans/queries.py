@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions.columns import rounded
 from sessionlake.operators import audit, censoring, clusters, diagnostics, features, models, recovery, regression, rigidity, sequences, sessions, starts, transitions
 from sessionlake.plans.frames import Frames
+from sessionlake.plans.stages import Stages
 from sessionlake.session import held, shared_folder
 from sessionlake.sources.archives import MEMBER, read_zip_csv, table_of, write_zip_csv
 from sessionlake.sources.files import read_event_csv, read_text_csv, typed_events, union_by_name, write_csv, write_json
@@ -358,6 +359,28 @@ def focused_pairs(f: Frames) -> DataFrame:
     return censoring.risk_by_transition(f.labels, f.conf).filter(F.col("transition_pair").isin("S1->S4", "S2->S4", "S4->S1", "S4->S4"))
 
 
+# ---- Stages under SQL
+
+
+@query
+def sql_risk_by_transition(f: Frames) -> DataFrame:
+    """The risk table by the table function, over the view of labels."""
+    return Stages(f.spark, f.folder, f.conf).sql("SELECT horizon_days, grp AS transition_pair, evaluable_sessions, disengaged_sessions, risk_pct, lift FROM lake_risk('transition')")
+
+
+@query
+def sql_transition_report(f: Frames) -> DataFrame:
+    """Each pair of states: how often it occurs, and the risk that follows it where enough sessions are evaluable, from two views and a table function."""
+    return Stages(f.spark, f.folder, f.conf).sql(
+        """
+        SELECT m.from_state, m.to_state, m.n, m.probability, r.evaluable_sessions, r.risk_pct, w.disengaged_pct AS pct_of_state
+        FROM lake_transition_matrix m
+        LEFT JOIN lake_risk_by_transition r ON r.horizon_days = :days AND r.transition_pair = concat('S', m.from_state, '->S', m.to_state)
+        LEFT JOIN lake_returns_within(:days) w ON w.state_id = m.to_state""",
+        days=f.conf.long_horizon,
+    )
+
+
 # ---- Recovery
 
 
