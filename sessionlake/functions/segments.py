@@ -182,6 +182,43 @@ def scan(df: DataFrame, key: str, time: str, order: Sequence[str], values: dict[
     return out.select(*[F.col(f"`{c}`") for c in rest], *made)
 
 
+#: Whether a row is a copy that `with_edges` gave a range from the ranges before it.
+COPY = "copy of key"
+
+
+def with_edges(df: DataFrame, key: str, time: str, order: Sequence[str], back: int, hot: DataFrame | None) -> DataFrame:
+    """df for windows by `range_keys` that look at most `back` rows back: each range of a hot key also has copies of the `back` rows before it.
+
+    `without_edges` drops the copies when the windows are done; what a window gave them is not the key's. Without hot keys df is as it is. Copies
+    are made of `back` rows a range, so their number is bounded as the ranges' is.
+    """
+    if hot is None:
+        return df
+    df = with_ranges(df, key, time, hot)
+    rows = df.join(F.broadcast(hot.select(key)), key, "left_semi")
+    sizes = rows.groupBy(key, RANGE).agg(F.count("*").alias("rows of range"))
+    by_range = Window.partitionBy(key).orderBy(RANGE)  # a row for each range
+    sizes = sizes.withColumns({"number": F.row_number().over(by_range), "rows before": F.sum("rows of range").over(by_range) - F.col("rows of range")})
+    from_end = F.row_number().over(Window.partitionBy(key, RANGE).orderBy(*[F.col(c).desc() for c in order]))
+    ends = rows.withColumn("from end", from_end).filter(F.col("from end") <= back).join(F.broadcast(sizes), [key, RANGE])
+    place = F.col("rows before") + F.col("rows of range") - F.col("from end")
+    # Each range has a row at least, so none beyond the next `back` ranges looks at this one.
+    ends = ends.withColumns({"place": place, "number": F.explode(F.sequence(F.col("number") + 1, F.col("number") + back))})
+    into = sizes.select(key, "number", F.col(RANGE).alias("into"), F.col("rows before").alias("into before"))
+    copies = ends.join(F.broadcast(into), [key, "number"]).filter(F.col("into before") - F.col("place") <= back)
+    copies = copies.select(*[F.col(f"`{c}`") for c in df.columns if c != RANGE], F.col("into").alias(RANGE), F.lit(True).alias(COPY))
+    return df.withColumn(COPY, F.lit(False)).unionByName(copies)
+
+
+def without_edges(df: DataFrame) -> DataFrame:
+    return without_ranges(df.filter(~F.col(COPY)).drop(COPY)) if COPY in df.columns else df
+
+
+def range_keys(df: DataFrame, key: str) -> list[str]:
+    """What windows over df are by: the key, and the range where df has ranges."""
+    return [key, RANGE] if RANGE in df.columns else [key]
+
+
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """df with each row's place, from 0, in the order of its group, whatever the groups' sizes: a written table, sorted as a whole.
 

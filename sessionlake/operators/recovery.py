@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sessionlake.config import Config
 from sessionlake.functions.columns import clip, days_between, month, quantile_bin, ratio
 from sessionlake.functions.quantiles import around, between, values_at, with_quantiles
+from sessionlake.functions.segments import lead, least, scan, without_ranges
 from sessionlake.operators.censoring import by_horizon, capped_gap, recovered_within
-from sessionlake.operators.sequences import by_player, in_order, prior_exposure
+from sessionlake.operators.sequences import by_player, prior_exposure
 from sessionlake.session import written
 
 
@@ -36,11 +37,14 @@ def followup(second: Column, conf: Config) -> Column:
     )
 
 
-def focal_origins(labels: DataFrame, conf: Config) -> DataFrame:
+def focal_origins(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """Focal sessions with the states one to three sessions ahead, their paths, and how far along they are among the player's focal sessions."""
-    ahead = {f"state_plus_{k}": F.lead("state_id", k).over(in_order()) for k in (1, 2, 3)}
-    focal = labels.withColumns(ahead).filter(F.col("state_id") == conf.focal_state)
-    return focal.withColumns({"path_exact": exact_path(F.col("next_state_id"), conf), "path_broad": broad_path(F.col("next_state_id"), conf), "position_in_focal": F.col("session_index") / F.max("session_index").over(by_player())})
+    ahead = {f"state_plus_{k}": lead(F.col("state_id"), k) for k in (1, 2, 3)}
+    focal = F.col("state_id") == conf.focal_state
+    rows = scan(labels, "pid", "login_time", ["session_index"], ahead | {"last focal": least(F.when(focal, -F.col("session_index")))}, hot)
+    rows = without_ranges(rows).filter(focal)
+    paths = {"path_exact": exact_path(F.col("next_state_id"), conf), "path_broad": broad_path(F.col("next_state_id"), conf), "position_in_focal": F.col("session_index") / -F.col("last focal")}
+    return rows.withColumns(paths).drop("last focal")
 
 
 def path_distribution(origins: DataFrame) -> DataFrame:

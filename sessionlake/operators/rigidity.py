@@ -100,7 +100,7 @@ def anchor_frame(labels: DataFrame, conf: Config, hot: DataFrame | None = None)
     """
     d = conf.long_horizon
     df = prior_exposure(labels, conf, hot).withColumns({"log_session_index": F.log1p("session_index"), "log_player_lifetime_days": log1p0("player_lifetime_days"), "log_prior_session_count": log1p0("prior_session_count"), "log_prior_focal_count": log1p0("prior_focal_count")})
-    df = rolling_slopes(rolling_metrics(df, conf), conf)
+    df = rolling_slopes(rolling_metrics(df, conf, hot), conf, hot=hot)
     slopes = slope_columns(conf)
     full = F.lit(True)
     for c in slopes:

@@ -119,17 +119,19 @@ def prior_exposure(df: DataFrame, conf: Config, hot: DataFrame | None = None) ->
 METRICS = ("state_entropy", "unique_states", "dominant_state_share", "self_transition_ratio")
 
 
-def rolling_metrics(df: DataFrame, conf: Config) -> DataFrame:
+def rolling_metrics(df: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
     """Entropy, number of states, largest share and share of repeats within the last w sessions, for each w."""
-    same = F.when(F.col("state_id") == F.lag("state_id").over(in_order()), 1).otherwise(0)
+    df = segments.with_edges(df, "pid", "login_time", ["session_index"], max(conf.rolling), hot)
+    order = Window.partitionBy(*segments.range_keys(df, "pid")).orderBy("session_index")
+    same = F.when(F.col("state_id") == F.lag("state_id").over(order), 1).otherwise(0)
     out = df.withColumn("same", same)
     for w in conf.rolling:
-        frame = in_order().rowsBetween(-(w - 1), 0)
+        frame = order.rowsBetween(-(w - 1), 0)
         counts = [F.sum(F.when(F.col("state_id") == s, 1).otherwise(0)).over(frame) for s in range(conf.n_states)]
         n = F.count("*").over(frame)
         # The pairs inside the window are those that its rows but the first end.
-        pairs = F.sum("same").over(in_order().rowsBetween(-(w - 2), 0))
-        pairs = F.when(F.row_number().over(in_order()) >= w, pairs).otherwise(F.sum("same").over(in_order()))
+        pairs = F.sum("same").over(order.rowsBetween(-(w - 2), 0))
+        pairs = F.when(F.row_number().over(order) >= w, pairs).otherwise(F.sum("same").over(order))
         out = out.withColumns(
             {
                 f"window_n_w{w}": n,
@@ -139,16 +141,17 @@ def rolling_metrics(df: DataFrame, conf: Config) -> DataFrame:
                 f"self_transition_ratio_w{w}": F.when(n >= 2, pairs / (n - 1)),
             }
         )
-    return out.drop("same")
+    return segments.without_edges(out.drop("same"))
 
 
-def rolling_slopes(rolling: DataFrame, conf: Config, metrics: tuple[str, ...] = METRICS[:3]) -> DataFrame:
+def rolling_slopes(rolling: DataFrame, conf: Config, metrics: tuple[str, ...] = METRICS[:3], hot: DataFrame | None = None) -> DataFrame:
     """How fast each measure narrows over the sessions before an anchor, in a regression on its lag; positive is narrowing.
 
     Entropy and number of states fall with narrowing, shares rise. Null where fewer than slope_points rows have the measure;
     sessions with fewer than that many rows so far are left out.
     """
-    frame = in_order().rowsBetween(-conf.slope_back, 0)
+    rolling = segments.with_edges(rolling, "pid", "login_time", ["session_index"], conf.slope_back, hot)
+    frame = Window.partitionBy(*segments.range_keys(rolling, "pid")).orderBy("session_index").rowsBetween(-conf.slope_back, 0)
     out = {}
     for w in conf.rolling:
         for m in metrics:
@@ -156,7 +159,7 @@ def rolling_slopes(rolling: DataFrame, conf: Config, metrics: tuple[str, ...] =
             x = F.when(y.isNotNull(), F.col("session_index").cast("double"))
             slope = F.when(F.count(y).over(frame) >= conf.slope_points, F.regr_slope(y, x).over(frame))
             out[f"narrowing_{m}_w{w}"] = -slope if m in ("state_entropy", "unique_states") else slope
-    return rolling.withColumns({"slope_points": F.count("*").over(frame)} | out).filter(F.col("session_index") >= conf.slope_points)
+    return segments.without_edges(rolling.withColumns({"slope_points": F.count("*").over(frame)} | out)).filter(F.col("session_index") >= conf.slope_points)
 
 
 def next_gap(df: DataFrame) -> Column:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from sessionlake.config import Config
 from sessionlake.functions.columns import days_between, ratio
 from sessionlake.functions.quantiles import with_quantiles
-from sessionlake.operators.sequences import in_order
+from sessionlake.functions.segments import lead, scan, without_ranges
 
 
-def edges(assignments: DataFrame) -> DataFrame:
+def edges(assignments: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """A row for each session that has a next one. Rows that were filtered out before are bridged: filter first, or not, with care."""
-    ahead = {c: F.lead(s).over(in_order()) for c, s in (("to_session_id", "session_id"), ("to_state", "state_id"), ("to_login", "login_time"))}
+    ahead = {c: lead(F.col(s)) for c, s in (("to_session_id", "session_id"), ("to_state", "state_id"), ("to_login", "login_time"))}
     return (
-        assignments.withColumns(ahead)
+        without_ranges(scan(assignments, "pid", "login_time", ["session_index"], ahead, hot))
         .filter("to_session_id is not null")
         .select("pid", "session_index", F.col("session_id").alias("from_session_id"), "to_session_id", F.col("state_id").alias("from_state"), "to_state", days_between("to_login", "exit_time").alias("gap_days"), "is_window", "is_purchase_anomaly")
     )

@@ -52,12 +52,12 @@ class Frames:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return transitions.edges(self.assignments)
+        return transitions.edges(self.assignments, self.hot)
 
     @cached_property
     def edges_without_window(self) -> DataFrame:
         """The window's sessions go first, so edges bridge over them."""
-        return transitions.edges(self.assignments.filter(~F.col("is_window")))
+        return transitions.edges(self.assignments.filter(~F.col("is_window")), self.hot)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -65,7 +65,7 @@ class Frames:
 
     @cached_property
     def origins(self) -> DataFrame:
-        return recovery.focal_origins(self.labels, self.conf)
+        return recovery.focal_origins(self.labels, self.conf, self.hot)
 
     @cached_property
     def focal(self) -> DataFrame:
@@ -73,7 +73,7 @@ class Frames:
 
     @cached_property
     def rolling(self) -> DataFrame:
-        return sequences.rolling_metrics(self.assignments, self.conf)
+        return sequences.rolling_metrics(self.assignments, self.conf, self.hot)
 
     @cached_property
     def anchors(self) -> DataFrame:

@@ -490,7 +490,7 @@ def rolling_metrics(f: Frames) -> DataFrame:
 
 @query
 def narrowing_slopes(f: Frames) -> DataFrame:
-    return sequences.rolling_slopes(f.rolling, f.conf).select("session_id", "slope_points", *rigidity.slope_columns(f.conf))
+    return sequences.rolling_slopes(f.rolling, f.conf, hot=f.hot).select("session_id", "slope_points", *rigidity.slope_columns(f.conf))
 
 
 @query

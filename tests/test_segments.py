@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import Config
 from sessionlake.functions import segments
+from sessionlake.functions.columns import rounded
 from sessionlake.functions.segments import hot_keys, scan, without_ranges
-from sessionlake.operators import features, sequences, sessions
+from sessionlake.operators import censoring, features, recovery, sequences, sessions, transitions
 
 T0 = datetime(2024, 1, 1)
 
@@ -89,6 +90,24 @@ def test_session_operators_with_a_hot_player(spark, tele):
     same(sequences.with_streak(states, 4, "streak", hot), sequences.with_streak(states, 4, "streak"))
 
 
+@pytest.mark.parametrize("task_rows", [7, 80])
+def test_windows_over_edges_with_a_hot_player(spark, tele, task_rows):
+    """Rolling measures, slopes, edges and states ahead, in ranges that are shorter than what a window looks back at, too."""
+    conf, hot = Config(), hot_keys(tele, "pid", "event_time", task_rows)
+    states = sequences.state_assignments(sequences.with_rule_states(features.session_features(tele)), None, conf).cache()
+    rolling = sequences.rolling_metrics(states, conf)
+    same(sequences.rolling_metrics(states, conf, hot), rolling)
+    same(rounded(sequences.rolling_slopes(rolling, conf, hot=hot), 9), rounded(sequences.rolling_slopes(rolling, conf), 9))
+    same(transitions.edges(states, hot), transitions.edges(states))
+    labels = censoring.disengagement_labels(states, conf)
+    same(recovery.focal_origins(labels, conf, hot), recovery.focal_origins(labels, conf))
+    edged = segments.with_edges(states, "pid", "login_time", ["session_index"], 10, hot)
+    copies = edged.filter(F.col(segments.COPY)).groupBy("pid", segments.RANGE).count().collect()
+    assert copies and max(r["count"] for r in copies) == 10
+    assert segments.without_edges(edged).columns == states.columns and segments.without_edges(edged).count() == states.count()
+    states.unpersist()
+
+
 def test_tasks_of_a_hot_player(spark, tele):
     """After the exchange of the segmented scan no task reads more than a tenth of the events."""
     hot = hot_keys(tele, "pid", "event_time", 80)
