@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from sessionlake.config import Config
 from sessionlake.functions.columns import clip, days_between, month, quantile_bin, ratio
 from sessionlake.functions.quantiles import around, between, values_at, with_quantiles
-from sessionlake.functions.segments import lead, least, scan, without_ranges
+from sessionlake.functions.segments import coming, lead, least, scan, without_ranges
 from sessionlake.operators.censoring import by_horizon, capped_gap, recovered_within
-from sessionlake.operators.sequences import by_player, prior_exposure
+from sessionlake.operators.sequences import prior_exposure
 from sessionlake.session import written
 
 
@@ -95,11 +95,14 @@ def recovery_followup(origins: DataFrame, conf: Config) -> DataFrame:
     return out.withColumns({"share_within_path": F.col("origins") / F.sum("origins").over(Window.partitionBy("path_exact")), "share_of_all": F.col("origins") / F.sum("origins").over(Window.partitionBy())})  # a row for each step
 
 
-def time_to_relapse(labels: DataFrame, conf: Config) -> DataFrame:
-    """For each recovery the first focal session after the one it led to: sessions and days from there. A running minimum from each player's end, no join."""
-    later = by_player().orderBy(F.desc("session_index")).rowsBetween(Window.unboundedPreceding, -2)
-    nearest = F.min(F.when(F.col("state_id") == conf.focal_state, F.struct("session_index", "login_time"))).over(later)
-    df = labels.withColumn("relapse", nearest).filter((F.col("state_id") == conf.focal_state) & F.col("next_state_id").isin(*conf.recovery_states))
+def time_to_relapse(labels: DataFrame, conf: Config, hot: DataFrame | None = None) -> DataFrame:
+    """For each recovery the first focal session after the one it led to: sessions and days from there. One scan, no join.
+
+    Recovery states don't include the focal one, so the session that a recovery leads to isn't focal and the next focal one is the first after it.
+    """
+    focal = F.col("state_id") == conf.focal_state
+    df = without_ranges(scan(labels, "pid", "login_time", ["session_index"], {"relapse": coming(F.when(focal, F.struct("session_index", "login_time")))}, hot))
+    df = df.filter(focal & F.col("next_state_id").isin(*conf.recovery_states))
     return df.select(
         F.col("session_id").alias("origin_session_id"), "pid", "session_index", F.col("next_session_id").alias("destination_session_id"),
         exact_path(F.col("next_state_id"), conf).alias("path_exact"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.config import Config
@@ -10,14 +10,6 @@ from sessionlake.functions import segments
 from sessionlake.functions.columns import days_between, entropy_bits, ratio
 from sessionlake.operators.features import ACTIVITY, total
 
-def by_player() -> WindowSpec:
-    return Window.partitionBy("pid")
-
-
-def in_order() -> WindowSpec:
-    """A player's sessions in order. Made when asked for: a window needs a session to exist."""
-    return by_player().orderBy("session_index")
-
 
 def rule_state() -> Column:
     """A session's state by rule: 4 without activity, 0 a first session, 3 several modes, 1 something completed, else 2."""
@@ -85,12 +77,13 @@ def with_streak(df: DataFrame, state: int, name: str, hot: DataFrame | None = No
     return segments.without_ranges(df).withColumn(name, F.when(here, run).otherwise(0).cast("long")).drop("cut", "so far")
 
 
-def trajectory_positions(assignments: DataFrame, focal: int) -> DataFrame:
+def trajectory_positions(assignments: DataFrame, focal: int, hot: DataFrame | None = None) -> DataFrame:
     """Four measures of how far along its player's sessions a session is, which are not the same."""
     i, n = F.col("session_index"), F.col("total_sessions")
     is_focal = F.col("state_id") == focal
-    last_focal = F.max(F.when(is_focal, i)).over(by_player())
-    return assignments.select(
+    rows = segments.scan(assignments, "pid", "login_time", ["session_index"], {"last focal": segments.least(F.when(is_focal, -i))}, hot)
+    last_focal = -F.col("last focal")
+    return rows.select(
         "session_id",
         F.when(n > 1, (i - 1) / (n - 1)).otherwise(0.0).alias("from_first_to_last"),
         F.when(is_focal, i / last_focal).alias("within_focal"),

@@ -92,7 +92,7 @@ class Frames:
         """Features with the rule's state as a cluster, neighbours and places."""
         from sessionlake.operators.clusters import with_neighbours
 
-        return with_neighbours(sequences.with_rule_states(self.features).withColumn("cluster", F.col("state_id")))
+        return with_neighbours(sequences.with_rule_states(self.features).withColumn("cluster", F.col("state_id")), hot=self.hot)
 
     @cached_property
     def embedding_points(self) -> DataFrame:

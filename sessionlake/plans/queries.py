@@ -241,7 +241,7 @@ def player_ends(f: Frames) -> DataFrame:
 
 @query
 def trajectory_positions(f: Frames) -> DataFrame:
-    return sequences.trajectory_positions(f.assignments, FOCAL)
+    return sequences.trajectory_positions(f.assignments, FOCAL, f.hot)
 
 
 @query
@@ -421,12 +421,12 @@ def recovery_followup(f: Frames) -> DataFrame:
 
 @query
 def time_to_relapse(f: Frames) -> DataFrame:
-    return recovery.time_to_relapse(f.labels, f.conf)
+    return recovery.time_to_relapse(f.labels, f.conf, f.hot)
 
 
 @query
 def relapse_summary(f: Frames) -> DataFrame:
-    return recovery.relapse_summary(recovery.time_to_relapse(f.labels, f.conf))
+    return recovery.relapse_summary(recovery.time_to_relapse(f.labels, f.conf, f.hot))
 
 
 @query

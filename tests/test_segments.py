@@ -12,7 +12,7 @@ from sessionlake.config import Config
 from sessionlake.functions import segments
 from sessionlake.functions.columns import rounded
 from sessionlake.functions.segments import hot_keys, scan, without_ranges
-from sessionlake.operators import censoring, features, recovery, sequences, sessions, transitions
+from sessionlake.operators import censoring, clusters, features, recovery, sequences, sessions, transitions
 
 T0 = datetime(2024, 1, 1)
 
@@ -100,7 +100,12 @@ def test_windows_over_edges_with_a_hot_player(spark, tele, task_rows):
     same(rounded(sequences.rolling_slopes(rolling, conf, hot=hot), 9), rounded(sequences.rolling_slopes(rolling, conf), 9))
     same(transitions.edges(states, hot), transitions.edges(states))
     labels = censoring.disengagement_labels(states, conf)
+    found = sequences.with_rule_states(features.session_features(tele)).withColumn("cluster", F.col("state_id"))
+    same(clusters.with_neighbours(found, hot=hot), clusters.with_neighbours(found))
     same(recovery.focal_origins(labels, conf, hot), recovery.focal_origins(labels, conf))
+    same(sequences.trajectory_positions(states, 4, hot), sequences.trajectory_positions(states, 4))
+    relapses = recovery.time_to_relapse(labels, conf)
+    assert sorted(map(repr, recovery.time_to_relapse(labels, conf, hot).collect())) == sorted(map(repr, relapses.collect()))
     edged = segments.with_edges(states, "pid", "login_time", ["session_index"], 10, hot)
     copies = edged.filter(F.col(segments.COPY)).groupBy("pid", segments.RANGE).count().collect()
     assert copies and max(r["count"] for r in copies) == 10
