@@ -2,12 +2,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlake.operators.diagnostics import HEAVY, QUANTILES, numeric_summary, spearman_pairs, with_ranks
+from sessionlake.catalog import ORACLES, QUERIES
+from sessionlake.operators.diagnostics import HEAVY, QUANTILES, numeric_summary, scatter_sample, spearman_pairs, with_ranks
 
 COLUMNS = ["a", "b", "c", "d", "same"]
 
@@ -88,3 +90,17 @@ def test_numeric_summary_is_numpys(spark):
     assert [r.non_null for r in numeric_summary(df.limit(0), ["a", "b"]).collect()] == [0, 0]
     one = numeric_summary(df.limit(2).select("b"), ["b"]).first()
     assert (one.p50, one.std) == (0.5, pytest.approx(0.5**0.5))
+
+
+def test_scatter_sample_has_every_session(spark, tmp_path):
+    """More sessions than a chart's sample holds: the query's rows are its SQL's."""
+    n = 20_500
+    at = "timestamp_seconds(1700000000 + (id div 2) * 977 + (id % 2) * (1 + (id div 2) % 5003))"
+    events = spark.range(2 * n).selectExpr("id AS event_id", f"{at} AS ts", "(id div 2) % 6007 AS user_id", "if(id % 2 = 0, 'view', 'error') AS event_type", "1.5D AS value", """'{"k": 7}' AS props""")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.session_id, round(r.duration_minutes, 5), round(r.player_lifetime_days, 5)) for r in QUERIES["scatter_sample"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    rel = con.sql(ORACLES["scatter_sample"]).select("session_id, duration_minutes, player_lifetime_days")
+    assert len(got) == n and got == sorted((s, round(x, 5), round(y, 5)) for s, x, y in rel.fetchall())
+    assert scatter_sample(spark.range(50).selectExpr("id", "id AS x", "id AS y"), "id", "x", "y", n=20).count() == 20
