@@ -254,3 +254,16 @@ def test_silhouette_of_a_sample_is_small_in_memory():
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
     assert starts.sampled_silhouette(x[:300], label[:300]) == pytest.approx(silhouette(x[:300], label[:300]))
+
+
+def test_regime_refit_reads_events_before_it_returns(spark):
+    """What is returned reads a written table of sessions with their points: no plan goes back to the events for each regime."""
+    files = QUERIES["regime_refit"](spark, SMALL).inputFiles()
+    assert files and not [f for f in files if "events" in f]
+
+
+def test_label_as_a_column_is_that_of_the_posteriors(spark):
+    x, pts = blobs(spark)
+    m = clusters.Mixture(np.array([0.2, 0.5, 0.3]), x[:3], np.full(x[:3].shape, 0.4))
+    rows = clusters.posteriors(pts, m).withColumn("again", clusters.mixture_label(F.col("x"), m)).collect()
+    assert len({r.label for r in rows}) > 1 and all(r.label == r.again for r in rows)
