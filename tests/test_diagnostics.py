@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.catalog import ORACLES, QUERIES
+from sessionlake.operators import diagnostics
 from sessionlake.operators.diagnostics import HEAVY, QUANTILES, numeric_summary, scatter_sample, spearman_pairs, with_ranks
+from sessionlake.session import written
 
 COLUMNS = ["a", "b", "c", "d", "same"]
 
@@ -104,3 +106,12 @@ def test_scatter_sample_has_every_session(spark, tmp_path):
     rel = con.sql(ORACLES["scatter_sample"]).select("session_id, duration_minutes, player_lifetime_days")
     assert len(got) == n and got == sorted((s, round(x, 5), round(y, 5)) for s, x, y in rel.fetchall())
     assert scatter_sample(spark.range(50).selectExpr("id", "id AS x", "id AS y"), "id", "x", "y", n=20).count() == 20
+
+
+def test_spearman_counts_rows_by_value_once_a_column(spark, rows, monkeypatch):
+    """Ranks among the rows of a pair come from the column's one table of values: no value is there again for each partner with nulls."""
+    tables = []
+    monkeypatch.setattr(diagnostics, "written", lambda df: tables.append(df) or written(df))
+    df = spark.createDataFrame(rows, "session_id long, a double, b double, c double, d double, same double, key string")
+    assert len(spearman_pairs(df, COLUMNS).collect()) == 10
+    assert len(tables) == 1 and tables[0].count() == sum(df.filter(F.col(c).isNotNull()).select(c).distinct().count() for c in COLUMNS)
