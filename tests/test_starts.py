@@ -246,7 +246,7 @@ def test_draws_of_many_jobs_are_those_of_each(spark, monkeypatch):
 
 
 def test_silhouette_of_a_sample_is_small_in_memory():
-    """A task holds distances of a block of points, not gaps of all components: 6,000 points of 12 components took 580 MB."""
+    """A task holds distances of a block of points, not gaps of all components: 6,000 points of 12 components took 312 MB."""
     rng = np.random.default_rng(3)
     x, label = rng.normal(size=(6000, 12)), rng.integers(0, 4, 6000)
     tracemalloc.start()
